@@ -132,4 +132,3 @@ def fill_template(template: Column, question: Column, answer: Column, response:
     return F.replace(out, F.lit("{{model_answer}}"), response)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Column", "F", "SPACE"}]

@@ -51,20 +51,40 @@ def position_offenders(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     ).select("task_id", "w.qid", "w.position", "w.last_position")
 
 
-def unmentioned(tx: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Transactions whose scene and amount both occur nowhere in the talk.
+def _number_texts(text, longest: int):
+    """Every substring, up to ``longest`` characters, of the number runs of a text."""
 
-    Every distinct (scene, amount) of a task is tested against every chunk of it
-    once; transactions are matched to the verdicts afterwards.
+    def pieces(run):
+        def at(i):
+            sizes = F.sequence(F.lit(1), F.least(F.length(run) - i + 1, F.lit(longest)))
+            return F.transform(sizes, lambda n: F.substring(run, i, n))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(run)), at))
+
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[-0-9.]+"), F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(runs, pieces)))
+
+
+def unmentioned(tx: DataFrame, chunks: DataFrame, longest: int = 24) -> DataFrame:
+    """Transactions whose scene and amount both occur nowhere in the talk of a task.
+
+    Containment becomes an equi join: an amount, written raw, with two decimals or
+    as a whole number, is a substring of some number run of the text, so the runs
+    are spread into their substrings (at most ``longest`` per character) and
+    matched by key. Scenes come from the task's own small set, tested in the row.
+    No chunk ever meets all transactions of its task.
     """
-    facts = tx.select("task_id", "scene", "amount").distinct()
-    raw = F.col("amount").cast("string")
-    seen = (
-        F.contains(F.lower("text"), F.lower("scene"))
-        | F.contains("text", raw)
-        | F.contains("text", money(F.col("amount")))
-        | F.contains("text", F.col("amount").cast("long").cast("string"))
-    )
-    mentioned = facts.join(chunks.select("task_id", "text"), "task_id").where(seen)
-    return tx.join(mentioned.select("task_id", "scene", "amount").distinct(),
-                   ["task_id", "scene", "amount"], "left_anti")
+    scenes = tx.groupBy("task_id").agg(F.collect_set(F.lower("scene")).alias("_scenes"))
+    said = chunks.select("task_id", F.lower("text").alias("_low")).join(scenes, "task_id")
+    heard = said.select(
+        "task_id",
+        F.explode(F.filter("_scenes", lambda s: F.contains(F.col("_low"), s))).alias("_scene"),
+    ).distinct()
+    numbers = chunks.select(
+        "task_id", F.explode(_number_texts(F.col("text"), longest)).alias("_number")
+    ).distinct()
+    amount = F.col("amount")
+    left = tx.withColumn("_scene", F.lower("scene")).join(heard, ["task_id", "_scene"], "left_anti")
+    for form in (amount.cast("long").cast("string"), money(amount), amount.cast("string")):
+        left = left.withColumn("_number", form).join(numbers, ["task_id", "_number"], "left_anti")
+    return left.drop("_scene", "_number")
