@@ -292,17 +292,22 @@ def nrm21(spark, d):
     return N.attach_source_prompt(q, prompts, "none")
 
 
-@query("nrm22_order_questions", """
-SELECT user_id, CAST(ts AS DATE) AS day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY value, event_id) AS qids
-FROM events GROUP BY ALL""")
+@query("nrm22_order_questions", """WITH q AS (
+  SELECT p_partkey, 'size' AS qid, p_size AS position FROM part
+  UNION ALL SELECT p_partkey, 'key', CAST(p_partkey % 50 AS INTEGER) FROM part
+  UNION ALL SELECT p_partkey, 'name', CAST(length(p_name) AS INTEGER) FROM part)
+SELECT p_partkey, string_agg(qid, ',' ORDER BY position, qid) AS qids FROM q GROUP BY p_partkey""")
 def nrm22(spark, d):
-    q = F.struct(F.col("event_id").alias("qid"), F.col("value").alias("position"))
-    # a question list belongs to one sample row; here a sample is a user's day
-    rows = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
-        F.collect_list(q).alias("questions")
+    def q(qid, position):
+        return F.struct(F.lit(qid).alias("qid"), position.cast("int").alias("position"))
+
+    nested = table(spark, d, "part").select(
+        "p_partkey",
+        F.array(q("size", F.col("p_size")), q("key", F.col("p_partkey") % 50), q("name", F.length("p_name")))
+        .alias("questions"),
     )
-    ids = F.transform(N.ordered_questions(F.col("questions")), lambda x: x["qid"].cast("string"))
-    return rows.select("user_id", "day", F.array_join(ids, ",").alias("qids"))
+    ids = F.transform(N.ordered_questions(F.col("questions")), lambda x: x["qid"])
+    return nested.select("p_partkey", F.array_join(ids, ",").alias("qids"))
 
 
 @query("nrm23_first_answer", """
