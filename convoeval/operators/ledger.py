@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoeval.functions.draws import draw
 from convoeval.functions.text import money
 from convoeval.operators.ordered import id_bucket, prefix_sums
+from convoeval.session import cut_lineage
 
 
 def daily(tx: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -130,12 +132,12 @@ def take_until(samples: DataFrame, order: str, size: str, n: int, cap: int, buck
 def sample_dates(first: Column, last: Column, n: int, seed: int) -> Column:
     """``n`` distinct sorted days of a range, chosen by hash."""
     days = F.sequence(first, last)
-    keyed = F.transform(days, lambda d: F.struct(F.xxhash64(F.lit(seed), d).alias("h"), d.alias("d")))
+    keyed = F.transform(days, lambda d: F.struct(draw(seed, d).alias("h"), d.alias("d")))
     return F.array_sort(F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["d"]))
 
 
-def _pick(n: Column, *parts: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*parts), n).cast("int")
+def _pick(n: Column, *parts: Column) -> Column:
+    return (draw(0, *parts) % n).cast("int")
 
 
 def make_questions(tx: DataFrame, scenes: list[str], per_type: int = 5, seed: int = 0) -> DataFrame:
@@ -144,7 +146,7 @@ def make_questions(tx: DataFrame, scenes: list[str], per_type: int = 5, seed: in
     Ranges come from the days that occur in a task; equal question texts keep the
     first. Answers are text, money with two decimals.
     """
-    days = daily(tx, ["task_id"])
+    days = cut_lineage(daily(tx, ["task_id"]))  # read by every question type, made once
     task_days = days.groupBy("task_id").agg(F.array_sort(F.collect_set("date")).alias("days"))
     types = [
         "time_range_scene_amount", "time_range_multiple_scenes_amount", "time_range_total_amount",
@@ -161,7 +163,7 @@ def make_questions(tx: DataFrame, scenes: list[str], per_type: int = 5, seed: in
     drawn = drawn.withColumn("_lo", F.when(n >= 2, lo))
     hi = F.col("_lo") + 1 + _pick(n - 1 - F.col("_lo"), *at, F.lit("end"))
     shuffled = F.array_sort(
-        F.transform(scene_list, lambda s: F.struct(F.xxhash64(*at, s).alias("h"), s.alias("s")))
+        F.transform(scene_list, lambda s: F.struct(draw(0, *at, s).alias("h"), s.alias("s")))
     )
     drawn = drawn.withColumns(
         {

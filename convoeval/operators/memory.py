@@ -246,26 +246,34 @@ def running_ledger(tx: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ledger_titles(fine: DataFrame, keys: list[str]) -> DataFrame:
-    """``running_ledger`` from its day and scene table (``s``, ``n``, ``m``)."""
+    """``running_ledger`` from its day and scene table (``s``, ``n``, ``m``).
+
+    Scene, day and grand totals are three grouping sets over that small table.
+    """
+    k = [F.col(c) for c in keys]
+    date, scene = F.col("date"), F.col("scene")
+    levels = fine.groupingSets([[*k, date, scene], [*k, date], k], *keys, "date", "scene").agg(
+        F.grouping("date").alias("_no_date"), F.grouping("scene").alias("_no_scene"),
+        F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("m").alias("m"),
+    )
     day = F.date_format("date", "yyyy-MM-dd")
-    by_scene = fine.select(
-        *keys,
-        F.explode(F.array(
-            F.struct(F.concat_ws("_", day, "scene", F.lit("Amount")).alias("title"), F.round("s", 2).alias("value")),
-            F.struct(F.concat_ws("_", day, "scene", F.lit("Count")).alias("title"), F.col("n").cast("double").alias("value")),
-        )).alias("e"),
-    ).select(*keys, "e.title", "e.value")
-    by_day = fine.groupBy(*keys, "date").agg(F.max("m").alias("m"), F.sum("s").alias("s")).select(
-        *keys,
-        F.explode(F.array(
-            F.struct(F.concat_ws("_", day, F.lit("LargestSingleTransactionAmount")).alias("title"), F.col("m").alias("value")),
-            F.struct(F.concat_ws("_", day, F.lit("TotalAmount")).alias("title"), F.round("s", 2).alias("value")),
-        )).alias("e"),
-    ).select(*keys, "e.title", "e.value")
-    total = fine.groupBy(*keys).agg(F.round(F.sum("s"), 2).alias("value")).select(
-        *keys, F.lit("GlobalTotalAmount").alias("title"), "value"
+
+    def entry(title: Column, value: Column) -> Column:
+        return F.struct(title.alias("title"), value.cast("double").alias("value"))
+
+    amount, count = F.round("s", 2), F.col("n")
+    entries = (
+        F.when(F.col("_no_date") == 1, F.array(entry(F.lit("GlobalTotalAmount"), amount)))
+        .when(F.col("_no_scene") == 1, F.array(
+            entry(F.concat_ws("_", day, F.lit("LargestSingleTransactionAmount")), F.col("m")),
+            entry(F.concat_ws("_", day, F.lit("TotalAmount")), amount),
+        ))
+        .otherwise(F.array(
+            entry(F.concat_ws("_", day, "scene", F.lit("Amount")), amount),
+            entry(F.concat_ws("_", day, "scene", F.lit("Count")), count),
+        ))
     )
-    return by_scene.unionByName(by_day).unionByName(total)
+    return levels.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.title", "e.value")
 
 
 def tool_call_stats(outputs: DataFrame) -> DataFrame:

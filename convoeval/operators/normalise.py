@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convoeval.functions.draws import draw
 from convoeval.functions.text import add_label_hint, said, strip
 from convoeval.operators.ordered import id_bucket, joined_text, numbered
 
@@ -150,14 +151,14 @@ def flatten_answer(col: Column) -> Column:
     )
 
 
-def rewrite_by_category(df: DataFrame) -> DataFrame:
+def rewrite_by_category(df: DataFrame, seed: int = 0) -> DataFrame:
     """Temporal questions get a date hint, adversarial ones become two options.
 
     The order of the options is a hash of the question id.
     """
     unknown = F.lit("Not mentioned in the conversation")
     wrong = F.col("adversarial_answer")
-    first = F.pmod(F.xxhash64("qid"), F.lit(2)) == 0
+    first = draw(seed, "qid") % 2 == 0
     a = F.when(first, unknown).otherwise(wrong)
     b = F.when(first, wrong).otherwise(unknown)
     options = F.concat(
@@ -209,12 +210,12 @@ def mix_distractors(needs: DataFrame, docs: DataFrame, n: int, seed: int) -> Dat
     else:
         draws = F.transform(
             F.sequence(F.lit(0), F.lit(4 * n)),
-            lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("qid"), i), F.lit(total)).cast("bigint"),
+            lambda i: draw(seed, F.col("qid"), i) % total,
         )
     keyed = F.array_sort(
         F.transform(
             F.array_except(F.array_distinct(draws), F.col("_need")),
-            lambda x: F.struct(F.xxhash64(F.lit(seed), F.col("qid"), x).alias("h"), x.alias("i")),
+            lambda x: F.struct(draw(seed, F.col("qid"), x).alias("h"), x.alias("i")),
         )
     )
     room = F.greatest(F.lit(n) - F.size("_need"), F.lit(0))
@@ -222,7 +223,7 @@ def mix_distractors(needs: DataFrame, docs: DataFrame, n: int, seed: int) -> Dat
     mixed = F.array_sort(
         F.transform(
             F.concat("_need", fill),
-            lambda x: F.struct(F.xxhash64(F.lit(seed + 1), F.col("qid"), x).alias("h"), x.alias("i")),
+            lambda x: F.struct(draw(seed + 1, F.col("qid"), x).alias("h"), x.alias("i")),
         )
     )
     placed = asked.select("qid", "_need", F.posexplode(F.transform(mixed, lambda s: s["i"])).alias("position", "doc_index"))

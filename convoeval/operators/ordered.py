@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoeval.functions.draws import DRAW_BITS
+
 BUCKET_ROWS = 1 << 20
 
 
@@ -19,9 +21,9 @@ def id_bucket(order: str | Column, width: int = BUCKET_ROWS) -> Column:
     return F.floor(order / F.lit(width)).cast("long")
 
 
-def hash_bucket(order: Column, bits: int = 12) -> Column:
-    """Bucket of a 64-bit hash used as order: its leading bits."""
-    return F.shiftright(order, 64 - bits).cast("long")
+def draw_bucket(order: Column, bits: int = 12) -> Column:
+    """Bucket of a uniform draw used as order: its leading bits."""
+    return F.shiftright(order, DRAW_BITS - bits).cast("long")
 
 
 def prefix_sums(
@@ -69,37 +71,24 @@ def with_previous(
     return out.drop("_bucket", "_in", "_first", "_carry", "_prev")
 
 
-def exact_medians(df: DataFrame, keys: list[str], value: str, accuracy: int = 10_000) -> DataFrame:
+def value_bucket(value: Column) -> Column:
+    """Order-preserving bucket of a number: sixteen per power of two."""
+    return F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * 16).cast("long")
+
+
+def exact_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median of ``value`` per key, without one task holding a key.
 
-    Equal values are counted first. An approximate quantile pair brackets the
-    middle, so only the thin slice between the two is put in order.
+    Equal values are counted first, combined on the map side. The counts are then
+    summed up along the values, bucket by bucket, and the middle ones are read off.
     """
-    if not keys:
-        raise ValueError("exact_medians needs at least one key")
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    hist = v.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    margin = 10.0 / accuracy
-    bracket = v.groupBy(*keys).agg(
-        F.count("*").alias("_total"),
-        F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_q"),
-    )
-    placed = hist.join(bracket, keys)
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    below = placed.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_v") < low, F.col("_n")).otherwise(0)).alias("_below"),
-        F.max("_total").alias("_total"),
-    )
-    slim = placed.where(F.col("_v").between(low, high)).select(*keys, "_v", "_n")
-    upto = Window.partitionBy(*keys).orderBy("_v")
-    ranked = slim.withColumn("_cum", F.sum("_n").over(upto)).join(below, keys)
-    last = F.col("_below") + F.col("_cum")
-    first = last - F.col("_n") + 1
+    v = F.col(value).cast("double")
+    hist = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = prefix_sums(hist, keys, ["_v"], value_bucket(F.col("_v")), _last=F.col("_n"))
+    totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    middle = ranked.where((last >= lo) & (first <= hi))
-    return middle.groupBy(*keys).agg(
-        ((F.min("_v") + F.max("_v")) / 2).alias("median")
-    )
+    middle = ranked.join(totals, keys).where((F.col("_last") >= lo) & (F.col("_last") - F.col("_n") < hi))
+    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convoeval.functions.draws import draw
 from convoeval.functions.text import CONVERSATION_HEADER
-from convoeval.operators.ordered import hash_bucket, id_bucket, numbered, prefix_sums, top_per_key
-
-
-def draw(seed: int, *ids: str | Column) -> Column:
-    """Order of a draw: a hash, the same for every partitioning."""
-    return F.xxhash64(F.lit(seed), *ids)
+from convoeval.operators.ordered import (
+    draw_bucket, id_bucket, joined_text, numbered, prefix_sums, top_per_key,
+)
 
 
 def small_set(samples: DataFrame, questions: DataFrame, n: int = 10, seed: int = 0, bits: int = 12) -> DataFrame:
@@ -22,7 +20,7 @@ def small_set(samples: DataFrame, questions: DataFrame, n: int = 10, seed: int =
     """
     sizes = questions.groupBy("task_id").agg(F.count("*").alias("_n"))
     placed = samples.select("task_id").join(sizes, "task_id").withColumn("_h", draw(seed, "task_id"))
-    running = prefix_sums(placed, [], ["_h", "task_id"], hash_bucket(F.col("_h"), bits), _sum=F.col("_n"))
+    running = prefix_sums(placed, [], ["_h", "task_id"], draw_bucket(F.col("_h"), bits), _sum=F.col("_n"))
     room = running.withColumn("_room", F.lit(n) - (F.col("_sum") - F.col("_n"))).where("_room > 0")
     cut = questions.join(room.select("task_id", "_n", "_room"), "task_id")
     # a sample that is kept whole needs no ranking; only the last one is cut
@@ -63,8 +61,6 @@ def batch_questions(questions: DataFrame, k: int = 10, bucket_rows: int = 1 << 2
 def sample_contexts(chunks: DataFrame, part_rows: int = 10_000) -> DataFrame:
     """Context parts per sample: chunks joined by blank lines, the repeated
     conversation line dropped from all but the first chunk."""
-    from convoeval.operators.ordered import joined_text
-
     repeated = (
         (F.col("position") > 0) & F.col("text").startswith(CONVERSATION_HEADER) & F.contains("text", F.lit("\n"))
     )

@@ -5,14 +5,10 @@ from convoeval.plans.registry import ORACLES, QUERIES
 GROUPS = [
     "scoring_plans", "report_plans", "ledger_plans", "retrieval_plans", "normalise_plans",
     "join_plans", "text_plans", "memory_plans", "answer_plans", "sampling_plans", "profile_plans",
-    "incremental_plans",
+    "incremental_plans", "stream_plans",
 ]
 
-import importlib.util as _u
-
 for _group in GROUPS:
-    if _u.find_spec(f"convoeval.plans.{_group}") is None:
-        continue
     import_module(f"convoeval.plans.{_group}")
 
 __all__ = ["ORACLES", "QUERIES"]

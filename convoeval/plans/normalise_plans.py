@@ -147,7 +147,13 @@ def nrm8(spark, d):
     )
 
 
-@query("nrm9_rewrite_by_category")
+@query("nrm9_rewrite_by_category", """WITH q AS (SELECT 'q_' || o_orderkey AS qid, 'What about ' || o_orderpriority || '?' AS query, o_orderstatus AS answer,
+  'nothing' AS adversarial_answer, CAST(o_custkey % 5 + 1 AS INTEGER) AS category,
+  CAST('0x' || left(md5('0|q_' || o_orderkey), 15) AS BIGINT) % 2 = 0 AS first FROM orders)
+SELECT qid, CASE category WHEN 2 THEN query || ' Use DATE of CONVERSATION to answer with an approximate date.'
+  WHEN 5 THEN query || ' Select the correct answer: (a) ' || CASE WHEN first THEN 'Not mentioned in the conversation' ELSE 'nothing' END
+    || ' (b) ' || CASE WHEN first THEN 'nothing' ELSE 'Not mentioned in the conversation' END || '. ' ELSE query END AS query,
+  CASE WHEN category <> 5 THEN answer WHEN first THEN 'a' ELSE 'b' END AS answer, adversarial_answer, category FROM q""")
 def nrm9(spark, d):
     q = table(spark, d, "orders").select(
         F.concat(F.lit("q_"), "o_orderkey").alias("qid"),

@@ -25,4 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; a reader object with its own ``table`` may stand in for the session."""
+    if hasattr(spark, "folder"):
+        return spark.table(name)
     return spark.read.parquet(f"{folder}/{name}.parquet")

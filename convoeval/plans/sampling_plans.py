@@ -13,29 +13,40 @@ def _orders(spark, d):
     )
 
 
-@query("smp1_small_set")
+def sql_draw(seed, *ids):
+    text = " || '|' || ".join([f"'{seed}'", *ids])
+    return f"CAST('0x' || left(md5({text}), 15) AS BIGINT)"
+
+
+@query("smp1_small_set", f"""WITH n AS (SELECT o_custkey AS task_id, count(*) AS n FROM orders
+    JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey),
+r AS (SELECT *, sum(n) OVER (ORDER BY {sql_draw(3, 'task_id')}, task_id) - n AS before FROM n),
+q AS (SELECT o_orderkey AS qid, task_id, o_orderpriority AS category, before,
+        row_number() OVER (PARTITION BY task_id ORDER BY {sql_draw(4, 'o_orderkey')}, o_orderkey) AS k
+      FROM orders JOIN r ON task_id = o_custkey WHERE before < 100)
+SELECT qid, task_id, category FROM q WHERE k <= 100 - before""")
 def smp1(spark, d):
     samples = table(spark, d, "customer").select(F.col("c_custkey").alias("task_id"))
     return S.small_set(samples, _orders(spark, d), n=100, seed=3)
 
 
-@query("smp1_small_set_size", "SELECT 100 AS n_questions FROM (SELECT count(*) AS n FROM orders) WHERE n >= 100")
-def smp1_size(spark, d):
-    return smp1(spark, d).agg(F.count("*").alias("n_questions"))
-
-
-@query("smp2_cap_questions", """SELECT o_custkey AS task_id, least(count(*), 10) AS kept FROM orders GROUP BY o_custkey""")
+@query("smp2_cap_questions", f"""SELECT qid, task_id, category FROM (
+  SELECT o_orderkey AS qid, o_custkey AS task_id, o_orderpriority AS category,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY {sql_draw(0, 'o_orderkey')}, o_orderkey) AS k FROM orders) WHERE k <= 10""")
 def smp2(spark, d):
-    return S.cap_questions(_orders(spark, d)).groupBy("task_id").agg(F.count("*").alias("kept"))
+    return S.cap_questions(_orders(spark, d))
 
 
-@query("smp3_stratified", """SELECT l_returnflag AS data_source, least(count(*), 20) AS n FROM lineitem GROUP BY l_returnflag""")
+@query("smp3_stratified", f"""WITH i AS (SELECT l_returnflag AS data_source,
+  l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS row_id FROM lineitem)
+SELECT data_source, row_id FROM (SELECT *, row_number() OVER (PARTITION BY data_source
+  ORDER BY {sql_draw(0, 'row_id')}, row_id) AS k FROM i) WHERE k <= 20""")
 def smp3(spark, d):
     rows = table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("data_source"),
         F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
     )
-    return S.stratified(rows, "data_source", "row_id").groupBy("data_source").agg(F.count("*").alias("n"))
+    return S.stratified(rows, "data_source", "row_id")
 
 
 @query("smp4_exclude_sources", "SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src2')")
