@@ -74,17 +74,16 @@ def repair_json(text: Column) -> Column:
     return F.when(singles > doubles, swapped).otherwise(out)
 
 
-def parse_batch_answers(text: Column, n: int) -> Column:
-    """Answers ``0 .. n-1`` of one batch reply; NULL where a reply is missing."""
-    parsed = F.from_json(repair_json(text), "map<string,string>")
+def batch_reply(text: Column) -> Column:
+    """A batch reply as a map from number to raw answer."""
+    return F.from_json(repair_json(text), "map<string,string>")
 
-    def one(i: int) -> Column:
-        raw = F.try_element_at(parsed, F.lit(str(i)))
-        nested = F.array_join(F.map_values(F.from_json(raw, "map<string,string>")), ", ")
-        flat = strip(F.regexp_replace(raw, r"\((a|b)\)", ""))
-        return F.when(raw.startswith("{"), nested).otherwise(flat)
 
-    return F.array(*[one(i) for i in range(n)])
+def batch_answer(raw: Column) -> Column:
+    """One raw answer: option marks removed, values of a nested object joined."""
+    nested = F.array_join(F.map_values(F.from_json(raw, "map<string,string>")), ", ")
+    flat = strip(F.regexp_replace(raw, r"\((a|b)\)", ""))
+    return F.when(raw.startswith("{"), nested).otherwise(flat)
 
 
 def classify_error(message: Column, bad_request: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ LABEL_HINT = "What are the labels for the above sentence?"
 ERROR_PREFIX = "ERROR"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, also inside filters and branches."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -31,7 +38,7 @@ def collapse(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Split at white space, no empty items."""
-    return F.filter(F.split(F.regexp_replace(text, f"{SPACE}+", " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def drop_punctuation(text: Column) -> Column:
@@ -60,33 +67,41 @@ def occurrences(text: Column, needle: Column) -> Column:
 
 
 def char_counts(text: Column) -> dict[str, Column]:
-    """Counts the token estimate is made of; ``text`` must be collapsed."""
+    """Counts the token estimate is made of; ``text`` must be collapsed.
+
+    A count is what a text loses when the runs of a class are taken out: one pass
+    over the runs instead of one match per character.
+    """
+    size = F.length(text)
+
+    def lost(runs: str) -> Column:
+        return size - F.length(F.regexp_replace(text, runs, ""))
+
     return {
-        "n_letter": F.regexp_count(text, F.lit("[a-zA-Z]")),
-        "n_cjk": F.regexp_count(text, F.lit(r"[\x{4e00}-\x{9fff}]")),
-        "n_digit": F.regexp_count(text, F.lit(r"\p{Nd}")),
-        "n_symbol": F.regexp_count(text, F.lit(r"[^a-zA-Z0-9 ]")),
-        "n_space": F.regexp_count(text, F.lit(" ")),
+        "n_letter": lost("[a-zA-Z]+"),
+        "n_cjk": lost(r"[\x{4e00}-\x{9fff}]+"),
+        "n_digit": lost(r"\p{Nd}+"),
+        "n_symbol": F.length(F.regexp_replace(text, "[a-zA-Z0-9 ]+", "")),
+        "n_space": size - F.length(F.replace(text, F.lit(" "), F.lit(""))),
     }
 
 
 def estimate_tokens(text: Column) -> Column:
-    """Rough token count of mixed text, 10 % up; empty is 0, else at least 1.
+    """Rough token count of mixed text, 10 % up; empty is 0, else at least 1."""
+
+    def count(flat: Column) -> Column:
+        c = char_counts(flat)
+        raw = (
+            c["n_letter"] / 4.0
+            + c["n_cjk"] / 2.0
+            + c["n_digit"] / 3.0
+            + c["n_symbol"] / 2.0
+            + c["n_space"] / 1.5
+        )
+        return F.greatest(F.floor(raw * 1.1), F.lit(1))
 
-    Written without a condition, so that the cleaned text, which every count
-    needs, is worked out once per row.
-    """
     given = F.coalesce(text, F.lit(""))
-    c = char_counts(collapse(given))
-    raw = (
-        c["n_letter"] / 4.0
-        + c["n_cjk"] / 2.0
-        + c["n_digit"] / 3.0
-        + c["n_symbol"] / 2.0
-        + c["n_space"] / 1.5
-    )
-    filled = F.least(F.length(given), F.lit(1))
-    return (filled * F.greatest(F.floor(raw * 1.1), F.lit(1))).cast("int")
+    return (F.least(F.length(given), F.lit(1)) * once(collapse(given), count)).cast("int")
 
 
 def money(amount: Column) -> Column:
@@ -206,47 +221,3 @@ def split_documents(context: Column) -> Column:
 
 def said(role: Column, text: Column) -> Column:
     return F.concat(role, F.lit(' said, "'), text, F.lit('"'))
-
-
-def parse_turns(chunk: Column) -> Column:
-    """Turns of a rendered session as ``[date] role: content`` texts.
-
-    Lines are trimmed, blank ones dropped. A turn runs from its ``X said,`` line
-    to the next one; date lines inside the talk change the date from that turn on.
-    """
-    speaker = r"(?:User said,|Assistant said,)"
-    lines = F.filter(F.transform(F.split(chunk, "\n"), strip), lambda x: x != "")
-    flat = F.array_join(lines, "\n")
-    body = F.regexp_extract(flat, r"(?s)(?:^|\n)CONVERSATION:(?:\n(.*))?$", 1)
-    head = F.regexp_extract(flat, r"(?s)^(.*?)(?:^|\n)CONVERSATION:(?:\n|$)", 1)
-    turn = rf"(?m)^{speaker}[\s\S]*?(?=\n{speaker}|\z)"
-    segments = F.regexp_extract_all(body, F.lit(turn), F.lit(0))
-
-    def last_date(text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(r"(?m)^DATE:(.*?)(?:DATE:.*)?$"), F.lit(1))
-        return strip(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"\(.*$", ""))
-
-    def one(segment: Column, i: Column) -> Column:
-        kept = F.filter(
-            F.split(segment, "\n"), lambda x: ~x.startswith("DATE:") & (x != "CONVERSATION:")
-        )
-        role = F.when(segment.startswith("User"), "user").otherwise("assistant")
-        first = strip(F.regexp_replace(F.get(kept, F.lit(0)), f"^{speaker}", ""))
-        first = F.when(
-            first.startswith('"') & first.endswith('"'),
-            F.substring(first, F.lit(2), F.greatest(F.length(first) - 2, F.lit(0))),
-        ).otherwise(first)
-        more = F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0)))
-        content = F.when(
-            first == "", F.lit("")
-        ).otherwise(F.array_join(F.concat(F.array(first), more), "\n"))
-        upto = F.when(
-            F.contains(body, F.lit("DATE:")),
-            F.concat_ws("\n", head, F.regexp_extract(body, rf"(?s)^(.*?)(?:^|\n){speaker}", 1),
-                        F.array_join(F.slice(segments, F.lit(1), i + 1), "\n")),
-        ).otherwise(head)
-        date = last_date(upto)
-        return F.struct(i.alias("turn"), date.alias("date"), role.alias("role"),
-                        content.alias("content"))
-
-    return F.filter(F.transform(segments, one), lambda t: t["content"] != "")

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoeval.functions.text import char_counts, collapse, estimate_tokens, record_text
-from convoeval.operators.ordered import exact_medians, id_bucket, numbered, with_previous
+from convoeval.operators.ordered import exact_medians, id_bucket, prefix_sums, with_previous
+from convoeval.session import cut_lineage
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Boundary weights by time gap (seconds), place, length change.
@@ -114,95 +115,62 @@ def next_starts(counts: np.ndarray, boundary: np.ndarray, n_own: int, low: int,
     return np.minimum(over, after[np.minimum(ready, n)])
 
 
-def _block_frame(pdf: pd.DataFrame, low: int, high: int) -> tuple[pd.DataFrame, np.ndarray, int]:
-    pdf = pdf.sort_values("_idx", ignore_index=True)
-    n_own = int(pdf["_own"].sum())
-    nxt = next_starts(pdf[COUNTS].to_numpy(dtype="float64"), pdf["boundary"].to_numpy(bool), n_own, low, high)
-    return pdf, nxt, n_own
+def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Groups of a partition that is sorted by ``keys``; one group is held at a time."""
+    held: list[pd.DataFrame] = []
+    current = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        ids = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy()
+        ids[0] = True
+        edges = np.append(np.flatnonzero(ids), len(pdf))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            piece = pdf.iloc[lo:hi]
+            key = tuple(piece[keys].iloc[0])
+            if key != current and held:
+                yield current, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            current = key
+            held.append(piece)
+    if held:
+        yield current, pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _fold(pdf: pd.DataFrame, low: int, high: int) -> tuple[np.ndarray, int]:
+    n_own = int(pdf["_own"].to_numpy().sum())
+    counts = pdf[COUNTS].to_numpy(dtype="float64")
+    return next_starts(counts, pdf["boundary"].to_numpy(dtype=bool), n_own, low, high), n_own
 
 
 def _block_maps(corpus: str, low: int, high: int, halo: int):
     """Per block: for each possible entry the exit into the next block and the starts passed."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, nxt, n_own = _block_frame(pdf, low, high)
-        exits, passed = nxt.copy(), np.ones(n_own, dtype="int64")
-        for i in range(n_own - 1, -1, -1):
-            if nxt[i] < n_own:
-                exits[i] = exits[nxt[i]]
-                passed[i] += passed[nxt[i]]
-        k = min(n_own, halo)
-        return pd.DataFrame(
-            {
-                corpus: [pdf[corpus].iloc[0]], "_block": [int(pdf["_block"].iloc[0])],
-                "_exits": [(exits[:k] - n_own).astype("<i4").tobytes()],
-                "_passed": [passed[:k].astype("<i4").tobytes()],
-            }
-        )
-
-    return run
-
-
-def _mark(corpus: str, order: str, low: int, high: int):
-    """Chunk number of every record of a block, given its entry."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, nxt, n_own = _block_frame(pdf, low, high)
-        own = pdf.iloc[:n_own]
-        starts = np.zeros(n_own, dtype="int64")
-        i = int(own["_entry"].iloc[0])
-        while i < n_own:
-            starts[i] = 1
-            i = int(nxt[i])
-        number = int(own["_base"].iloc[0]) - 1 + np.cumsum(starts)
-        return pd.DataFrame({corpus: own[corpus], order: own[order], "chunk_id": number})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (name, block), pdf in sorted_groups(batches, [corpus, "_block"]):
+            nxt, n_own = _fold(pdf, low, high)
+            exits, passed = nxt.tolist(), [1] * n_own
+            for i in range(n_own - 1, -1, -1):
+                if exits[i] < n_own:
+                    passed[i] += passed[exits[i]]
+                    exits[i] = exits[exits[i]]
+            k = min(n_own, halo)
+            yield pd.DataFrame(
+                {
+                    corpus: [name], "_block": [block],
+                    "_exits": [(np.array(exits[:k], dtype="<i8") - n_own).astype("<i4").tobytes()],
+                    "_passed": [np.array(passed[:k], dtype="<i4").tobytes()],
+                }
+            )
 
     return run
 
 
-def semantic_chunk_ids(
-    records: DataFrame, corpus: str, order: str, min_tokens: int = 3000, max_tokens: int = 6000,
-    block_rows: int = 1 << 16,
-) -> DataFrame:
-    """``(corpus, order, chunk_id)`` for records that went through ``with_boundaries``.
-
-    Records without text take no part. Equal to the record-by-record fold for any
-    block size: a chunk holds fewer than ``max_tokens + 2`` records, since every
-    record adds at least one character and one blank.
-    """
-    halo = max_tokens + 2
-    block_rows = max(block_rows, halo)
-    filled = records.where(F.col("record_text") != "")
-    slim = filled.select(
-        corpus, order, "boundary",
-        *[c.alias(n) for n, c in char_counts(collapse(F.col("record_text"))).items()],
-    )
-    rows = numbered(slim, [corpus], [order], id_bucket(order, 1 << 20), "_row").withColumn("_idx", F.col("_row") - 1)
-    home = F.floor(F.col("_idx") / block_rows)
-    near_start = (F.col("_idx") % block_rows < halo) & (home > 0)
-    blocks = F.when(near_start, F.array(home, home - 1)).otherwise(F.array(home))
-    spread = rows.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == home)
-    text_of = {f.name: f.dataType.simpleString() for f in records.schema.fields}
-    key = f"`{corpus}` {text_of[corpus]}"
-    maps = spread.groupBy(corpus, "_block").applyInPandas(
-        _block_maps(corpus, min_tokens, max_tokens, halo),
-        f"{key}, _block long, _exits binary, _passed binary",
-    )
-    # one row of at most a few dozen kilobytes per block of records, read as a stream
-    chained = maps.repartition(corpus).sortWithinPartitions(corpus, "_block")
-    entries = chained.mapInPandas(_chain_sorted(corpus), f"{key}, _block long, _entry int, _base long")
-    return (
-        spread.join(entries, [corpus, "_block"])
-        .groupBy(corpus, "_block")
-        .applyInPandas(_mark(corpus, order, min_tokens, max_tokens), f"{key}, `{order}` {text_of[order]}, chunk_id long")
-    )
-
-
-def _chain_sorted(corpus: str):
+def _chain(corpus: str):
     """Entries of all blocks, over a partition of whole corpora one after the other.
 
-    A block always has an entry inside its first ``halo`` records or none at all:
-    a short last block may lie wholly inside the last chunk.
+    A block has an entry inside its first ``halo`` records or none at all: a short
+    last block may lie wholly inside the last chunk.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,35 +193,108 @@ def _chain_sorted(corpus: str):
     return run
 
 
-def semantic_chunks(marked: DataFrame, corpus: str, order: str) -> DataFrame:
-    """Chunk records from ``marked``: all records with their ``idx`` in the corpus and,
-    where they have text, their ``chunk_id``.
+def _mark(corpus: str, order: str, low: int, high: int):
+    """Chunk number of every record of a block, given its entry."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, pdf in sorted_groups(batches, [corpus, "_block"]):
+            nxt, n_own = _fold(pdf, low, high)
+            starts = np.zeros(n_own, dtype="int64")
+            i = int(pdf["_entry"].iloc[0])
+            while i < n_own:
+                starts[i] = 1
+                i = int(nxt[i])
+            own = pdf.iloc[:n_own]
+            number = int(pdf["_base"].iloc[0]) - 1 + np.cumsum(starts)
+            yield pd.DataFrame(
+                {corpus: own[corpus].to_numpy(), order: own[order].to_numpy(), "idx": own["idx"].to_numpy(), "chunk_id": number}
+            )
+
+    return run
+
+
+def numbered_records(records: DataFrame, corpus: str, order: str) -> DataFrame:
+    """Slim rows for the fold, written once: all that follows reads them several times.
+
+    ``idx`` counts all records of a corpus, ``_idx`` those with text.
+    """
+    filled = F.col("record_text") != ""
+    slim = records.select(
+        corpus, order, "boundary", filled.alias("filled"),
+        *[c.alias(n) for n, c in char_counts(collapse(F.col("record_text"))).items()],
+    )
+    rows = prefix_sums(
+        slim, [corpus], [order], id_bucket(order, 1 << 20), _all=F.lit(1).cast("long"), _filled=F.col("filled").cast("long")
+    )
+    return cut_lineage(
+        rows.withColumns({"idx": F.col("_all") - 1, "_idx": F.col("_filled") - 1}).drop("_all", "_filled")
+    )
+
+
+def semantic_chunk_ids(
+    rows: DataFrame, corpus: str, order: str, min_tokens: int = 3000, max_tokens: int = 6000,
+    block_rows: int = 1 << 16,
+) -> DataFrame:
+    """``(corpus, order, idx, chunk_id)`` for the rows of ``numbered_records``.
+
+    Records without text take no part. Equal to the record-by-record fold for any
+    block size: a chunk holds fewer than ``max_tokens + 2`` records, since every
+    record adds at least one character and one blank.
+    """
+    halo = max_tokens + 2
+    block_rows = max(block_rows, halo)
+    types = dict(rows.dtypes)
+    home = F.floor(F.col("_idx") / block_rows)
+    near_start = (F.col("_idx") % block_rows < halo) & (home > 0)
+    blocks = F.when(near_start, F.array(home, home - 1)).otherwise(F.array(home))
+    spread_rows = (
+        rows.where("filled").withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == home)
+    )
+    key = f"`{corpus}` {types[corpus]}"
+    in_order = [corpus, "_block", "_idx"]
+    maps = spread_rows.repartition(corpus, "_block").sortWithinPartitions(*in_order).mapInPandas(
+        _block_maps(corpus, min_tokens, max_tokens, halo), f"{key}, _block long, _exits binary, _passed binary"
+    )
+    # one row of a few dozen kilobytes at most per block of records, read as a stream
+    entries = maps.repartition(corpus).sortWithinPartitions(corpus, "_block").mapInPandas(
+        _chain(corpus), f"{key}, _block long, _entry int, _base long"
+    )
+    placed = spread_rows.join(entries, [corpus, "_block"])
+    return placed.repartition(corpus, "_block").sortWithinPartitions(*in_order).mapInPandas(
+        _mark(corpus, order, min_tokens, max_tokens),
+        f"{key}, `{order}` {types[order]}, idx long, chunk_id long",
+    )
+
+
+def semantic_chunks(records: DataFrame, rows: DataFrame, ids: DataFrame, corpus: str, order: str) -> DataFrame:
+    """Chunk records; a chunk is bounded by the token limit, so its texts fit one row.
 
-    A chunk is bounded by the token limit, so its texts fit one row. Ids run from
-    the first record of a chunk to the one before the next chunk; the first chunk
-    starts at 0 and the last ends with the corpus.
+    Ids run from the first record of a chunk to the one before the next chunk; the
+    first chunk starts at 0 and the last ends with the corpus.
     """
+    texts = records.select(corpus, order, "record_text", "timestamp", "location")
     row = F.struct(F.col("idx").alias("o"), F.col("record_text").alias("t"), "timestamp", "location")
     grouped = (
-        marked.where(F.col("chunk_id").isNotNull()).groupBy(corpus, "chunk_id")
-        .agg(F.array_sort(F.collect_list(row)).alias("r"))
+        texts.join(ids, [corpus, order]).groupBy(corpus, "chunk_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
     )
     places = F.array_distinct(F.filter(F.col("r.location"), lambda x: F.coalesce(x, F.lit("")) != ""))
     chunks = grouped.select(
         corpus, "chunk_id",
         F.array_join(F.col("r.t"), "\n").alias("text"),
-        F.when(F.col("chunk_id") == 0, 0).otherwise(F.element_at("r", 1)["o"]).alias("start_id"),
         F.size("r").alias("record_count"),
         F.element_at("r", 1)["timestamp"].alias("start_time"),
         F.element_at("r", -1)["timestamp"].alias("end_time"),
         places.alias("locations"),
     )
-    following = chunks.select(
+    # where chunks start and end comes from the slim ids, not from the texts
+    first = F.when(F.col("chunk_id") == 0, 0).otherwise(F.min("idx")).alias("start_id")
+    starts = ids.groupBy(corpus, "chunk_id").agg(first)
+    following = starts.select(
         corpus, (F.col("chunk_id") - 1).alias("chunk_id"), (F.col("start_id") - 1).alias("_end")
     )
-    size = marked.groupBy(corpus).agg(F.max("idx").alias("_last"))
+    size = rows.groupBy(corpus).agg(F.max("idx").alias("_last"))
     return (
-        chunks.join(following, [corpus, "chunk_id"], "left").join(size, corpus)
+        chunks.join(starts, [corpus, "chunk_id"]).join(following, [corpus, "chunk_id"], "left").join(size, corpus)
         .withColumns({"end_id": F.coalesce("_end", "_last"), "token_count": estimate_tokens(F.col("text"))})
         .drop("_end", "_last")
     )
@@ -265,9 +306,12 @@ def chunk_narrative(
 ) -> DataFrame:
     """Records to chunks in one call."""
     ready = with_boundaries(records, corpus, order, fields, threshold)
-    ids = semantic_chunk_ids(ready, corpus, order, min_tokens, max_tokens, block_rows)
-    placed = numbered(ready, [corpus], [order], id_bucket(order, 1 << 20), "_row").withColumn("idx", F.col("_row") - 1)
-    return semantic_chunks(placed.join(ids, [corpus, order], "left"), corpus, order)
+    rows = numbered_records(ready, corpus, order)
+    ids = cut_lineage(semantic_chunk_ids(rows, corpus, order, min_tokens, max_tokens, block_rows))
+    texts = records.withColumn(
+        "record_text", record_text(F.col("timestamp"), F.col("location"), [F.col(f) for f in fields])
+    )
+    return semantic_chunks(texts, rows, ids, corpus, order)
 
 
 # Edges of the size report.

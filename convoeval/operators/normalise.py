@@ -387,3 +387,58 @@ def speaker_line(style: str, speaker: Column, text: Column, order: Column, capti
     raise ValueError("style must be quoted, role, alternating or plain")
 
 
+SPEAKER = r"(?:User said,|Assistant said,)"
+
+
+def parse_turns(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Turns of rendered sessions: ``(keys, turn, date, role, content)``.
+
+    The inverse of rendering. Lines are trimmed, blank ones dropped. A turn runs
+    from its ``X said,`` line to the next one; a date line inside the talk changes
+    the date from that turn on. The steps are separate projections, so that each
+    chunk is cut once, and nothing is shuffled.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    flat = chunks.select(*keys, F.array_join(lines, "\n").alias("_flat"))
+    parts = flat.select(
+        *keys,
+        F.regexp_extract("_flat", r"(?s)^(.*?)(?:^|\n)CONVERSATION:(?:\n|$)", 1).alias("_head"),
+        F.regexp_extract("_flat", r"(?s)(?:^|\n)CONVERSATION:(?:\n(.*))?$", 1).alias("_body"),
+    )
+    turn = rf"(?m)^{SPEAKER}[\s\S]*?(?=\n{SPEAKER}|\z)"
+    cut = parts.select(
+        *keys,
+        F.concat_ws("\n", "_head", F.regexp_extract("_body", rf"(?s)^(.*?)(?:^|\n){SPEAKER}", 1)).alias("_head"),
+        F.contains("_body", F.lit("DATE:")).alias("_dated"),
+        F.regexp_extract_all("_body", F.lit(turn), F.lit(0)).alias("_segments"),
+    )
+    # a running head is needed only where dates occur inside the talk
+    upto = F.when(
+        F.col("_dated"),
+        F.transform("_segments", lambda s, i: F.concat_ws(
+            "\n", F.col("_head"), F.array_join(F.slice("_segments", F.lit(1), i + 1), "\n"))),
+    )
+    rows = cut.withColumn("_upto", upto).select(
+        *keys, "_head", "_upto", F.posexplode("_segments").alias("turn", "_segment")
+    )
+    rows = rows.select(
+        *keys, "turn", F.coalesce(F.get("_upto", F.col("turn")), F.col("_head")).alias("_before"), "_segment",
+        F.filter(
+            F.split("_segment", "\n"), lambda x: ~x.startswith("DATE:") & (x != "CONVERSATION:")
+        ).alias("_lines"),
+    )
+    rows = rows.withColumn("_first", strip(F.regexp_replace(F.get("_lines", F.lit(0)), f"^{SPEAKER}", "")))
+    first = F.col("_first")
+    unquoted = F.when(
+        first.startswith('"') & first.endswith('"'),
+        F.substring(first, F.lit(2), F.greatest(F.length(first) - 2, F.lit(0))),
+    ).otherwise(first)
+    more = F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))
+    found = F.regexp_extract_all("_before", F.lit(r"(?m)^DATE:(.*?)(?:DATE:.*)?$"), F.lit(1))
+    date = strip(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"\(.*$", ""))
+    rows = rows.withColumn("_first", unquoted)
+    return rows.where("_first <> ''").select(
+        *keys, "turn", date.alias("date"),
+        F.when(F.col("_segment").startswith("User"), "user").otherwise("assistant").alias("role"),
+        F.array_join(F.concat(F.array("_first"), more), "\n").alias("content"),
+    )

@@ -26,11 +26,17 @@ def draw_bucket(order: Column, bits: int = 12) -> Column:
     return F.shiftright(order, DRAW_BITS - bits).cast("long")
 
 
+def _known(bucket: Column) -> Column:
+    """The bucket as a column that cannot be NULL, so that joining on it adds no
+    filter that works the bucket out again below."""
+    return F.coalesce(bucket, F.lit(0).cast("long"))
+
+
 def prefix_sums(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, **sums: Column
 ) -> DataFrame:
     """Adds inclusive running sums named by ``sums`` over ``order`` within ``keys``."""
-    df = df.withColumn("_bucket", bucket)
+    df = df.withColumn("_bucket", _known(bucket))
     group = [*keys, "_bucket"]
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +61,7 @@ def with_previous(
     df: DataFrame, keys: list[str], order: str, columns: list[str], bucket: Column
 ) -> DataFrame:
     """Adds ``prev_<c>`` from the row before within ``keys``."""
-    df = df.withColumn("_bucket", bucket)
+    df = df.withColumn("_bucket", _known(bucket))
     group = [*keys, "_bucket"]
     inside = Window.partitionBy(*group).orderBy(order)
     over = Window.partitionBy(*keys).orderBy("_bucket")

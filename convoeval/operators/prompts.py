@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoeval.functions.answers import fill_template
+from convoeval.functions.answers import batch_answer, batch_reply, fill_template
 from convoeval.functions.text import TRUNCATED_HEAD, strip
 from convoeval.operators.joins import visible_tail
 from convoeval.operators.ordered import id_bucket, numbered
@@ -93,3 +93,12 @@ def batch_prompts(
     )
     prompt = F.concat(F.lit("Your memory:\n"), memory, F.lit("\n\n"), "queries")
     return batches.join(tail, "qid").select("task_id", "batch_index", prompt.alias("prompt"))
+
+
+def parse_batch_answers(replies: DataFrame, keys: list[str], reply: str, n: int) -> DataFrame:
+    """Answers ``0 .. n-1`` of batch replies as rows; missing ones are NULL."""
+    parsed = replies.select(*keys, batch_reply(F.col(reply)).alias("_map"))
+    rows = parsed.select(
+        *keys, "_map", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
+    ).select(*keys, "i", F.try_element_at("_map", F.col("i").cast("string")).alias("_raw"))
+    return rows.select(*keys, "i", batch_answer(F.col("_raw")).alias("answer"))

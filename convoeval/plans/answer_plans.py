@@ -53,8 +53,8 @@ def ans4(spark, d):
         F.when(F.col("event_type") != "view", F.concat(F.lit("', '1': {'x': '"), "user_id", F.lit("', 'y': 'k'}, '2': "))).otherwise("', '2': "),
         F.col("user_id").cast("string"), F.lit("}\n```"),
     )
-    out = table(spark, d, "events").select("event_id", F.posexplode(A.parse_batch_answers(raw, 3)).alias("i", "answer"))
-    return out.where("answer IS NOT NULL")
+    replies = table(spark, d, "events").select("event_id", raw.alias("reply"))
+    return P.parse_batch_answers(replies, ["event_id"], "reply", 3).where("answer IS NOT NULL")
 
 
 @query("ans5_classify_error", """SELECT event_id, CASE WHEN event_type = 'view' THEN 'ERROR_API_CALL'

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from convoeval.session import spread
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,4 +32,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table; a reader object with its own ``table`` may stand in for the session."""
     if hasattr(spark, "folder"):
         return spark.table(name)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df

@@ -55,8 +55,7 @@ SELECT conv_id, turn, date, role,
   CASE WHEN contains(content, chr(10)) THEN '"' || content || '"' ELSE content END AS content
 FROM l WHERE content <> ''""")
 def txt2(spark, d):
-    turns = rendered(spark, d).select("conv_id", F.explode(X.parse_turns(F.col("text"))).alias("t"))
-    return turns.select("conv_id", F.col("t.turn").cast("long").alias("turn"), "t.date", "t.role", "t.content")
+    return N.parse_turns(rendered(spark, d), ["conv_id"]).withColumn("turn", F.col("turn").cast("long"))
 
 
 @query("txt3_flatten_haystack", """
