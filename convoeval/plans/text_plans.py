@@ -80,15 +80,15 @@ e AS (SELECT doc_id, unnest(c) AS piece, generate_subscripts(c, 1) AS i FROM p)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS position, piece FROM e WHERE piece <> ''""")
 def txt4(spark, d):
     return table(spark, d, "documents").select(
-        "doc_id", F.posexplode(X.pack_lines(F.col("text"), 1000)).alias("position", "piece")
-    )
+        "doc_id", F.posexplode_outer(X.pack_lines(F.col("text"), 1000)).alias("position", "piece")
+    ).where("position IS NOT NULL")
 
 
 @query("txt5_split_words")
 def txt5(spark, d):
     return table(spark, d, "documents").select(
-        "doc_id", F.posexplode(X.split_words(F.col("text"), 5000, 200)).alias("position", "piece")
-    )
+        "doc_id", F.posexplode_outer(X.split_words(F.col("text"), 5000, 200)).alias("position", "piece")
+    ).where("position IS NOT NULL")
 
 
 @query("txt6_keep_ends", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents)

@@ -60,3 +60,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by key into the full number of shuffle partitions.
+
+    For Python work per key: a shuffle without a number would be merged by its
+    bytes into few tasks, although the work per byte is high.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -20,7 +20,7 @@ def start_index(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     write = batch_writer(path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+        rows = batch.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term"))
         write(rows.groupBy("id", "len", "term").agg(F.count("*").alias("tf")), batch_id)
 
     return (
