@@ -177,7 +177,7 @@ def read_responses(spark: SparkSession, path: str, strict: bool = False) -> Data
     if strict:
         return spark.read.schema(RESPONSE).option("mode", "FAILFAST").json(path)
     rows = reader.option("columnNameOfCorruptRecord", BROKEN).json(path)
-    return rows.where(F.col(BROKEN).isNull()).drop(BROKEN)
+    return rows.where(F.col(BROKEN).isNull() & F.col("response").isNotNull()).drop(BROKEN)
 
 
 def _agent(prefix: str) -> Column:
