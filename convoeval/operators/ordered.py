@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoeval.functions.draws import DRAW_BITS
+from convoeval.session import cut_lineage
 
 BUCKET_ROWS = 1 << 20
 
@@ -85,11 +86,12 @@ def value_bucket(value: Column) -> Column:
 def exact_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median of ``value`` per key, without one task holding a key.
 
-    Equal values are counted first, combined on the map side. The counts are then
+    Equal values are counted first, combined on the map side, and the counts are
+    written once because the steps below read them three times. They are then
     summed up along the values, bucket by bucket, and the middle ones are read off.
     """
     v = F.col(value).cast("double")
-    hist = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    hist = cut_lineage(df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n")))
     ranked = prefix_sums(hist, keys, ["_v"], value_bucket(F.col("_v")), _last=F.col("_n"))
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)

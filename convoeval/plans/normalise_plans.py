@@ -202,7 +202,19 @@ def nrm12(spark, d):
     return out.select("doc_id", "doc_index", "copies")
 
 
-@query("nrm13_mix_distractors")
+@query("nrm13_mix_distractors", """WITH f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
+ix AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM f),
+t AS (SELECT count(*) AS n FROM ix),
+need AS (SELECT DISTINCT b.item_id AS qid, ix.doc_index FROM benchmark b JOIN ix ON ix.doc_id IN (b.item_id, b.item_id + 7)),
+draws AS (SELECT DISTINCT b.item_id AS qid, CAST('0x' || left(md5('42|' || b.item_id || '|' || i), 15) AS BIGINT) % t.n AS doc_index
+  FROM benchmark b, t, (SELECT unnest(generate_series(0, 80)) AS i)),
+free AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CAST('0x' || left(md5('42|' || qid || '|' || doc_index), 15) AS BIGINT)) AS r
+  FROM draws d WHERE NOT EXISTS (SELECT 1 FROM need n WHERE n.qid = d.qid AND n.doc_index = d.doc_index)),
+room AS (SELECT item_id AS qid, 20 - (SELECT count(*) FROM need n WHERE n.qid = item_id) AS room FROM benchmark),
+kept AS (SELECT qid, doc_index, TRUE AS supporting FROM need
+  UNION ALL SELECT qid, doc_index, FALSE FROM free JOIN room USING (qid) WHERE r <= room)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY CAST('0x' || left(md5('43|' || qid || '|' || doc_index), 15) AS BIGINT)) - 1 AS position,
+  doc_index, supporting FROM kept""")
 def nrm13(spark, d):
     docs = N.dedupe_documents(
         table(spark, d, "documents").withColumn("title", F.concat(F.lit("t"), "doc_id")), "doc_id", F.col("text")
@@ -260,7 +272,7 @@ def nrm18(spark, d):
     return N.index_by_id(e, ["user_id"], "event_id")
 
 
-@query("nrm19_detect_layout")
+@query("nrm19_detect_layout", """SELECT doc_id, lang AS action, source AS "Mind", 'Mind' AS layout FROM documents""")
 def nrm19(spark, d):
     named = table(spark, d, "documents").select(
         "doc_id", F.col("lang").alias("action"), F.col("source").alias("Mind")

@@ -8,7 +8,9 @@ from convoeval.operators import joins as J
 from convoeval.operators import normalise as N
 from convoeval.operators import routing
 from convoeval.plans.registry import query, table
-from convoeval.plans.views import NARRATIVE_FIELDS, SQL_NARRATIVE, narrative, sql_collapse, sql_strip
+from convoeval.plans.views import (
+    NARRATIVE_FIELDS, SQL_NARRATIVE, SQL_SPACE, narrative, sql_collapse, sql_strip,
+)
 
 
 def rendered(spark, d):
@@ -84,7 +86,15 @@ def txt4(spark, d):
     ).where("position IS NOT NULL")
 
 
-@query("txt5_split_words")
+@query("txt5_split_words", f"""WITH RECURSIVE w AS (
+  SELECT doc_id, text AS rest, -1 AS position, CAST('' AS VARCHAR) AS piece, length(text) <= 5000 AS whole FROM documents
+  UNION ALL
+  SELECT doc_id, CASE WHEN whole THEN '' ELSE regexp_replace(substr(rest, cut + 1), '^{SQL_SPACE}+', '') END, position + 1,
+    CASE WHEN whole THEN rest ELSE {sql_strip('left(rest, cut)')} END, whole
+  FROM (SELECT *, CASE WHEN whole OR length(rest) <= 5000 THEN length(rest)
+          WHEN contains(substr(rest, 4801, 200), ' ') THEN 5000 - instr(reverse(substr(rest, 4801, 200)), ' ')
+          ELSE 5000 END AS cut FROM w WHERE rest <> ''))
+SELECT doc_id, position, piece FROM w WHERE position >= 0""")
 def txt5(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", F.posexplode_outer(X.split_words(F.col("text"), 5000, 200)).alias("position", "piece")
@@ -151,7 +161,36 @@ def txt10(spark, d):
     return marked.select("corpus", "ord", "strength", "boundary")
 
 
-@query("txt11_semantic_chunks")
+def _sql_est(text):
+    flat = f"trim(regexp_replace({text}, '{SQL_SPACE}+', ' ', 'g'))"
+    return _sql_tokens_estimate(flat)
+
+
+@query("txt11_semantic_chunks", f"""WITH RECURSIVE {SQL_NARRATIVE},
+b AS (SELECT corpus, ord, location, timestamp, CAST(timestamp AS TIMESTAMP) AS ts,
+        length(action) + coalesce(length(dialogue), 0) + coalesce(length(environment), 0) AS len,
+        concat_ws(' | ', '[' || timestamp || '] ' || location, concat_ws(' ', action, dialogue, environment)) AS record FROM narrative),
+p AS (SELECT *, lag(ts) OVER w AS pts, lag(location) OVER w AS ploc, lag(len) OVER w AS plen, row_number() OVER w - 1 AS i,
+        avg(len) OVER (PARTITION BY corpus) AS mean, count(*) OVER (PARTITION BY corpus) AS n FROM b WINDOW w AS (PARTITION BY corpus ORDER BY ord)),
+r AS MATERIALIZED (SELECT *, plen IS NOT NULL AND
+  (CASE WHEN abs(epoch(ts) - epoch(pts)) > 604800 THEN 60 WHEN abs(epoch(ts) - epoch(pts)) > 86400 THEN 40 WHEN abs(epoch(ts) - epoch(pts)) > 21600 THEN 20 ELSE 10 END)
+  + (CASE WHEN location <> ploc THEN 30 ELSE 0 END)
+  + (CASE WHEN abs(len - plen) * 1.0 / plen > 0.5 THEN 20 WHEN abs(len - plen) * 1.0 / plen > 0.3 THEN 15 ELSE 5 END)
+  + (CASE WHEN len / mean > 3.0 OR len / mean < 0.3 THEN 15 ELSE 0 END) >= 50 AS boundary FROM p),
+f AS (
+  SELECT corpus, i, 0 AS chunk_id, record AS text, i AS first_i, 1 AS record_count, timestamp AS start_time, timestamp AS end_time, n,
+    [location] AS locs FROM r WHERE i = 0
+  UNION ALL
+  SELECT f.corpus, r.i, CASE WHEN c.cut THEN chunk_id + 1 ELSE chunk_id END, CASE WHEN c.cut THEN r.record ELSE f.text || chr(10) || r.record END,
+    CASE WHEN c.cut THEN r.i ELSE first_i END, CASE WHEN c.cut THEN 1 ELSE record_count + 1 END,
+    CASE WHEN c.cut THEN r.timestamp ELSE f.start_time END, r.timestamp, f.n,
+    CASE WHEN c.cut THEN [r.location] WHEN list_contains(f.locs, r.location) THEN f.locs ELSE list_append(f.locs, r.location) END
+  FROM f JOIN r ON r.corpus = f.corpus AND r.i = f.i + 1,
+  LATERAL (SELECT {_sql_est("f.text || chr(10) || r.record")} AS size) s,
+  LATERAL (SELECT s.size > 200 OR (s.size >= 100 AND r.boundary) AS cut) c),
+last AS (SELECT *, row_number() OVER (PARTITION BY corpus, chunk_id ORDER BY i DESC) AS k FROM f)
+SELECT corpus, chunk_id, text, record_count, start_time, end_time, array_to_string(locs, ',') AS locations, first_i AS start_id, i AS end_id,
+  {_sql_est("text")} AS token_count FROM last WHERE k = 1""")
 def txt11(spark, d):
     chunks = C.chunk_narrative(narrative(spark, d), "corpus", "ord", NARRATIVE_FIELDS, 100, 200)
     return chunks.withColumn("locations", F.array_join("locations", ","))
@@ -218,7 +257,15 @@ def txt16(spark, d):
     return routing.task_types(labelled_chunks(spark, d), icl_labels=50)
 
 
-@query("txt17_route_split")
+@query("txt17_route_split", f"""WITH {_LABELLED},
+src AS (SELECT d.source AS task_id, d.doc_id AS position,
+  CASE WHEN doc_id % 20 IN (3, 4) THEN replace(d.text, chr(10), chr(10) || 'Label: 7 ') ELSE d.text END AS text FROM documents d),
+s AS (SELECT task_id, count(*) AS n_chunks, sum(length(text)) AS n_chars,
+  sum(CASE WHEN position < 10 THEN len(regexp_extract_all(text, '\\nLabel:\\s*\\d+')) ELSE 0 END) AS n_labels FROM ch GROUP BY task_id),
+k AS (SELECT task_id, n_labels < 50 AND (n_chunks >= 100 OR n_chars > 50000) AS is_long FROM s),
+p AS (SELECT task_id, position, CASE WHEN is_long AND length(text) >= 2000 THEN list_filter(string_split({_FOLD}, chr(1)), lambda x: x <> '')
+  ELSE [text] END AS c FROM src JOIN k USING (task_id))
+SELECT task_id, position, generate_subscripts(c, 1) - 1 AS piece_no, unnest(c) AS piece FROM p""")
 def txt17(spark, d):
     chunks = labelled_chunks(spark, d)
     routed = routing.route_split(chunks, routing.task_types(chunks, icl_labels=50))
