@@ -215,3 +215,49 @@ def test_abstention_rules(spark):
     suffix = {r["qid"]: r["template"] for r in P.choose_template(q, known, "suffix").collect()}
     assert inner == {"p_x_abs_0": "abstention", "p_x_abs": "default", "p_1": "k"}
     assert suffix["p_x_abs"] == "abstention" and suffix["p_x_abs_0"] == "default"
+
+
+def test_made_questions_are_answered_right(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    data = [("t", f"2024-01-{rng.randint(1, 9):02d}", rng.choice(["food", "rent", "fun"]), rng.randint(100, 9999) / 100) for _ in range(80)]
+    tx = spark.createDataFrame(data, "task_id string, date string, scene string, amount double").withColumn("date", F.to_date("date"))
+    made = L.make_questions(tx, ["food", "rent", "fun", "none"], per_type=6, seed=1).collect()
+    assert len({r["query"] for r in made}) == len(made) and len({r["category"] for r in made}) == 8
+    for r in made:
+        days = re.findall(r"\d{4}-\d\d-\d\d", r["query"])
+        scenes = [s for s in ("food", "rent", "fun", "none") if s in r["query"]]
+        inside = [d for d in data if len(days) < 2 or days[0] <= d[1] <= days[1]]
+        if r["category"] == "single_date_scene_amount":
+            inside = [d for d in data if d[1] == days[0]]
+        if scenes:
+            inside = [d for d in inside if d[2] in scenes]
+        total = f"{sum(d[3] for d in inside):.2f}"
+        if r["category"] == "max_scene":
+            sums = {}
+            for d in inside:
+                sums[d[2]] = round(sums.get(d[2], 0) + d[3], 2)
+            total = ", ".join(sorted(s for s, v in sums.items() if v == max(sums.values())))
+        elif r["category"] == "max_frequency_date":
+            n = {}
+            for d in inside:
+                n[d[1]] = n.get(d[1], 0) + 1
+            total = ", ".join(sorted(k for k, v in n.items() if v == max(n.values())))
+        elif r["category"] == "max_single_amount":
+            total = f"{max(d[3] for d in inside):.2f}"
+        assert r["answer"] == total, r
+
+
+def test_profile_report_repeats_the_parts(spark):
+    from convoeval.operators import profiling as PRO
+
+    rows = [("c", i, t, p, "x" * i) for i, (t, p) in enumerate(
+        [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:10:00", "b"), (None, "a"), ("2024-01-01 00:05:00", "a"), ("bad", "")])]
+    df = spark.createDataFrame(rows, "corpus string, ord long, timestamp string, location string, action string")
+    got = {(r["section"], r["item"]): r["value"] for r in PRO.profile_report(df, "corpus", "ord", ["action"]).collect()}
+    assert got[("span", "n_records")] == "5" and got[("span", "n_places")] == "2"
+    assert (got[("gaps", "n_gaps")], got[("gaps", "mean")], got[("gaps", "min")]) == ("2", "2.5", "-5.0")
+    assert got[("gap_buckets", "<=1m")] == "1" and got[("gap_buckets", "5-30m")] == "1"
+    assert got[("lengths", "action")] == "2.5" and got[("places", "a")] == "3" and got[("times", "hour_0")] == "3"
