@@ -5,7 +5,7 @@ from convoeval.plans.registry import ORACLES, QUERIES
 GROUPS = [
     "scoring_plans", "report_plans", "ledger_plans", "retrieval_plans", "normalise_plans",
     "join_plans", "text_plans", "memory_plans", "answer_plans", "sampling_plans", "profile_plans",
-    "incremental_plans", "stream_plans",
+    "incremental_plans", "stream_plans", "source_plans",
 ]
 
 for _group in GROUPS:

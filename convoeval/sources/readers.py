@@ -1,6 +1,7 @@
 """Readers for samples, dialogues, question files, responses and evaluations.
 
-Every reader has a fixed schema: no inference pass, missing fields are NULL.
+Every reader has a fixed schema: no inference pass, missing fields are NULL. Files
+are one JSON array each, or with ``lines`` one object per line, which Spark can split.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def to_long(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks, questions
 
 
-def read_session_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_session_dialogues(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Dialogues whose sessions sit under ``session_N`` keys.
 
     Returns turns ``(sample_id, session, date, speaker_a, speaker_b, turn, speaker,
@@ -59,7 +60,7 @@ def read_session_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, D
         "qa array<struct<question:string,answer:string,adversarial_answer:string,category:int,"
         "evidence:array<string>>>"
     )
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     talk = F.col("conversation")
     sessions = raw.select(
         "sample_id", talk["speaker_a"].alias("speaker_a"), talk["speaker_b"].alias("speaker_b"),
@@ -86,13 +87,13 @@ def read_session_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return turns, questions
 
 
-def read_haystack_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_haystack_dialogues(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Haystack dialogues: sessions zipped with dates by ordinal, empty ones dropped."""
     schema = (
         "question_id string, question_type string, question string, answer string, question_date string, "
         "haystack_sessions array<array<struct<role:string,content:string>>>, haystack_dates array<string>"
     )
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     dated = raw.select("question_id", "haystack_dates", F.posexplode("haystack_sessions").alias("session", "_t"))
     turns = dated.where(F.size("_t") > 0).select(
         "question_id", "session",
@@ -107,7 +108,7 @@ def read_haystack_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame,
     return turns, questions
 
 
-def read_persona_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_persona_dialogues(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Earlier dialogs plus the current one, and the self-instruct question.
 
     The speaker of an earlier turn follows its ordinal.
@@ -116,7 +117,7 @@ def read_persona_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, D
         "metadata struct<initial_data_id:string>, previous_dialogs array<struct<dialog:array<struct<text:string>>>>, "
         "dialog array<struct<id:string,text:string>>, self_instruct struct<A:string,B:string>"
     )
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).withColumn(
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn(
         "task_id", F.col("metadata.initial_data_id")
     )
     earlier = raw.select("task_id", F.posexplode("previous_dialogs").alias("session", "_d")).select(
@@ -135,10 +136,12 @@ def read_persona_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return earlier.unionByName(current), questions
 
 
-def read_json_tree(spark: SparkSession, folder: str, schema: str, marker: str) -> DataFrame:
-    """All JSON array files below a folder; category = path segment after ``marker``."""
+def read_json_tree(
+    spark: SparkSession, folder: str, schema: str, marker: str, lines: bool = False
+) -> DataFrame:
+    """All JSON files below a folder; category = path segment after ``marker``."""
     rows = (
-        spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+        spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json").json(folder)
     )
     path = F.col("_metadata.file_path")

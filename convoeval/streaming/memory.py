@@ -67,12 +67,21 @@ def edit_facts(edits: DataFrame) -> DataFrame:
 
 
 def start_memory(edits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the facts of each micro-batch; needs the RocksDB state store."""
-    edits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return (
-        edit_facts(edits).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(batch_writer(path)).start()
-    )
+    """Writes the facts of each micro-batch.
+
+    The operator needs the RocksDB state store. A query keeps the setting it
+    starts with, so the session gets its own value back.
+    """
+    conf, name = edits.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        return (
+            edit_facts(edits).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(batch_writer(path)).start()
+        )
+    finally:
+        conf.set(name, before)
 
 
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
