@@ -8,9 +8,11 @@ from convoeval.operators import normalise as N
 from convoeval.operators import reports as REP
 from convoeval.operators import sampling as S
 from convoeval.plans.join_plans import chunks_and_questions
+from convoeval.operators.joins import match_answers
 from convoeval.plans.registry import query, table
+from convoeval.plans.report_plans import LANGS
 from convoeval.plans.stream_plans import _folders
-from convoeval.plans.views import NARRATIVE_FIELDS, SQL_SCORES, long_scores, narrative
+from convoeval.plans.views import NARRATIVE_FIELDS, SQL_SCORES, long_scores, narrative, scores
 from convoeval.sources import readers as R
 from convoeval.sources import writers as W
 
@@ -66,6 +68,46 @@ def src3(spark, d):
     return R.read_json_tree(spark, out, "doc_id bigint", "cases", lines=True).select("doc_id", "category")
 
 
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("src4_read_qa_files", """SELECT event_type AS type, CAST(event_id AS VARCHAR) AS id, 'Who did ' || event_id || '?' AS question,
+  CAST(user_id AS VARCHAR) AS answer FROM events WHERE event_id % 7 <> 0""")
+def src4(spark, d):
+    out, _ = _folders(spark)
+    events = table(spark, d, "events").select("event_type", F.col("event_id").alias("id"), "user_id")
+    for i, kind in enumerate(KINDS):  # one file family per event type, names in singular and plural
+        mine, s = events.where(F.col("event_type") == kind), "s" if i % 2 else ""
+        mine.select("id", F.concat(F.lit("Who did "), "id", F.lit("?")).alias("question")).write.json(f"{out}/set1/question/{kind}_question{s}.json")
+        mine.where("id % 7 <> 0").select("id", F.col("user_id").alias("answer")).write.json(f"{out}/set1/answer/{kind}_answer{s}.json")
+    questions, answers = R.read_qa_files(spark, out, lines=True)
+    return match_answers(questions, answers, ["corpus", "type", "id"]).drop("corpus")
+
+
+def _results(spark, d):
+    """A results tree: task folders with evaluated and responses outputs."""
+    out, _ = _folders(spark)
+    rows = scores(spark, d)
+    for task in LANGS:
+        mine = rows.where(F.col("task") == task).select(
+            F.col("qid").cast("string").alias("qid"), F.create_map(F.lit("quality"), F.col("quality")).alias("metric")
+        )
+        mine.write.json(f"{out}/{task}/evaluated_my_agent_{len(task)}.jsonl")
+        mine.select("qid").write.json(f"{out}/{task}/responses_{task}.jsonl")
+    return out
+
+
+@query("src6_read_evaluations", f"""WITH {SQL_SCORES}
+SELECT task, 'my_agent' AS agent, CAST(qid AS VARCHAR) AS qid, 'quality' AS metric, quality AS value FROM scores""")
+def src6(spark, d):
+    return R.long_metrics(R.read_evaluations(spark, _results(spark, d)))
+
+
+@query("inc5_discover_outputs", "SELECT DISTINCT lang AS task, lang AS agent FROM documents")
+def inc5(spark, d):
+    return R.discover_outputs(spark, _results(spark, d))
+
+
 _GOOD = "FROM events WHERE event_type <> 'view'"
 
 

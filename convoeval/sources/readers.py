@@ -154,10 +154,10 @@ def read_json_tree(
 
 def _stem(suffix: str) -> Column:
     path = F.url_decode(F.col("_metadata.file_path"))
-    return F.regexp_extract(path, rf"([^/]+)_{suffix}s?\.json$", 1)
+    return F.regexp_extract(path, rf"([^/]+)_{suffix}s?\.json(?:/[^/]*)?$", 1)
 
 
-def read_qa_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_qa_files(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Question and answer file families; the type is the stem of the file name.
 
     Names may end in the singular or the plural. The corpus is the folder name.
@@ -165,10 +165,10 @@ def read_qa_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
     def read(kind: str, schema: str) -> DataFrame:
         rows = (
-            spark.read.schema(schema).option("multiLine", True)
-            .json([f"{folder}/*/{kind}/*_{kind}.json", f"{folder}/*/{kind}/*_{kind}s.json"])
+            spark.read.schema(schema).option("multiLine", not lines)
+            .json(f"{folder}/*/{kind}/*_{{{kind},{kind}s}}.json")
         )
-        corpus = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{kind}/[^/]+$", 1)
+        corpus = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{kind}/[^/]+\.json(?:/[^/]*)?$", 1)
         return rows.select(corpus.alias("corpus"), _stem(kind).alias("type"), *rows.columns)
 
     return read("question", "id string, question string"), read("answer", "id string, answer string")
@@ -184,16 +184,19 @@ def read_responses(spark: SparkSession, path: str, strict: bool = False) -> Data
 
 
 def _agent(prefix: str) -> Column:
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}([^/]*)\.jsonl$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}([^/]*)\.jsonl(?:/[^/]*)?$", 1)
     return F.regexp_replace(name, r"(?<=.)_\d+$", "")
 
 
 def _task(prefix: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{prefix}[^/]*\.jsonl$", 1)
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{prefix}[^/]*\.jsonl(?:/[^/]*)?$", 1)
 
 
 def read_evaluations(spark: SparkSession, results: str) -> DataFrame:
-    """All evaluated files of all tasks with task and agent from the path."""
+    """All evaluated files of all tasks with task and agent from the path.
+
+    A result may be one file or, as Spark writes it, a folder of that name.
+    """
     rows = spark.read.schema(EVALUATION).json(f"{results}/*/evaluated_*.jsonl")
     return rows.select(_task("evaluated_").alias("task"), _agent("evaluated_").alias("agent"), *rows.columns)
 
@@ -205,10 +208,7 @@ def long_metrics(evaluations: DataFrame) -> DataFrame:
 
 def discover_outputs(spark: SparkSession, results: str, prefix: str = "responses_") -> DataFrame:
     """Task and agent of every output file; hidden task folders are left out."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.jsonl")
-        .load(f"{results}/*").select("_metadata")
-    )
+    files = spark.read.format("binaryFile").load(f"{results}/*/{prefix}*.jsonl").select("_metadata")
     return files.select(_task(prefix).alias("task"), _agent(prefix).alias("agent")).where(
         ~F.col("task").startswith(".")
     ).distinct()

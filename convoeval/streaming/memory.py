@@ -22,6 +22,7 @@ from convoeval.sources.writers import batch_writer
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField("last_seq", T.LongType()), T.StructField("first_seq", T.LongType())])
 NONE = -1
+FACT_COLUMNS = ["key", "memory_id", "fact", "item", "seq", "content", "mentioned_at"]
 
 
 class EditProcessor(StatefulProcessor):
@@ -32,23 +33,27 @@ class EditProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, first = self._state.get() if self._state.exists() else (NONE, NONE)
-        edits = pd.concat(list(rows), ignore_index=True).sort_values("seq")
+        edits = sorted(
+            (e for pdf in rows for e in zip(pdf["seq"], pdf["operation"], pdf["content"], pdf["mentioned_at"])),
+            key=lambda e: e[0],
+        )
         out = []
-        for e in edits.itertuples(index=False):
-            if e.seq <= last:
-                out.append((key[0], key[1], "late", e.seq, e.seq, e.content, e.mentioned_at))
+        for seq, verb, content, day in edits:
+            if seq <= last:
+                out.append((*key, "late", seq, seq, content, day))
                 continue
-            last = e.seq
-            if e.operation == "ADD":
-                first = e.seq if first == NONE else first
-                out.append((key[0], key[1], "item", e.seq, e.seq, e.content, e.mentioned_at))
-            elif e.operation == "UPDATE" and first != NONE:
-                out.append((key[0], key[1], "text", first, e.seq, e.content, None))
-            elif e.operation == "DELETE":
+            last = seq
+            if verb == "ADD":
+                first = seq if first == NONE else first
+                out.append((*key, "item", seq, seq, content, day))
+            elif verb == "UPDATE" and first != NONE:
+                out.append((*key, "text", first, seq, content, None))
+            elif verb == "DELETE":
                 first = NONE
-                out.append((key[0], key[1], "cut", e.seq, e.seq, None, None))
+                out.append((*key, "cut", seq, seq, None, None))
         self._state.update((int(last), int(first)))
-        yield pd.DataFrame(out, columns=["key", "memory_id", "fact", "item", "seq", "content", "mentioned_at"])
+        if out:
+            yield pd.DataFrame(out, columns=FACT_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -60,7 +65,8 @@ def edit_facts(edits: DataFrame) -> DataFrame:
     schema = (
         f"key {key_type}, memory_id string, fact string, item long, seq long, content string, mentioned_at string"
     )
-    ready = complete(edits).withColumnRenamed("target_id", "memory_id")
+    # a TOUCH changes nothing, so it need not reach the state
+    ready = complete(edits).where("operation <> 'TOUCH'").withColumnRenamed("target_id", "memory_id")
     return ready.groupBy("key", "memory_id").transformWithStateInPandas(
         statefulProcessor=EditProcessor(), outputStructType=schema, outputMode="Update", timeMode="None"
     )
