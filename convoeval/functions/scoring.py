@@ -80,9 +80,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def _rouge_tokens(text: str) -> list[str]:
+def _rouge_tokens(text: str, memo: dict[str, str]) -> list[str]:
     found = re.findall(r"[a-z0-9]+", text.lower())
-    return [stem(t) if len(t) > 3 else t for t in found]
+    for t in found:
+        if t not in memo:
+            memo[t] = stem(t) if len(t) > 3 else t
+    return [memo[t] for t in found]
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -98,11 +101,12 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def rouge_l_value(pred: str | None, gold: str | None) -> float:
+def rouge_l_value(pred: str | None, gold: str | None, memo: dict[str, str] | None = None) -> float:
     """ROUGE-L F on stemmed tokens; inputs are normalised answers."""
     if not pred or not gold:
         return 0.0
-    p, g = _rouge_tokens(pred), _rouge_tokens(gold)
+    memo = {} if memo is None else memo
+    p, g = _rouge_tokens(pred, memo), _rouge_tokens(gold, memo)
     if not p or not g:
         return 0.0
     n = _lcs(g, p)
@@ -111,7 +115,8 @@ def rouge_l_value(pred: str | None, gold: str | None) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _rouge_l(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    return pd.Series([rouge_l_value(p, g) for p, g in zip(pred, gold)], dtype="float64")
+    memo: dict[str, str] = {}  # stems of one batch
+    return pd.Series([rouge_l_value(p, g, memo) for p, g in zip(pred, gold)], dtype="float64")
 
 
 def rouge_l(response: Column, expected: Column) -> Column:

@@ -3,8 +3,6 @@ extensions of later implementations (irregular forms, -ied/-ies, -fulli ...)."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 # Words with a stem of their own.
 IRREGULAR = {
     "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
@@ -123,7 +121,6 @@ def _final_e(w: str) -> str:
     return w
 
 
-@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     word = word.lower()
     if word in IRREGULAR:
