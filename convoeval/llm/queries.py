@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import line_dedup, warc
+from convoeval.llm import decontaminate, licenses, line_dedup, secrets, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,87 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     whole = warc.round_trip(table(spark, folder, "pages"), segment_bytes=1 << 15, chunk_bytes=1 << 13)
     return whole.select("page_id", F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                         "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op5_decontamination", r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, i, dw.n FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_LICENSE_VALUES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.NOTICES))
+_PHRASE_VALUES = ", ".join(f"('{label}', '{text}')" for text, label in licenses.PHRASES)
+
+
+@query("op4_license_scan", rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
+phrase(label, words) AS (SELECT label, string_split(p, ' ') FROM (VALUES {_PHRASE_VALUES}) v(label, p)),
+place AS (SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE list_contains(w, 'license') OR list_contains(w, 'cc')), phrase
+  WHERE list_slice(w, i, i + len(words) - 1) = words),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY doc_id),
+notice(id, label, words) AS (SELECT id, label, list_distinct(string_split(p, ' ')) FROM (VALUES {_LICENSE_VALUES}) v(id, label, p)),
+line AS (SELECT doc_id, list_distinct(regexp_split_to_array(l, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+near AS (SELECT doc_id, label, len(list_intersect(tokens, words)) / len(words) AS share FROM line, notice WHERE len(list_intersect(tokens, words)) >= ceil(0.9 * len(words) - 1e-9)),
+lab AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM near) GROUP BY doc_id),
+blab AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(blab.labels, '') AS base_labels,
+  coalesce(lab.labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce((SELECT max(share) FROM near n WHERE n.doc_id = w.doc_id), 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN lab USING (doc_id) LEFT JOIN blab USING (doc_id)""")
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def _secret_sql() -> str:
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        rx = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {i} AS place, '{r.kind}' AS kind, {r.least} AS least, coalesce(text, '') AS text,
+          regexp_extract_all(coalesce(text, ''), '{rx}', 0) AS m, regexp_extract_all(coalesce(text, ''), '{rx}', {r.group}) AS g FROM documents""")
+    # RE2 finds no places; each match is looked for behind the end of the match before it
+    return f"""
+WITH RECURSIVE hits AS (SELECT row_number() OVER () AS h, * FROM ({' UNION ALL '.join(parts)}) WHERE len(m) > 0),
+step AS (
+  SELECT h, 1 AS i, strpos(text, m[1]) - 1 AS s, strpos(text, m[1]) - 1 + length(m[1]) AS e FROM hits
+  UNION ALL
+  SELECT h, i + 1, step.e + strpos(substr(text, step.e + 1), m[i + 1]) - 1, step.e + strpos(substr(text, step.e + 1), m[i + 1]) - 1 + length(m[i + 1])
+  FROM step JOIN hits USING (h) WHERE i < len(m)),
+spans AS (SELECT doc_id, kind, place, s, kind || ':' || s || ':' || e AS span FROM step JOIN hits USING (h) WHERE length(g[i]) >= least)
+SELECT d.doc_id, count(s) FILTER (WHERE kind = 'assign') AS n_assign, count(s) FILTER (WHERE kind = 'access') AS n_access, count(s) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, place) FILTER (WHERE place < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY s, place), '') AS spans
+FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("op8_secret_scan", None)
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, folder, "documents"))
+    base = [r.kind for r in secrets.BASE]
+
+    def joined(array):
+        return F.array_join(F.transform(array, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in base],
+        F.sha2(joined(F.filter("findings", lambda x: x["place"] < len(base))), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
+ORACLES["op8_secret_scan"] = _secret_sql()
