@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import decontaminate, licenses, line_dedup, secrets, warc
+from convoeval.llm import decontaminate, licenses, line_dedup, secrets, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,7 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
   CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d""")
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
-    whole = warc.round_trip(table(spark, folder, "pages"), segment_bytes=1 << 15, chunk_bytes=1 << 13)
+    whole = warc.round_trip(table(spark, folder, "pages"), payloads=False, segment_bytes=1 << 15, chunk_bytes=1 << 13)
     return whole.select("page_id", F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                         "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
@@ -136,3 +136,10 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op8_secret_scan"] = _secret_sql()
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))

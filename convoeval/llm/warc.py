@@ -97,7 +97,7 @@ def write_warc(
     columns = ["page_id", "url", "payload", "digest", "length", "refers"]
 
     def records(batches):
-        for batch in batches:
+        for batch in _slices(batches, "payload"):
             out = []
             for page, url, payload, digest, length, refers in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 known = [("WARC-Page-ID", page), ("WARC-Target-URI", _clean(url)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}")]
@@ -124,7 +124,15 @@ def write_warc(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows.select(columns).mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.option(
-        "lineSep", END.decode()).text(folder)
+        "lineSep", END.decode()).option("compression", "gzip").text(folder)
+
+
+def _slices(batches, column: str, size: int = 2 << 20):
+    """Batches cut so that ``column`` has about ``size`` bytes in each."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.column(column).nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def parse_records(data: bytes):
@@ -181,7 +189,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                         as_int(h.get("warc-segment-number")), as_int(h.get("warc-segment-total-length")), block,
                     ))
                     held += len(block)
-                    if held > 4_000_000:
+                    if held > 2_000_000:
                         yield _batch(rows, names)
                         rows, held = [], 0
                 yield _batch(rows, names)
@@ -197,8 +205,8 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), _TYPES.get(n, pa.string())) for n, c in zip(names, columns, strict=True)], names)
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records (schema ``WHOLE``) from ``read_records``.
+def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
+    """Whole records (schema ``WHOLE``) from ``read_records``; without ``payloads`` those stay null.
 
     Segments meet by the identifier of their first record, in the order of their numbers. ``complete``
     is false, and payload, length and digest are null, where a number is missing, the total length
@@ -223,7 +231,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     def decode(batches):
         names = [c.split()[0] for c in WHOLE.split(", ")]
-        for batch in batches:
+        for batch in _slices(batches, "block"):
             rows = []
             for r in batch.to_pylist():
                 if r["record_type"] == "revisit":
@@ -233,15 +241,15 @@ def reassemble(records: DataFrame) -> DataFrame:
                 if r["total_length"] is None or r["total_length"] == len(block):
                     head, _, body = block.partition(END)
                     payload = unchunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:[^\r]*chunked", head) else body
-                rows.append((r["record_id"], "response", r["page_id"], r["url"], None, payload, None if payload is None else len(payload),
+                rows.append((r["record_id"], "response", r["page_id"], r["url"], None, payload if payloads else None, None if payload is None else len(payload),
                              None if payload is None else hashlib.sha256(payload).hexdigest(), payload is not None))
             yield _batch(rows, names)
 
     return single.select(whole.columns).unionByName(whole).mapInArrow(decode, WHOLE)
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
+def round_trip(pages: DataFrame, payloads: bool = True, **options) -> DataFrame:
     """``pages`` written as archives to a work folder and read back as whole records."""
     folder = work_folder(pages.sparkSession, "warc")
     write_warc(pages, folder, **options)
-    return reassemble(read_records(pages.sparkSession, folder))
+    return reassemble(read_records(pages.sparkSession, folder), payloads)
