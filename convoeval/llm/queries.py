@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import decontaminate, licenses, line_dedup, near_dup, secrets, toxicity, warc
+from convoeval.llm import decontaminate, licenses, line_dedup, near_dup, secrets, toxicity, vector_dup, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,14 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id""")
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op10_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id,
+  vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept FROM embeddings""")
+def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dup.vector_duplicates(table(spark, folder, "embeddings"))
