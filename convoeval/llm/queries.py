@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import decontaminate, licenses, line_dedup, near_dup, secrets, toxicity, vector_dup, warc
+from convoeval.llm import decontaminate, licenses, line_dedup, near_dup, pieces, secrets, toxicity, vector_dup, warc
+
+#: A public SentencePiece model; only its path is known here.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +173,8 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, (SELECT
   vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept FROM embeddings""")
 def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dup.vector_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECES).drop("text")
