@@ -154,8 +154,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: i
         lambda x: x["seen"])).alias("x")).select("doc_id", "t", "x.i", "x.key"), "suspected")
 
     # counts and keepers are combined in each task, so a very common line is no hot row
-    common = seen.select("key", "doc_id", "t").distinct().groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # (written, so that the join below shuffles both sides anew and Spark can split a hot key)
+    common = stored(seen.select("key", "doc_id", "t").distinct().groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "common-lines")
     drops = seen.join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "t").agg(
         F.collect_set("i").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), "gone")
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (t == F.col("gone_t")), "left")

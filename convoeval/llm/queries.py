@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import decontaminate, licenses, line_dedup, near_dup, pieces, secrets, toxicity, vector_dup, warc
+from convoeval.llm import decontaminate, html_text, licenses, line_dedup, near_dup, pieces, secrets, toxicity, vector_dup, warc
 
 #: A public SentencePiece model; only its path is known here.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -178,3 +178,8 @@ def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECES).drop("text")
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
