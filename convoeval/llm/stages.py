@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import line_dedup
+from convoeval.llm import decontaminate, line_dedup, near_dup, pieces, toxicity
+from convoeval.llm.queries import PIECES, table
+
+
+def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity (9): documents with a score of 0.5 or more go."""
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).where("score < 0.5").select(docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,4 +20,27 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
-STAGES = [("line_dedup", shared_lines)]
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (2): of each group that links connect the smallest doc_id stays."""
+    return near_dup.near_duplicates(docs).where("kept").select(docs.columns)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (5): documents that hold a benchmark window go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_anti").select(docs.columns)
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding and decoding (7): every document with its ids, and whether they decode to it."""
+    return pieces.encode_pieces(docs, PIECES)
+
+
+STAGES = [
+    ("toxicity", civil_documents),
+    ("line_dedup", shared_lines),
+    ("minhash_near_dedup", distinct_documents),
+    ("decontamination", clean_documents),
+    ("sentencepiece", encoded_documents),
+]
