@@ -157,14 +157,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: i
     # (written, so that the join below shuffles both sides anew and Spark can split a hot key)
     common = stored(seen.select("key", "doc_id", "t").distinct().groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "common-lines")
-    drops = seen.join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "t").agg(
-        F.collect_set("i").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), "gone")
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (t == F.col("gone_t")), "left")
-    text = F.coalesce("text", F.lit(""))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    drops = seen.join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "t").agg(F.collect_set("i").alias("gone"))
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["doc_id"]) & (F.xxhash64(docs["text"]) == drops["t"]), "left")
+    text, gone = F.coalesce(docs["text"], F.lit("")), drops["gone"]
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     return joined.select(
         *[docs[c] for c in docs.columns],
         (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), text).otherwise(kept).alias("kept_text"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(gone.isNull(), text).otherwise(kept).alias("kept_text"),
     )

@@ -139,13 +139,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, miss: fl
     out = signed.select("doc_id", "cls", "n_shingles").join(by_class, "cls", "left").select(
         "doc_id", "cls", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    return out.drop("cls") if docs.columns == ["doc_id", "text"] else _joined(docs, out, cls)
+    return out.drop("cls") if docs.columns == ["doc_id", "text"] else _joined(docs, out)
 
 
-def _joined(docs: DataFrame, out: DataFrame, cls: Column) -> DataFrame:
-    facts = out.groupBy(F.col("doc_id").alias("out_id"), F.col("cls").alias("out_cls")).agg(
-        *(F.first(c).alias(c) for c in ("n_shingles", "component_id", "kept")))
-    return docs.join(facts, F.col("doc_id").eqNullSafe(F.col("out_id")) & (cls == F.col("out_cls")), "left").drop("out_id", "out_cls")
+def _joined(docs: DataFrame, out: DataFrame) -> DataFrame:
+    facts = out.groupBy("doc_id", "cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "component_id", "kept")))
+    own = F.unhex(F.md5(normal_words(docs["text"])))
+    return docs.join(facts, docs["doc_id"].eqNullSafe(facts["doc_id"]) & (own == facts["cls"]), "left").select(
+        *[docs[c] for c in docs.columns], *[facts[c] for c in ("n_shingles", "component_id", "kept")])
 
 
 def _signed_pairs(pairs: DataFrame, classes: DataFrame, steps: list, threshold: float) -> DataFrame:
