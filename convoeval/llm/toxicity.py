@@ -46,6 +46,7 @@ def _tables() -> tuple[bytes, bytes]:
 TO_CLASS, TO_TOKEN = _tables()
 SIGNS = rb"0-9@$!+"
 DISGUISED = re.compile(rb"[a-z][" + SIGNS + rb"]|[" + SIGNS + rb"][a-z]|([a-z])\1\1")
+CLOSING = re.compile(rb"[!+]+(?![a-z0-9])")  # a sign at the end of a word is no letter
 SPELLED = re.compile(rb"(?<![^ ])(?:[a-z" + SIGNS + rb"] ){3,}[a-z" + SIGNS + rb"](?![^ ])")
 
 
@@ -125,7 +126,7 @@ class Reader:
 
     def counts_of(self, text: str | None) -> tuple[Counter, int]:
         """How often each word stands in a text, restored ones besides what is written; and all words."""
-        data = (text or "").encode().translate(TO_TOKEN)
+        data = CLOSING.sub(b" ", (text or "").encode().translate(TO_TOKEN))
         tokens = Counter(data.split())
         n = tokens.total()
         joined = b" ".join(tokens)
