@@ -116,5 +116,5 @@ def visible_tail(
 
 
 def task_context(chunks: DataFrame, separator: str = "\n\n", part_rows: int = 10_000) -> DataFrame:
-    """All chunks of a task in order, in parts of bounded size."""
+    """All chunks of a task in order as one text."""
     return joined_text(chunks, ["task_id"], "position", F.col("text"), separator, part_rows)

@@ -342,22 +342,14 @@ def render_sessions(
 ) -> DataFrame:
     """One chunk per session: head, its lines in order, tail.
 
-    Long sessions come in parts of ``part_rows`` turns; the head is on the first
-    part, the tail on the last, and the parts in order are the whole chunk.
+    Lines are joined in stretches of ``part_rows`` turns first; the chunk does not
+    depend on them.
     """
     body = joined_text(turns, keys, order, F.concat(line, F.lit("\n")), "", part_rows)
     if head is None:
         return body
-    ends = turns.groupBy(*keys).agg(
-        F.min(head).alias("_head"), F.max(id_bucket(order, part_rows)).alias("_last"),
-        F.min(id_bucket(order, part_rows)).alias("_first"),
-    )
-    text = F.concat(
-        F.when(F.col("part") == F.col("_first"), F.col("_head")).otherwise(""),
-        F.col("text"),
-        F.when(F.col("part") == F.col("_last"), F.lit(tail)).otherwise(""),
-    )
-    return body.join(ends, keys).withColumn("text", text).drop("_head", "_last", "_first")
+    heads = turns.groupBy(*keys).agg(F.min(head).alias("_head"))
+    return body.join(heads, keys).withColumn("text", F.concat("_head", "text", F.lit(tail))).drop("_head")
 
 
 def session_head(speaker_a: Column, speaker_b: Column, date: Column) -> Column:
@@ -409,20 +401,22 @@ def parse_turns(chunks: DataFrame, keys: list[str], text: str = "text") -> DataF
     cut = parts.select(
         *keys,
         F.concat_ws("\n", "_head", F.regexp_extract("_body", rf"(?s)^(.*?)(?:^|\n){SPEAKER}", 1)).alias("_head"),
-        F.contains("_body", F.lit("DATE:")).alias("_dated"),
         F.regexp_extract_all("_body", F.lit(turn), F.lit(0)).alias("_segments"),
     )
-    # a running head is needed only where dates occur inside the talk
-    upto = F.when(
-        F.col("_dated"),
-        F.transform("_segments", lambda s, i: F.concat_ws(
-            "\n", F.col("_head"), F.array_join(F.slice("_segments", F.lit(1), i + 1), "\n"))),
-    )
-    rows = cut.withColumn("_upto", upto).select(
-        *keys, "_head", "_upto", F.posexplode("_segments").alias("turn", "_segment")
+
+    def last_date(part: Column) -> Column:
+        found = F.regexp_extract_all(part, F.lit(r"(?m)^DATE:(.*?)(?:DATE:.*)?$"), F.lit(1))
+        return strip(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"\(.*$", ""))
+
+    # the dates inside the talk with their turns; there are few, and only they are looked through
+    dated = F.filter(
+        F.transform("_segments", lambda s, i: F.named_struct(F.lit("i"), i, F.lit("date"), last_date(s))),
+        lambda x: x["date"].isNotNull(),
     )
+    rows = cut.select(*keys, last_date(F.col("_head")).alias("_start"), dated.alias("_dates"), F.posexplode("_segments").alias("turn", "_segment"))
+    own = F.try_element_at(F.filter("_dates", lambda x: x["i"] <= F.col("turn")), F.lit(-1))["date"]
     rows = rows.select(
-        *keys, "turn", F.coalesce(F.get("_upto", F.col("turn")), F.col("_head")).alias("_before"), "_segment",
+        *keys, "turn", F.coalesce(own, "_start").alias("date"), "_segment",
         F.filter(
             F.split("_segment", "\n"), lambda x: ~x.startswith("DATE:") & (x != "CONVERSATION:")
         ).alias("_lines"),
@@ -434,11 +428,9 @@ def parse_turns(chunks: DataFrame, keys: list[str], text: str = "text") -> DataF
         F.substring(first, F.lit(2), F.greatest(F.length(first) - 2, F.lit(0))),
     ).otherwise(first)
     more = F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))
-    found = F.regexp_extract_all("_before", F.lit(r"(?m)^DATE:(.*?)(?:DATE:.*)?$"), F.lit(1))
-    date = strip(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"\(.*$", ""))
     rows = rows.withColumn("_first", unquoted)
     return rows.where("_first <> ''").select(
-        *keys, "turn", date.alias("date"),
+        *keys, "turn", "date",
         F.when(F.col("_segment").startswith("User"), "user").otherwise("assistant").alias("role"),
         F.array_join(F.concat(F.array("_first"), more), "\n").alias("content"),
     )

@@ -114,14 +114,16 @@ def joined_text(
     part_rows: int = 10_000,
     position: Column | None = None,
 ) -> DataFrame:
-    """Texts of a key in order, as ``(keys, part, text)``.
+    """Texts of a key in order, as one row ``(keys, text)``.
 
-    A part holds at most ``part_rows`` positions, so a key of any length is
-    spread over rows of bounded size; the parts in order are the whole text.
+    Stretches of ``part_rows`` positions are joined first, each on its own, so a
+    long key is put together from few pieces. The text does not depend on them.
     """
     part = id_bucket(position if position is not None else F.col(order), part_rows)
     lines = df.select(*keys, part.alias("part"), F.col(order).alias("_o"), text.alias("_t"))
     grouped = lines.groupBy(*keys, "part").agg(
         F.array_sort(F.collect_list(F.struct("_o", "_t"))).alias("_l")
     )
-    return grouped.select(*keys, "part", F.array_join(F.col("_l._t"), separator).alias("text"))
+    pieces = grouped.select(*keys, "part", F.array_join(F.col("_l._t"), separator).alias("text"))
+    whole = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("_l"))
+    return whole.select(*keys, F.array_join(F.col("_l.text"), separator).alias("text"))

@@ -59,7 +59,7 @@ def batch_questions(questions: DataFrame, k: int = 10, bucket_rows: int = 1 << 2
 
 
 def sample_contexts(chunks: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Context parts per sample: chunks joined by blank lines, the repeated
+    """Context per sample: chunks joined by blank lines, the repeated
     conversation line dropped from all but the first chunk."""
     repeated = (
         (F.col("position") > 0) & F.col("text").startswith(CONVERSATION_HEADER) & F.contains("text", F.lit("\n"))
@@ -71,10 +71,9 @@ def sample_contexts(chunks: DataFrame, part_rows: int = 10_000) -> DataFrame:
 def training_rows(
     chunks: DataFrame, questions: DataFrame, data_source: str, agent_name: str, k: int = 10, part_rows: int = 10_000,
 ) -> DataFrame:
-    """Nested training rows: one per question batch and context part.
+    """Nested training rows: one per question batch, with the whole context.
 
-    Samples without chunks give no rows. A sample of up to ``part_rows`` chunks has
-    one context part.
+    Samples without chunks give no rows.
     """
     context = sample_contexts(chunks, part_rows)
     sizes = chunks.groupBy("task_id").agg(F.count("*").alias("num_chunks"))
@@ -86,7 +85,7 @@ def training_rows(
         F.col("text").alias("context"),
         F.struct(F.col("answers").alias("ground_truth")).alias("reward_model"),
         F.struct(
-            "task_id", "batch_index", F.col("part").alias("context_part"), "num_chunks", "question_ids",
+            "task_id", "batch_index", "num_chunks", "question_ids",
             F.col("queries").alias("question"), tools.alias("tools_kwargs"),
         ).alias("extra_info"),
         F.lit(agent_name).alias("agent_name"),

@@ -40,7 +40,7 @@ def mem1_multiline(spark, d):
 
 
 @query("mem2_format_items", f"""WITH {_ITEMS}
-SELECT conv_id, turn, 0 AS part, string_agg('[' || memory_id || '][mentioned at 2024-01-02] ' || content || ' [' || links || ']', chr(10) ORDER BY line_no) AS text
+SELECT conv_id, turn, string_agg('[' || memory_id || '][mentioned at 2024-01-02] ' || content || ' [' || links || ']', chr(10) ORDER BY line_no) AS text
 FROM items GROUP BY ALL""")
 def mem2(spark, d):
     items = M.parse_items(memory_texts(spark, d), ["conv_id", "turn"], "memory")

@@ -30,7 +30,7 @@ _RENDERED = """rendered AS (
   FROM conversations GROUP BY conv_id)"""
 
 
-@query("txt1_render_session", f"WITH {_RENDERED} SELECT conv_id, 0 AS part, text FROM rendered")
+@query("txt1_render_session", f"WITH {_RENDERED} SELECT conv_id, text FROM rendered")
 def txt1(spark, d):
     return rendered(spark, d)
 
@@ -221,8 +221,8 @@ def txt13(spark, d):
 
 
 @query("txt14_concat_context", """
-SELECT conv_id AS task_id, turn // 4 AS part, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
-FROM conversations GROUP BY ALL""")
+SELECT conv_id AS task_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id""")
 def txt14(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("position"), "text")
     return J.task_context(c, part_rows=4)

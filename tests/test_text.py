@@ -117,11 +117,25 @@ def test_parse_turns_follows_date_lines_and_continuations(spark):
     ]
 
 
-def test_render_parts_add_up(spark):
-    rows = [(1, i, f"t{i}") for i in range(10)]
-    turns = spark.createDataFrame(rows, "s int, turn long, text string")
-    line = N.speaker_line("plain", F.lit("a"), F.col("text"), F.col("turn"))
-    whole = N.render_sessions(turns, ["s"], "turn", line, F.lit("H\n")).first()["text"]
-    parts = N.render_sessions(turns, ["s"], "turn", line, F.lit("H\n"), part_rows=3).orderBy("part").collect()
-    assert len(parts) == 4
-    assert "".join(p["text"] for p in parts) == whole
+def test_rendered_sessions_parse_back_for_any_stretch(spark):
+    rows = [(1, 7 * i, ("user", "assistant")[i % 2], f"t{i}") for i in range(10)]
+    turns = spark.createDataFrame(rows, "s int, turn long, role string, text string")
+    line = N.speaker_line("role", F.col("role"), F.col("text"), F.col("turn"))
+    head = N.session_head(F.lit("user"), F.lit("assistant"), F.lit("2024-05-06"))
+    texts = set()
+    for part_rows in (2, 10_000):
+        whole = N.render_sessions(turns, ["s"], "turn", line, head, part_rows=part_rows)
+        parsed = N.parse_turns(whole, ["s"]).orderBy("turn").collect()
+        assert [(r["date"], r["role"], r["content"]) for r in parsed] == [("2024-05-06", role, text) for _, _, role, text in rows]
+        texts.add(whole.first()["text"])
+    assert len(texts) == 1
+
+
+def test_training_rows_do_not_multiply(spark):
+    from convoeval.operators import sampling as S
+
+    chunks = spark.createDataFrame([(1, i, f"c{i}") for i in range(6)], "task_id long, position long, text string")
+    questions = spark.createDataFrame([(1, f"q{i}", i, "q", "a") for i in range(4)], "task_id long, qid string, ord long, query string, answer string")
+    for part_rows in (2, 10_000):
+        rows = S.training_rows(chunks, questions, "set", "agent", k=2, part_rows=part_rows).collect()
+        assert [r["context"] for r in rows] == ["\n\n".join(f"c{i}" for i in range(6))] * 2
