@@ -51,13 +51,13 @@ def position_offenders(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     ).select("task_id", "w.qid", "w.position", "w.last_position")
 
 
-def _number_texts(text, longest: int):
-    """Every substring, up to ``longest`` characters, of the number runs of a text."""
+def _number_texts(text, sizes: list[int]):
+    """Every substring of the number runs of a text that has one of the ``sizes``."""
 
     def pieces(run):
         def at(i):
-            sizes = F.sequence(F.lit(1), F.least(F.length(run) - i + 1, F.lit(longest)))
-            return F.transform(sizes, lambda n: F.substring(run, i, n))
+            fit = F.filter(F.lit(sizes), lambda n: n <= F.length(run) - i + 1)
+            return F.transform(fit, lambda n: F.substring(run, i, n))
 
         return F.flatten(F.transform(F.sequence(F.lit(1), F.length(run)), at))
 
@@ -65,13 +65,13 @@ def _number_texts(text, longest: int):
     return F.array_distinct(F.flatten(F.transform(runs, pieces)))
 
 
-def unmentioned(tx: DataFrame, chunks: DataFrame, longest: int = 24) -> DataFrame:
+def unmentioned(tx: DataFrame, chunks: DataFrame) -> DataFrame:
     """Transactions whose scene and amount both occur nowhere in the talk of a task.
 
     Containment becomes an equi join: an amount, written raw, with two decimals or
     as a whole number, is a substring of some number run of the text, so the runs
-    are spread into their substrings (at most ``longest`` per character) and
-    matched by key. Scenes come from the task's own small set, tested in the row.
+    are spread into their substrings of the lengths that amounts have (a number has few
+    digits, so there are few lengths) and matched by key. Scenes come from the task's own small set, tested in the row.
     No chunk ever meets all transactions of its task.
     """
     scenes = tx.groupBy("task_id").agg(F.collect_set(F.lower("scene")).alias("_scenes"))
@@ -80,11 +80,15 @@ def unmentioned(tx: DataFrame, chunks: DataFrame, longest: int = 24) -> DataFram
         "task_id",
         F.explode(F.filter("_scenes", lambda s: F.contains(F.col("_low"), s))).alias("_scene"),
     ).distinct()
+    amount = F.col("amount")
+    forms = (amount.cast("long").cast("string"), money(amount), amount.cast("string"))
+    sizes = sorted(
+        r["n"] for r in tx.select(F.explode(F.array(*[F.length(f) for f in forms])).alias("n")).where("n > 0").distinct().collect()
+    )
     numbers = chunks.select(
-        "task_id", F.explode(_number_texts(F.col("text"), longest)).alias("_number")
+        "task_id", F.explode(_number_texts(F.col("text"), sizes or [1])).alias("_number")
     ).distinct()
-    amount = F.col("amount")
     left = tx.withColumn("_scene", F.lower("scene")).join(heard, ["task_id", "_scene"], "left_anti")
-    for form in (amount.cast("long").cast("string"), money(amount), amount.cast("string")):
+    for form in forms:
         left = left.withColumn("_number", form).join(numbers, ["task_id", "_number"], "left_anti")
     return left.drop("_scene", "_number")

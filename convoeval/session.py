@@ -53,14 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, split: int = 1 << 24) -> DataFrame:
     """``df`` over all cores when its input has fewer splits than there are cores.
 
-    For work that is heavy per row. A large input already has more splits than
-    cores and is left as it is, so nothing large is ever shuffled.
+    For work that is heavy per row, on a table as it is read. The size comes from the
+    file listing: no job runs, and an input of more than ``split`` bytes a core is
+    left as it is, so nothing large is ever shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,22 @@ def write_canonical(samples: DataFrame, path: str, rebuild: bool = False, by: li
 
 
 def append_results(results: DataFrame, path: str, done: DataFrame | None = None) -> None:
-    """Appends result lines; questions already in ``done`` are not written again."""
-    new = results if done is None else results.join(done.select("qid"), "qid", "left_anti")
-    new.write.mode("append").json(path)
+    """Appends result lines, one a question.
+
+    Questions that the target or ``done`` already hold are not written again, and of
+    several lines of a batch for one question one is kept, so a repeated call
+    changes nothing.
+    """
+    schema = f"qid {dict(results.dtypes)['qid']}"
+    try:
+        held = results.sparkSession.read.schema(schema).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = results.sparkSession.createDataFrame([], schema)
+    if done is not None:
+        held = held.unionByName(done.select("qid"))
+    results.dropDuplicates(["qid"]).join(held, "qid", "left_anti").write.mode("append").json(path)
 
 
 def write_training(rows: DataFrame, path: str) -> None:
@@ -24,7 +38,7 @@ def write_training(rows: DataFrame, path: str) -> None:
 
 def write_report(report: DataFrame, path: str, form: str = "csv") -> None:
     """A report table. It has the size of agents x tasks, so one file is enough."""
-    writer = report.coalesce(1).write.mode("overwrite")
+    writer = report.repartition(1).write.mode("overwrite")
     writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
 
 

@@ -111,3 +111,27 @@ def test_query_blocks(spark):
     packed, n = R.query_blocks(q, ["qid", "text"], 2)
     assert n == 3 and packed.select(F.sum(F.size("queries"))).first()[0] == 5
     assert {(r["qid"], r["id"]) for r in one if r["rank"] == 1} == {(i, i) for i in range(5)}
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_queries": 1}])
+def test_bm25_with_a_negative_mean_idf_and_string_ids(spark, limits):
+    """Few documents that share most words: every way must rank documents without a hit above the others."""
+    docs = [["a", "b", "c"], ["a", "b", "c"], ["a", "b", "d"], ["x"], ["a", "c", "b", "b"], ["a"], ["y"]]
+    names = [f"doc-{i:02d}" for i in range(len(docs))]
+    d = spark.createDataFrame([(n, " ".join(x)) for n, x in zip(names, docs)], "id string, text string").repartition(3)
+    queries = [["a"], ["a", "b"], ["c", "q"], ["b", "x"]]
+    q = spark.createDataFrame([(f"q{i}", " ".join(x)) for i, x in enumerate(queries)], "qid string, text string")
+    index = R.build_bm25(d)
+    got = {}
+    for r in R.bm25_topk(q, index, 3, **limits).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    for i, query in enumerate(queries):
+        scores = [round(s, 9) + 0.0 for s in okapi(docs, query)]
+        assert [n for _, n in sorted(got[f"q{i}"])] == [names[k] for k in sorted(range(len(docs)), key=lambda k: (-scores[k], k))[:3]]
+
+
+def test_planning_bm25_shuffles_no_text(spark, corpus):
+    _, _, d, q = corpus
+    index = R.build_bm25(d)
+    plan = R.bm25_topk(q, index, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(qid" in plan
