@@ -24,17 +24,20 @@ def _folders(spark):
 
 
 class _Streamed:
-    """Reads the named table of a folder as a stream instead of a table."""
+    """Reads the named table of a folder as a stream instead of a table.
+
+    The rows are dealt out to four files first, against their order, and come one
+    file a batch, so that state and late rows cross batches.
+    """
 
     def __init__(self, spark, folder):
         self.spark, self.folder = spark, folder
 
     def table(self, name):
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return (
-            self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(self.folder)
-        )
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        folder, _ = _folders(self.spark)
+        rows.repartition(4, F.xxhash64(*rows.columns)).write.parquet(folder)
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query("src9_stream_turns", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")

@@ -1,9 +1,9 @@
-"""Memory edits replayed as a stateful stream.
+"""Memory edits replayed as a stream, for any order of arrival.
 
-Ids do not influence each other, so the state is keyed by (key, memory id) and is
-two numbers: the last applied ``seq`` and the first living item. The operator
-turns edits into facts (item added, item's text set, id cut off); the current
-items are a small aggregation over the facts.
+Ids do not influence each other, so the state is keyed by (key, memory id): the
+latest ``seq`` seen. Edits are kept as facts, those that come after a later one
+are marked; the current items are a small aggregation over the facts by ``seq``,
+so they are the same whichever files come first.
 """
 
 from __future__ import annotations
@@ -12,48 +12,33 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from convoeval.operators.memory import complete
+from convoeval.operators.memory import apply_operations, complete
 from convoeval.sources.writers import batch_writer
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = T.StructType([T.StructField("last_seq", T.LongType()), T.StructField("first_seq", T.LongType())])
+STATE = T.StructType([T.StructField("last_seq", T.LongType())])
 NONE = -1
-FACT_COLUMNS = ["key", "memory_id", "fact", "item", "seq", "content", "mentioned_at"]
+FACT_COLUMNS = ["key", "memory_id", "operation", "seq", "content", "mentioned_at", "late"]
 
 
 class EditProcessor(StatefulProcessor):
-    """One (key, memory id): edits in ``seq`` order to facts; older ones are late."""
+    """One (key, memory id): every edit as a fact, late ones marked."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("edits", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, first = self._state.get() if self._state.exists() else (NONE, NONE)
-        edits = sorted(
-            (e for pdf in rows for e in zip(pdf["seq"], pdf["operation"], pdf["content"], pdf["mentioned_at"])),
-            key=lambda e: e[0],
-        )
-        out = []
-        for seq, verb, content, day in edits:
-            if seq <= last:
-                out.append((*key, "late", seq, seq, content, day))
-                continue
-            last = seq
-            if verb == "ADD":
-                first = seq if first == NONE else first
-                out.append((*key, "item", seq, seq, content, day))
-            elif verb == "UPDATE" and first != NONE:
-                out.append((*key, "text", first, seq, content, None))
-            elif verb == "DELETE":
-                first = NONE
-                out.append((*key, "cut", seq, seq, None, None))
-        self._state.update((int(last), int(first)))
-        if out:
-            yield pd.DataFrame(out, columns=FACT_COLUMNS)
+        last = self._state.get()[0] if self._state.exists() else NONE
+        newest = last
+        for pdf in rows:
+            out = pdf[["operation", "seq", "content", "mentioned_at"]].copy()
+            out["key"], out["memory_id"], out["late"] = key[0], key[1], out["seq"] <= last
+            newest = max(newest, int(out["seq"].max()))
+            yield out[FACT_COLUMNS]
+        self._state.update((newest,))
 
     def close(self) -> None:
         pass
@@ -63,7 +48,7 @@ def edit_facts(edits: DataFrame) -> DataFrame:
     """Facts of an edit stream ``(key, seq, operation, target_id, content, mentioned_at)``."""
     key_type = dict(edits.dtypes)["key"]
     schema = (
-        f"key {key_type}, memory_id string, fact string, item long, seq long, content string, mentioned_at string"
+        f"key {key_type}, memory_id string, operation string, seq long, content string, mentioned_at string, late boolean"
     )
     # a TOUCH changes nothing, so it need not reach the state
     ready = complete(edits).where("operation <> 'TOUCH'").withColumnRenamed("target_id", "memory_id")
@@ -91,17 +76,10 @@ def start_memory(edits: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
-    """Living items from the facts."""
-    facts = spark.read.parquet(path)
-    at = ["key", "memory_id"]
-    cut = facts.where("fact = 'cut'").groupBy(*at).agg(F.max("seq").alias("_cut"))
-    known = facts.where("fact IN ('item', 'text')").join(cut, at, "left")
-    alive = known.where(F.col("_cut").isNull() | (F.col("item") > F.col("_cut")))
-    return alive.groupBy(*at, F.col("item").alias("seq")).agg(
-        F.max_by("content", F.col("seq")).alias("content"), F.max("mentioned_at").alias("mentioned_at")
-    ).withColumn("links", F.lit(""))
+    """Living items: the replay of all facts, late ones at their place."""
+    return apply_operations(spark.read.parquet(path).withColumnRenamed("memory_id", "target_id"))
 
 
 def late_edits(spark: SparkSession, path: str) -> DataFrame:
-    """Edits that came after a later one of the same id had been applied."""
-    return spark.read.parquet(path).where("fact = 'late'")
+    """Edits that came in a later batch than a later one of the same id."""
+    return spark.read.parquet(path).where("late")

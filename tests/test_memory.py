@@ -77,6 +77,15 @@ def test_stream_memory_equals_batch(spark, tmp_path):
     assert living(SM.read_memory(spark, str(tmp_path / "out"))) == living(M.apply_operations(df)) == replay(ops)
 
 
+def test_stream_memory_in_any_order_of_arrival(spark, tmp_path):
+    ops = edits(160, 5)
+    random.Random(1).shuffle(ops)
+    stream, df = parts(spark, tmp_path / "in", ops, SCHEMA, 5)
+    SM.start_memory(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert SM.late_edits(spark, str(tmp_path / "out")).count() > 0
+    assert living(SM.read_memory(spark, str(tmp_path / "out"))) == living(M.apply_operations(df)) == replay(sorted(ops, key=lambda o: o[1]))
+
+
 def test_stream_ledger_equals_batch(spark, tmp_path):
     rng = random.Random(8)
     rows = [(f"2024-01-0{rng.randint(1, 5)}", rng.choice("ab"), rng.randint(1, 900) / 100) for _ in range(200)]
