@@ -286,16 +286,6 @@ def tool_call_stats(outputs: DataFrame) -> DataFrame:
     return calls.groupBy("task_id", "stage", "tool").agg(F.sum("n").alias("calls"))
 
 
-def tool_call_maps(stats: DataFrame) -> DataFrame:
-    """Stage maps per task; tools and stages are small closed sets."""
-    by_stage = stats.groupBy("task_id", "stage").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "calls")))).alias("m")
-    )
-    return by_stage.groupBy("task_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.to_json("m"))))).alias("tool_call_stats")
-    )
-
-
 def memory_stats(abstracts: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored abstracts and pages per task."""
     a = abstracts.groupBy("task_id").agg(F.count("*").alias("num_abstracts"))

@@ -195,8 +195,10 @@ def mix_distractors(needs: DataFrame, docs: DataFrame, n: int, seed: int) -> Dat
 
     ``needs(qid, title)``, ``docs(doc_index, title, text)`` with dense indices. The
     fillers are drawn by hashing (seed, question, draw) to an index, with spare
-    draws for repeats, so no question meets the whole corpus; where the draws run
-    short of a small corpus the whole index range is drawn.
+    draws for repeats; should they run short, the indices from a drawn start on
+    follow. So ``n`` documents come together as long as the corpus has them, no
+    question meets more than a multiple of ``n``, and the draw is the same for any
+    corpus size.
     """
     total = docs.count()
     support = needs.join(docs.select("doc_index", "title"), "title").groupBy("qid").agg(
@@ -205,13 +207,12 @@ def mix_distractors(needs: DataFrame, docs: DataFrame, n: int, seed: int) -> Dat
     asked = needs.select("qid").distinct().join(support, "qid", "left").withColumn(
         "_need", F.coalesce("_need", F.array().cast("array<bigint>"))
     )
-    if total <= 4 * n:
-        draws = F.transform(F.sequence(F.lit(0), F.lit(max(total - 1, 0))), lambda i: i.cast("bigint"))
-    else:
-        draws = F.transform(
-            F.sequence(F.lit(0), F.lit(4 * n)),
-            lambda i: draw(seed, F.col("qid"), i) % total,
-        )
+    total = max(total, 1)  # an empty corpus places nothing: its indices meet no document
+    draws = F.transform(F.sequence(F.lit(0), F.lit(4 * n)), lambda i: draw(seed, F.col("qid"), i) % total)
+    start = draw(seed, F.col("qid"), F.lit("start"))
+    walk = F.transform(
+        F.sequence(F.lit(0), F.least(F.lit(total), F.lit(n) + F.size("_need")) - 1), lambda i: (start + i) % total
+    )
     keyed = F.array_sort(
         F.transform(
             F.array_except(F.array_distinct(draws), F.col("_need")),
@@ -219,7 +220,8 @@ def mix_distractors(needs: DataFrame, docs: DataFrame, n: int, seed: int) -> Dat
         )
     )
     room = F.greatest(F.lit(n) - F.size("_need"), F.lit(0))
-    fill = F.transform(F.slice(keyed, F.lit(1), room), lambda s: s["i"])
+    order = F.array_distinct(F.concat(F.transform(keyed, lambda s: s["i"]), F.array_except(walk, F.col("_need"))))
+    fill = F.slice(order, F.lit(1), room)
     mixed = F.array_sort(
         F.transform(
             F.concat("_need", fill),

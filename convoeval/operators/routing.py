@@ -11,28 +11,6 @@ from convoeval.operators.retrieval import bm25_scoped_topk, rrf
 
 ICL, LONG, SHORT = "icl", "long", "short"
 LABEL = r"\nLabel:\s*\d+"
-# Patterns that speak for labelled examples and for long talks.
-ICL_PATTERNS = [
-    r"These labeled training examples are for classification", r"Label:\s*\d+", r"Sentence:.*\nLabel:",
-    r"What are the labels for the above sentence",
-]
-TALK_PATTERNS = [r"DATE:\s*\d{4}-\d{2}-\d{2}", r"(user|assistant):", r"Below is a conversation between"]
-
-
-def chunk_type(text: Column, n_chunks: Column, icl_labels: int = 10, long_chunks: int = 100) -> Column:
-    """Type guessed from one chunk and the number of chunks so far."""
-
-    def hits(patterns: list[str]) -> Column:
-        total = F.lit(0)
-        for p in patterns:
-            total = total + text.rlike(f"(?i){p}").cast("int")
-        return total
-
-    return (
-        F.when((F.regexp_count(text, F.lit(LABEL)) >= icl_labels) | (hits(ICL_PATTERNS) >= 2), ICL)
-        .when((n_chunks >= long_chunks) | (hits(TALK_PATTERNS) >= 2), LONG)
-        .otherwise(SHORT)
-    )
 
 
 def task_types(

@@ -38,7 +38,8 @@ def cap_questions(questions: DataFrame, limit: int = 10, seed: int = 0) -> DataF
 
 def stratified(df: DataFrame, by: str, key: str, n: int = 20, seed: int = 0) -> DataFrame:
     """``n`` rows per group, the whole group when it is smaller."""
-    return top_per_key(df, [by], [draw(seed, key), F.asc(key)], n, "_r").drop("_r")
+    drawn = df.withColumn("_h", draw(seed, key))
+    return top_per_key(drawn, [by], [F.asc("_h"), F.asc(key)], n, "_r").drop("_r", "_h")
 
 
 def exclude_sources(df: DataFrame, column: str, names: list[str]) -> DataFrame:

@@ -139,3 +139,15 @@ def test_training_rows_do_not_multiply(spark):
     for part_rows in (2, 10_000):
         rows = S.training_rows(chunks, questions, "set", "agent", k=2, part_rows=part_rows).collect()
         assert [r["context"] for r in rows] == ["\n\n".join(f"c{i}" for i in range(6))] * 2
+
+
+def test_distractors_at_any_corpus_size(spark):
+    """The draw fills up to ``n`` wherever the corpus has as many documents."""
+    needs = spark.createDataFrame([(q, f"t{q}") for q in range(6)] + [(0, "t1")], "qid long, title string")
+    for total in (1, 3, 5, 6, 19, 20, 21, 22, 40):
+        docs = spark.createDataFrame([(i, f"t{i}", "x") for i in range(total)], "doc_index long, title string, text string")
+        rows = N.mix_distractors(needs, docs, 5, 1).collect()
+        for q in range(6):
+            mine = [r for r in rows if r["qid"] == q]
+            assert len(mine) == len({r["doc_index"] for r in mine}) == min(5, total)
+            assert {r["doc_index"] for r in mine if r["supporting"]} == {x for x in ({0, 1} if q == 0 else {q}) if x < total}
