@@ -179,9 +179,12 @@ qt AS (SELECT conv_id, upto, term, count(*) AS qtf FROM (SELECT conv_id, upto, u
 hit AS (SELECT conv_id, upto, turn, round(sum(qtf * (CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END)
           * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
         FROM qt JOIN tf USING (conv_id, upto, term) JOIN raw USING (conv_id, upto, term) JOIN mean USING (conv_id, upto) JOIN st USING (conv_id, upto)
-        GROUP BY ALL)
+        GROUP BY ALL),
+every AS (SELECT vis.conv_id, vis.upto, vis.turn, coalesce(hit.score, 0.0) AS score
+          FROM vis SEMI JOIN qt ON qt.conv_id = vis.conv_id AND qt.upto = vis.upto
+          LEFT JOIN hit ON hit.conv_id = vis.conv_id AND hit.upto = vis.upto AND hit.turn = vis.turn)
 SELECT conv_id || '_' || upto AS qid, conv_id AS task_id, turn AS position, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, upto ORDER BY score DESC, turn) AS rank FROM hit) WHERE rank <= 3""")
+  SELECT *, row_number() OVER (PARTITION BY conv_id, upto ORDER BY score DESC, turn) AS rank FROM every) WHERE rank <= 3""")
 def ret14(spark, d):
     c = table(spark, d, "conversations").select(
         F.col("conv_id").alias("task_id"), F.col("turn").alias("position"), "role", "text"
