@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def slices(batches, column: str, size: int = 2 << 20):
+    """Arrow batches cut so that ``column`` has about ``size`` bytes in each.
+
+    What Python holds of a batch at a time is then bounded by ``size``, or by one row. At the end
+    freed Arrow memory goes back to the system, as a worker lives on for other tasks.
+    """
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.column(column).nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
+
+
 def word_bytes() -> bytes:
     """A table for ``bytes.translate``: A-Z to a-z, other ASCII that is no letter or digit to a space.
 

@@ -1,8 +1,9 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Texts with the same words are one class. Each class is signed once; bands of its signature are buckets.
-Within a bucket classes meet the bucket's smallest class first. What is still unconnected then meets all
-other members of its bucket in blocks. Pairs compare their signatures batch by batch and are dropped as
+Within a bucket classes meet the bucket's smallest class first. What is still unconnected is compared with
+all other members of its bucket in blocks: at first only the likeliest partner of each is verified, as
+members of a group of copies mostly hang on one original, then all that remains. Pairs compare their signatures batch by batch and are dropped as
 soon as the posterior chance of reaching the threshold falls below the miss probability; survivors are
 verified on their whole shingle sets. Only links that connect are kept, so a group of thousands of copies
 gives a row for each member and not for each pair.
@@ -10,6 +11,7 @@ gives a row for each member and not for each pair.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoeval.llm.common import ascii_lower, components, stored
+from convoeval.llm.common import ascii_lower, components, slices, stored
 
 HASHES, ROWS, BATCH = 150, 5, 25
 MISS = 1e-6
@@ -100,7 +102,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, miss: fl
     cls = F.unhex(F.md5(normal))
 
     def sign(batches):
-        for batch in batches:
+        for batch in slices(batches, "normal"):
             known: dict[bytes, tuple] = {}
             rows = []
             for key, text in zip(batch.column("cls").to_pylist(), batch.column("normal").to_pylist(), strict=True):
@@ -122,16 +124,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, miss: fl
         "cls", "least", "x.*"), "classes")
 
     # buckets of one member go; in the others each member meets the smallest
-    members = classes.select("cls", "n_shingles", F.explode("bands").alias("bucket"))
+    members = classes.select("cls", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     centres = members.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(members.join(centres, "bucket"), "buckets")
     pairs = shared.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    texts = docs.select(cls.alias("cls"), normal.alias("normal"), F.col("doc_id").alias("of"))
+    texts = docs.select("text", F.col("doc_id").alias("of"))
     links = stored(_verified(_signed_pairs(pairs, classes, steps, threshold), classes, texts, percent, width), "links")
-    roots = stored(components(links), "roots")
-
-    rest = _verified(_rest_pairs(shared, roots, classes, steps, threshold), classes, texts, percent, width)
-    roots = components(links.unionAll(rest))
+    for likeliest in (True, False):
+        roots = stored(components(links), "roots")
+        more = _verified(_rest_pairs(shared, roots, classes, steps, threshold, likeliest), classes, texts, percent, width)
+        links = stored(links.unionAll(more), "links")
+    roots = components(links)
 
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -157,7 +160,7 @@ def _signed_pairs(pairs: DataFrame, classes: DataFrame, steps: list, threshold:
         F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
 
     def compare(batches):
-        for batch in batches:
+        for batch in slices(batches, "sa"):
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
                 live = pa.array(survivors(left, right, steps))
@@ -173,14 +176,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     owner = classes.select("cls", F.col("least").alias("of")).join(need, "cls")
 
     def sets(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                data = [shingle_hashes(t, width).tobytes() for t in part.column("normal").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(data, pa.binary())], ["cls", "shingles"])
+        for part in slices(batches, "normal"):
+            # rows that share the doc_id and not the words are of another class
+            own = [(c, t) for c, t in zip(part.column("cls").to_pylist(), part.column("normal").to_pylist(), strict=True) if hashlib.md5(t.encode()).digest() == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.binary()), pa.array([shingle_hashes(t, width).tobytes() for _, t in own], pa.binary())], ["cls", "shingles"])
 
-    mine = texts.withColumnRenamed("cls", "own").join(owner, (F.col("own") == F.col("cls")) & texts["of"].eqNullSafe(owner["of"]))
-    sets_of = stored(mine.select("cls", "normal").dropDuplicates(["cls"]).mapInArrow(sets, "cls binary, shingles binary"), "shingles")
+    # met by doc_id, so that only the texts asked for are normalised
+    mine = texts.join(owner, texts["of"].eqNullSafe(owner["of"])).select("cls", normal_words(F.col("text")).alias("normal"))
+    sets_of = stored(mine.mapInArrow(sets, "cls binary, shingles binary").dropDuplicates(["cls"]), "shingles")
 
     def confirm(batches):
         for batch in batches:
@@ -196,21 +199,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
         sets_of.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
 
 
-def _rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, steps: list, threshold: float) -> DataFrame:
-    """Pairs of a bucket that are not connected yet, without those that met the bucket's centre.
+def _rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, steps: list, threshold: float, likeliest: bool) -> DataFrame:
+    """Pairs of a bucket that are not connected yet; with ``likeliest`` the best one of each class.
 
     A bucket's largest component is left out on one side: its members need not meet each other. The
     others meet everybody, in blocks; the blocks' pairs are compared in place and only what passes comes
-    out, once.
+    out, in the first of the bands that the two share.
     """
     rooted = shared.where("size > 2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
-        "bucket", "cls", "centre", "n_shingles", F.coalesce("root", "cls").alias("root"))
+        "band", "bucket", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     live = stored(rooted.join(mixed, "bucket").withColumns({
         "lefts": F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int"), "rights": F.ceil(F.col("size") / BLOCK).cast("int"), "h": F.xxhash64("cls")}), "mixed")
-    left = live.where("root <> main").select("bucket", F.pmod("h", F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "cls", "root", F.lit(True).alias("probe"))
-    right = live.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", F.col("rights")).cast("int").alias("j"), "cls", "root", F.lit(False).alias("probe"))
+    left = live.where("root <> main").select("bucket", F.pmod("h", F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "band", "cls", "root", F.lit(True).alias("probe"))
+    right = live.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", F.col("rights")).cast("int").alias("j"), "band", "cls", "root", F.lit(False).alias("probe"))
     rows = left.unionAll(right).join(classes.select("cls", "sig", "n_shingles"), "cls")
     parts = max(1, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -224,16 +227,25 @@ def _rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, steps:
             root = np.array([code[r] for r in roots])
             sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(keys), -1)
             p, q = np.flatnonzero(probe), np.flatnonzero(~probe)
-            found = set()
+            band, found = group.column("band")[0].as_py(), set()
             for x in p.tolist():
                 y = q[(root[q] != root[x]) & (np.minimum(n[q], n[x]) >= threshold * np.maximum(n[q], n[x]) - 1e-9)]
                 live = y[survivors(np.broadcast_to(sigs[x], (len(y), sigs.shape[1])), sigs[y], steps)]
-                found.update((min(keys[x], keys[k]), max(keys[x], keys[k])) for k in live.tolist())
+                same = sigs[live] == sigs[x]
+                first = same.reshape(len(live), sigs.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
+                live, matches = live[first], same[first].sum(axis=1).tolist()
+                if likeliest:
+                    found.update([max((m, keys[x], keys[k]) for m, k in zip(matches, live.tolist(), strict=True))] if matches else [])
+                else:
+                    found.update((0, min(keys[x], keys[k]), max(keys[x], keys[k])) for k in live.tolist())
             if found:
-                a, b = zip(*sorted(found), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                m, a, b = zip(*sorted(found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(m, pa.int32())], ["a", "b", "m"])
 
-    return dealt.select("bucket", "i", "j", "cls", "root", "probe", "sig", "n_shingles").mapInArrow(compare, "a binary, b binary").distinct()
+    out = dealt.select("bucket", "i", "j", "band", "cls", "root", "probe", "sig", "n_shingles").mapInArrow(compare, "a binary, b binary, m int")
+    if likeliest:
+        return out.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+    return out.select("a", "b").distinct()
 
 
 def groups_of(batches, by: list[str]):
