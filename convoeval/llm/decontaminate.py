@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of documents.
 
-A shard is one Arrow batch of documents. Its words become numbers of the benchmark vocabulary; stretches
+A shard is an Arrow batch of documents, or a slice of one. Its words become numbers of the benchmark vocabulary; stretches
 without benchmark words cannot lie in a match and are left out of the index, the rest is kept as runs.
 The index is a suffix order, its Burrows-Wheeler transform in a wavelet matrix, and every eighth suffix
 position. All test phrases are searched backward at once; each step is two rank queries per phrase.
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoeval.llm.common import word_bytes
+from convoeval.llm.common import slices, word_bytes
 
 BLOCK_WORDS = 2_000_000
 SAMPLE = 8
@@ -165,7 +165,7 @@ def scan(texts: list[str | None], known: dict) -> list[tuple]:
     return [(n, sum(x["end"] - x["start"] for x in spans), sorted(set(items)), spans) for n, (items, spans) in zip(counts, found, strict=True)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 8 << 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 4 << 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs(doc_id, text)`` as (doc_id, text_hash, n_words, n_hit, items, spans).
 
     ``items`` are the benchmark item_ids, as strings and sorted, with a window of ``window`` words in the
@@ -211,19 +211,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
 def _scanner(shared, shard_bytes: int):
     def run(batches):
         known = shared.value
-        for batch in batches:
-            ids, hashes, texts = batch.column("doc_id"), batch.column("text_hash"), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and (end == at or held < shard_bytes):
-                    held += len(texts[end] or "")
-                    end += 1
-                n_words, n_hit, items, spans = zip(*scan(texts[at:end], known), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, end - at), hashes.slice(at, end - at), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    ["doc_id", "text_hash", "n_words", "n_hit", "items", "spans"])
-                at = end
+        for shard in slices(batches, "text", shard_bytes):
+            n_words, n_hit, items, spans = zip(*scan(shard.column("text").to_pylist(), known), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [shard.column("doc_id"), shard.column("text_hash"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                ["doc_id", "text_hash", "n_words", "n_hit", "items", "spans"])
 
     return run

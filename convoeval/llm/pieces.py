@@ -15,7 +15,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from convoeval.llm.common import slices
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +94,7 @@ def prepared(model: Model) -> dict:
 
 
 class Encoder:
-    def __init__(self, state: dict, memory: int = 500_000):
+    def __init__(self, state: dict, memory: int = 200_000):
         self.__dict__.update(state)
         self.memory = memory
         self.words: dict[str, bytes] = {}
@@ -256,7 +257,7 @@ def decode(ids: list[int], forms: list[bytes]) -> str:
     return text.removeprefix(" ")
 
 
-def encode_pieces(docs: DataFrame, path: str, slice_bytes: int = 1 << 22) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, slice_bytes: int = 1 << 21) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ids (array of int), n_tokens and round_trip added.
 
     The ids are those of the SentencePiece BPE model at ``path``, which only the driver reads; its pieces
@@ -273,20 +274,12 @@ def encode_pieces(docs: DataFrame, path: str, slice_bytes: int = 1 << 22) -> Dat
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "text", slice_bytes):
             texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and (end == at or held < slice_bytes):
-                    held += len(texts[end] or "")
-                    end += 1
-                ids = encoder.encode(texts[at:end])
-                whole = [decode(i.tolist(), encoder.forms) == (t or "") for i, t in zip(ids, texts[at:end], strict=True)]
-                sizes = [len(i) for i in ids]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, pa.array(sizes, pa.int64()), pa.array(whole)], [*names, "ids", "n_tokens", "round_trip"])
-                at = end
+            ids = encoder.encode(texts)
+            whole = [decode(i.tolist(), encoder.forms) == (t or "") for i, t in zip(ids, texts, strict=True)]
+            sizes = [len(i) for i in ids]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, pa.array(sizes, pa.int64()), pa.array(whole)], [*names, "ids", "n_tokens", "round_trip"])
 
     return docs.mapInArrow(run, schema)

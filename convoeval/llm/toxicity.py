@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoeval.llm.common import stored
+from convoeval.llm.common import slices, stored
 
 #: Fixed readings of digits and signs.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t"}
@@ -57,15 +57,15 @@ def language_model(docs: DataFrame) -> np.ndarray:
     """
 
     def count(batches):
-        for batch in batches:
-            total = np.zeros(CLASSES**3, np.int64)
+        total = np.zeros(CLASSES**3, np.int64)
+        for batch in slices(batches, "text"):
             text = "\n\n".join(t for t in batch.column("text").to_pylist() if t).encode()
-            for at in range(0, len(text), 1 << 22):
-                c = np.frombuffer(text[at : at + (1 << 22) + 2].translate(TO_CLASS), np.uint8).astype(np.int32)
+            for at in range(0, len(text), 1 << 21):
+                c = np.frombuffer(text[at : at + (1 << 21) + 2].translate(TO_CLASS), np.uint8).astype(np.int32)
                 if len(c) > 2:
                     total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["code", "n"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["code", "n"])
 
     counts = np.full(CLASSES**3, 0.1)
     for code, n in docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).toLocalIterator():
@@ -107,7 +107,7 @@ class Reader:
 
     def read(self, token: bytes, spelled: bool = False) -> list[str]:
         if (token, spelled) not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             text = token.decode("utf-8", "replace").strip("!") or ""
             if not spelled:
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int =
 
     def stems(batches):
         reader, both = Reader(shared.value), (Counter(), Counter())
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 both[label].update(stems_of(reader.counts_of(text)[0]).keys())
         names = list(both[0] | both[1])
@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int =
 
     def features(batches):
         reader = Reader(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             counted = [reader.counts_of(t) for t in batch.column("text").to_pylist()]
             found = [levels_of(stems_of(c, lexicon), k) for c, k in counted]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
@@ -253,8 +253,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Data
         lm, empty, weights = shared.value
         known = frozenset(f.partition(">=")[0] for f in weights)
         reader, scores = Reader(lm, frozenset(k.strip() for k in known)), []
-        for text in texts.to_pylist():
-            counts, n = reader.counts_of(text)
+        for text in texts:
+            counts, n = reader.counts_of(text.as_py())
             scores.append(max((weights[f] for f in levels_of(stems_of(counts, known), n) if f in weights), default=empty))
         return pa.array(scores, pa.float64())
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm.common import work_folder
+from convoeval.llm.common import slices, work_folder
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -97,7 +97,7 @@ def write_warc(
     columns = ["page_id", "url", "payload", "digest", "length", "refers"]
 
     def records(batches):
-        for batch in _slices(batches, "payload"):
+        for batch in slices(batches, "payload"):
             out = []
             for page, url, payload, digest, length, refers in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 known = [("WARC-Page-ID", page), ("WARC-Target-URI", _clean(url)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}")]
@@ -127,14 +127,6 @@ def write_warc(
         "lineSep", END.decode()).option("compression", "gzip").text(folder)
 
 
-def _slices(batches, column: str, size: int = 2 << 20):
-    """Batches cut so that ``column`` has about ``size`` bytes in each."""
-    for batch in batches:
-        step = max(1, batch.num_rows * size // max(1, batch.column(column).nbytes))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
 def parse_records(data: bytes):
     """(headers, block) of each record of an archive, plain or gzip, one or many members.
 
@@ -231,7 +223,7 @@ def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
 
     def decode(batches):
         names = [c.split()[0] for c in WHOLE.split(", ")]
-        for batch in _slices(batches, "block"):
+        for batch in slices(batches, "block"):
             rows = []
             for r in batch.to_pylist():
                 if r["record_type"] == "revisit":
