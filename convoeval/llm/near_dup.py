@@ -3,7 +3,7 @@
 Texts with the same words are one class. Each class is signed once; bands of its signature are buckets.
 Within a bucket classes meet the bucket's smallest class first. What is still unconnected is compared with
 all other members of its bucket in blocks: at first only the likeliest partner of each is verified, as
-members of a group of copies mostly hang on one original, then all that remains. Pairs compare their signatures batch by batch and are dropped as
+members of a group of copies mostly hang on one original, then all that remains, within the blocks. Pairs compare their signatures batch by batch and are dropped as
 soon as the posterior chance of reaching the threshold falls below the miss probability; survivors are
 verified on their whole shingle sets. Only links that connect are kept, so a group of thousands of copies
 gives a row for each member and not for each pair.
@@ -130,11 +130,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, miss: fl
     pairs = shared.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     texts = docs.select("text", F.col("doc_id").alias("of"))
     links = stored(_verified(_signed_pairs(pairs, classes, steps, threshold), classes, texts, percent, width), "links")
-    for likeliest in (True, False):
-        roots = stored(components(links), "roots")
-        more = _verified(_rest_pairs(shared, roots, classes, steps, threshold, likeliest), classes, texts, percent, width)
-        links = stored(links.unionAll(more), "links")
-    roots = components(links)
+    likeliest = _rest_pairs(_mixed(shared, components(links)), classes, steps, threshold)
+    links = stored(links.unionAll(_verified(likeliest, classes, texts, percent, width)), "links")
+    mixed = _mixed(shared, components(links))
+    sets_of = _shingle_sets(mixed.select("cls").distinct(), classes, texts, width)
+    roots = components(links.unionAll(_rest_pairs(mixed, classes, steps, threshold, sets_of, percent)))
 
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -173,6 +173,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     """The pairs that reach the threshold on their whole shingle sets, as edges(a, b)."""
     pairs = stored(pairs, "candidates")
     need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets_of = _shingle_sets(need, classes, texts, width)
+
+    def confirm(batches):
+        for batch in batches:
+            keep = [i for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)) if linked(x.as_py(), y.as_py(), percent)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in "ab"], ["a", "b"])
+
+    return pairs.join(sets_of.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets_of.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
+
+
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sorted shingle sets reach the threshold."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _shingle_sets(need: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(cls, shingles) of the classes in ``need``, from the text of one of their documents."""
     owner = classes.select("cls", F.col("least").alias("of")).join(need, "cls")
 
     def sets(batches):
@@ -183,45 +203,39 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 
     # met by doc_id, so that only the texts asked for are normalised
     mine = texts.join(owner, texts["of"].eqNullSafe(owner["of"])).select("cls", normal_words(F.col("text")).alias("normal"))
-    sets_of = stored(mine.mapInArrow(sets, "cls binary, shingles binary").dropDuplicates(["cls"]), "shingles")
-
-    def confirm(batches):
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in "ab"], ["a", "b"])
+    return stored(mine.mapInArrow(sets, "cls binary, shingles binary").dropDuplicates(["cls"]), "shingles")
 
-    return pairs.join(sets_of.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets_of.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
 
-
-def _rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, steps: list, threshold: float, likeliest: bool) -> DataFrame:
-    """Pairs of a bucket that are not connected yet; with ``likeliest`` the best one of each class.
-
-    A bucket's largest component is left out on one side: its members need not meet each other. The
-    others meet everybody, in blocks; the blocks' pairs are compared in place and only what passes comes
-    out, in the first of the bands that the two share.
-    """
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the number of blocks on either side."""
     rooted = shared.where("size > 2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "band", "bucket", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    live = stored(rooted.join(mixed, "bucket").withColumns({
+    return stored(rooted.join(mixed, "bucket").withColumns({
         "lefts": F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int"), "rights": F.ceil(F.col("size") / BLOCK).cast("int"), "h": F.xxhash64("cls")}), "mixed")
+
+
+def _rest_pairs(live: DataFrame, classes: DataFrame, steps: list, threshold: float, sets_of: DataFrame | None = None, percent: int = 0) -> DataFrame:
+    """Pairs within the buckets of ``live`` that are not connected yet.
+
+    A bucket's largest component is left out on one side: its members need not meet each other. The
+    others meet everybody, in blocks, where pairs are compared in place, in the first of the bands that
+    the two share. With ``sets_of`` they are verified there too and each class gives one link to every
+    component of its block that it reaches; without, each gives the likeliest partner it has.
+    """
+    likeliest = sets_of is None
     left = live.where("root <> main").select("bucket", F.pmod("h", F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "band", "cls", "root", F.lit(True).alias("probe"))
     right = live.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", F.col("rights")).cast("int").alias("j"), "band", "cls", "root", F.lit(False).alias("probe"))
     rows = left.unionAll(right).join(classes.select("cls", "sig", "n_shingles"), "cls")
-    parts = max(1, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("shingles", F.lit(None).cast("binary")) if likeliest else rows.join(sets_of, "cls")
+    parts = max(1, int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(batches):
         for group in groups_of(batches, ["bucket", "i", "j"]):
             probe = group.column("probe").to_numpy(zero_copy_only=False)
-            keys, roots = group.column("cls").to_pylist(), group.column("root").to_pylist()
+            keys, roots, sets = group.column("cls").to_pylist(), group.column("root").to_pylist(), group.column("shingles")
             n = group.column("n_shingles").to_numpy()
             code = {r: k for k, r in enumerate(dict.fromkeys(roots))}
             root = np.array([code[r] for r in roots])
@@ -237,15 +251,19 @@ def _rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, steps:
                 if likeliest:
                     found.update([max((m, keys[x], keys[k]) for m, k in zip(matches, live.tolist(), strict=True))] if matches else [])
                 else:
-                    found.update((0, min(keys[x], keys[k]), max(keys[x], keys[k])) for k in live.tolist())
+                    reached: set[int] = set()
+                    for k in live.tolist():
+                        if root[k] not in reached and linked(sets[x].as_py(), sets[k].as_py(), percent):
+                            reached.add(root[k])
+                            found.add((0, keys[x], keys[k]))
             if found:
                 m, a, b = zip(*sorted(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(m, pa.int32())], ["a", "b", "m"])
 
-    out = dealt.select("bucket", "i", "j", "band", "cls", "root", "probe", "sig", "n_shingles").mapInArrow(compare, "a binary, b binary, m int")
+    out = dealt.select("bucket", "i", "j", "band", "cls", "root", "probe", "sig", "n_shingles", "shingles").mapInArrow(compare, "a binary, b binary, m int")
     if likeliest:
         return out.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-    return out.select("a", "b").distinct()
+    return out.select("a", "b")
 
 
 def groups_of(batches, by: list[str]):
