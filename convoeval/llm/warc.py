@@ -157,9 +157,11 @@ def parse_records(data: bytes):
         at = data.find(b"WARC/1.", end + 4 + n)
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, whole: bool = False, payloads: bool = True) -> DataFrame:
     """Every record of the archives below ``folder``, undecoded (schema ``RECORDS``).
 
+    With ``whole`` only the records that are no segments, decoded at once (schema ``WHOLE``).
+
     A file is read whole by one task, so keep archives at the usual size of up to 1 GB, or well below
     an executor's memory.
     """
@@ -167,26 +169,34 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     def as_int(value):
         return int(value) if value and re.fullmatch(r"-?\d{1,18}", value) else None
 
+    raw = [c.split()[0] for c in RECORDS.split(", ")]
+    names = [c.split()[0] for c in WHOLE.split(", ")] if whole else raw
+
     def cut(batches):
-        names = [c.split()[0] for c in RECORDS.split(", ")]
         for batch in batches:
             for data in batch.column("content"):
                 rows, held = [], 0
                 for h, block in parse_records(data.as_py()):
                     inner = re.search(rb"(?i)\r\ncontent-length: *(\d{1,18})\r\n", block[:4096]) if h.get("warc-type") == "revisit" else None
-                    rows.append((
+                    row = (
                         h.get("warc-record-id", "").strip("<>"), h.get("warc-type"), as_int(h.get("warc-page-id")), h.get("warc-target-uri"),
                         h.get("warc-refers-to-page-id"), (h.get("warc-payload-digest") or "").rpartition(":")[2].lower() or None,
                         int(inner[1]) if inner else None, h["warc-segment-origin-id"].strip("<>") if "warc-segment-origin-id" in h else None,
                         as_int(h.get("warc-segment-number")), as_int(h.get("warc-segment-total-length")), block,
-                    ))
+                    )
+                    if whole:
+                        r = dict(zip(raw, row, strict=True))
+                        if r["segment"] is None and r["record_type"] in ("response", "revisit"):
+                            rows.append(decoded(r, payloads))
+                    else:
+                        rows.append(row)
                     held += len(block)
                     if held > 2_000_000:
                         yield _batch(rows, names)
                         rows, held = [], 0
                 yield _batch(rows, names)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0").select("content").mapInArrow(cut, RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0").select("content").mapInArrow(cut, WHOLE if whole else RECORDS)
 
 
 _TYPES = {"page_id": pa.int64(), "payload_length": pa.int64(), "total_length": pa.int64(), "segment": pa.int32(), "block": pa.binary(), "payload": pa.binary(), "complete": pa.bool_()}
@@ -197,6 +207,19 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), _TYPES.get(n, pa.string())) for n, c in zip(names, columns, strict=True)], names)
 
 
+def decoded(r: dict, payloads: bool) -> tuple:
+    """A row of ``WHOLE`` from a whole record of ``RECORDS``."""
+    if r["record_type"] == "revisit":
+        return r["record_id"], "revisit", r["page_id"], r["url"], r["refers_to"], None, r["payload_length"], r["digest"], True
+    block, payload = r["block"], None
+    if r["total_length"] is None or r["total_length"] == len(block):
+        head, _, body = block.partition(END)
+        payload = unchunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:[^\r]*chunked", head) else body
+    known = payload is not None
+    return (r["record_id"], "response", r["page_id"], r["url"], None, payload if payloads else None, len(payload) if known else None,
+            hashlib.sha256(payload).hexdigest() if known else None, known)
+
+
 def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     """Whole records (schema ``WHOLE``) from ``read_records``; without ``payloads`` those stay null.
 
@@ -224,18 +247,7 @@ def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     def decode(batches):
         names = [c.split()[0] for c in WHOLE.split(", ")]
         for batch in slices(batches, "block"):
-            rows = []
-            for r in batch.to_pylist():
-                if r["record_type"] == "revisit":
-                    rows.append((r["record_id"], "revisit", r["page_id"], r["url"], r["refers_to"], None, r["payload_length"], r["digest"], True))
-                    continue
-                block, payload = r["block"], None
-                if r["total_length"] is None or r["total_length"] == len(block):
-                    head, _, body = block.partition(END)
-                    payload = unchunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:[^\r]*chunked", head) else body
-                rows.append((r["record_id"], "response", r["page_id"], r["url"], None, payload if payloads else None, None if payload is None else len(payload),
-                             None if payload is None else hashlib.sha256(payload).hexdigest(), payload is not None))
-            yield _batch(rows, names)
+            yield _batch([decoded(r, payloads) for r in batch.to_pylist()], names)
 
     return single.select(whole.columns).unionByName(whole).mapInArrow(decode, WHOLE)
 
@@ -244,4 +256,7 @@ def round_trip(pages: DataFrame, payloads: bool = True, **options) -> DataFrame:
     """``pages`` written as archives to a work folder and read back as whole records."""
     folder = work_folder(pages.sparkSession, "warc")
     write_warc(pages, folder, **options)
-    return reassemble(read_records(pages.sparkSession, folder), payloads)
+    # whole records are decoded where they are read, so that a task needs one Python worker
+    spark = pages.sparkSession
+    segments = read_records(spark, folder).where("segment is not null")
+    return read_records(spark, folder, True, payloads).unionByName(reassemble(segments, payloads))
