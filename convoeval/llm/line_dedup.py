@@ -1,9 +1,10 @@
 """Line dedup: drop lines that many documents share, keep them in one document.
 
-Two Bloom filters per hash range find the line hashes seen more than once: a hash that the once-seen
-filter already holds enters the twice-seen filter and is named as suspect, once. The suspects' bits then
-make one filter of bounded size for the scan, which lets only suspected repeats shuffle with their text.
-Those are confirmed by their text, so a false positive costs a row and never a line.
+A Bloom filter per hash range finds the line hashes seen more than once: a hash that the once-seen filter
+already holds is named as suspect, and an exact distinct removes repeated names, so no filter ever takes a
+hash away. The suspects' bits then make one filter of bounded size for the scan, which lets only suspected
+repeats shuffle with their text. Those are confirmed by their text, so a false positive costs a row and never
+a line.
 """
 
 from __future__ import annotations
@@ -52,10 +53,11 @@ class Bloom:
 
 
 def suspects(hashes: DataFrame, bits: int = 23, flush: int = 1_000_000) -> DataFrame:
-    """Hashes ``h`` that occur at least twice, with few false ones and none missing.
+    """Distinct hashes ``h`` that occur at least twice, with few false ones and none missing.
 
     Each task first counts its own hashes, so a very common line leaves it once, marked as seen twice.
-    Per hash range two filters of 2**bits bits take the hashes in as they stream by.
+    Per hash range a filter of 2**bits bits takes the hashes in as they stream by; there are
+    so many ranges that it has about 8 bits or more for each counted hash. A full filter only adds false ones.
     """
 
     def combine(batches):
@@ -75,18 +77,17 @@ def suspects(hashes: DataFrame, bits: int = 23, flush: int = 1_000_000) -> DataF
             yield out()
 
     def watch(batches):
-        once, twice = Bloom(bits), Bloom(bits)
+        once = Bloom(bits)
         for batch in batches:
             h, n = np.unique(batch.column("h").to_numpy(), return_counts=True)
             marked = np.isin(h, batch.column("h").to_numpy()[batch.column("twice").to_numpy(zero_copy_only=False)])
             again = h[(n > 1) | marked | once.has(h)]
-            again = again[~twice.has(again)]
-            twice.add(again)
             once.add(h)
             yield pa.RecordBatch.from_arrays([pa.array(again)], ["h"])
 
-    parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return hashes.mapInArrow(combine, "h long, twice boolean").repartition(parts, "h").mapInArrow(watch, "h long")
+    counted = stored(hashes.mapInArrow(combine, "h long, twice boolean"), "hashes")
+    parts = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted.count() * 8 >> bits))
+    return counted.repartition(parts, "h").mapInArrow(watch, "h long").distinct()
 
 
 def suspect_filter(found: DataFrame, max_bytes: int = 1 << 26) -> tuple[int, bytes]:

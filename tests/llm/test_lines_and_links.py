@@ -57,6 +57,26 @@ def test_suspects_miss_nothing(spark):
     assert {x for x in h[:500]} <= {r.h for r in line_dedup.suspects(df, flush=700).collect()}
 
 
+def test_full_range_filters_lose_no_suspect(spark):
+    """Hashes reach the filters in many small batches, so later ones meet full filters."""
+    h = [hash((i, "y")) for i in range(900)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, 20)
+    try:
+        found = [r.h for r in line_dedup.suspects(spark.createDataFrame([(x,) for x in h * 2], "h long").repartition(6), bits=6).collect()]
+    finally:
+        spark.conf.set(size, old)
+    assert sorted(found) == sorted(h)
+
+
+def test_line_dedup_with_full_range_filters_and_whole_scan_filter(spark):
+    lines = [f"line number {i} " + "filler " * 6 for i in range(400)]
+    rows = [(d, "\n".join(lines[d % 4 :: 4])) for d in range(32)]
+    done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), bits=6)
+    assert got_lines(done) == brute_lines(rows)
+
+
 def shingles(text, width=5):
     w = [x for x in "".join(" " if c in BLANK else c for c in lower(text or "")).split(" ") if x]
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
