@@ -91,13 +91,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, miss: fl
     rows with the same words are always together, rows that share only a doc_id are not. A row without
     doc_id links as any other and is never the representative unless its component has no doc_id at all:
     then component_id is null and every row is kept. Rows with words that repeat the smallest doc_id are
-    all kept. Columns named like the new ones are replaced; no rows give none.
+    all kept. A pair at the threshold shares no band with a chance of at most ``miss``: the lower
+    ``percent``, the more bands. Columns named like the new ones are replaced; no rows give none.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_shingles", "component_id", "kept")
     threshold = percent / 100
-    steps = bounds(threshold, miss)
-    a, b = parameters()
+    n_hashes = ROWS * bands_for(threshold, miss)
+    steps = bounds(threshold, miss, n_hashes)
+    a, b = parameters(n_hashes)
     normal = normal_words(F.col("text"))
     cls = F.unhex(F.md5(normal))
 
@@ -287,6 +289,13 @@ def groups_of(batches, by: list[str]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def miss_at(similarity: float) -> float:
+def miss_at(similarity: float, bands: int = HASHES // ROWS) -> float:
     """Chance that a pair of this similarity shares no band."""
-    return (1 - similarity**ROWS) ** math.floor(HASHES / ROWS)
+    return (1 - similarity**ROWS) ** bands
+
+
+def bands_for(threshold: float, miss: float = MISS) -> int:
+    """Bands with which a pair at ``threshold`` shares none with a chance of at most ``miss``, never under the usual number."""
+    if threshold >= 1:
+        return HASHES // ROWS
+    return max(HASHES // ROWS, math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS))))

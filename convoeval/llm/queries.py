@@ -161,7 +161,7 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE
   w.doc_id = (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id""")
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return near_dup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), percent=85)
 
 
 @query("op10_embedding_near_dedup", """

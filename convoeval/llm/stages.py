@@ -21,8 +21,8 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (2): of each group that links connect the smallest doc_id stays."""
-    return near_dup.near_duplicates(docs).where("kept").select(docs.columns)
+    """MinHash near-dedup (2): of each group that links of similarity 0.8 or more connect the smallest doc_id stays."""
+    return near_dup.near_duplicates(docs, percent=80).where("kept").select(docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

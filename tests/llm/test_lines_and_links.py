@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from convoeval.llm import line_dedup, near_dup, vector_dup
+from convoeval.llm import line_dedup, near_dup, stages, vector_dup
 from convoeval.llm.common import components
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -143,6 +144,21 @@ def test_rest_blocks_find_what_the_centre_misses(spark, monkeypatch):
     assert got_links(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_links(rows)
 
 
+def test_the_stage_links_from_0_80_on(spark):
+    base = [f"w{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    near[30] = near[60] = "x"  # 86 of 106 shingles shared: 0.811
+    far[20] = far[50] = far[80] = "x"  # 81 of 111: 0.730
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string").withColumn("n_chars", F.lit(1))
+    assert sorted(r.doc_id for r in stages.distinct_documents(spark, df, "").collect()) == [1, 3]
+
+
+def test_bands_follow_the_threshold():
+    assert near_dup.bands_for(0.85) == 30 and near_dup.bands_for(1) == 30
+    for t in (0.5, 0.7, 0.8, 0.85, 0.95):
+        assert near_dup.miss_at(t, near_dup.bands_for(t)) <= near_dup.MISS
+
+
 def test_bounds_and_miss():
     steps = near_dup.bounds(0.85, 1e-6)
     assert [k for k, _ in steps] == [25, 50, 75, 100, 125, 150] and all(m < 0.85 * k for k, m in steps)
