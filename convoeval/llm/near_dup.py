@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, miss: fl
     id_type = dict(docs.dtypes)["doc_id"]
     signed = stored(docs.select("doc_id", cls.alias("cls"), normal.alias("normal")).mapInArrow(
         sign, f"doc_id {id_type}, cls binary, n_shingles long, sig binary, bands array<long>"), "signed")
-    classes = stored(signed.where("n_shingles > 0").groupBy("cls").agg(F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("least")).select(
+    classes = stored(signed.where("n_shingles > 0").groupBy("cls").agg(F.first(F.struct("n_shingles", "sig", "bands")).alias("x"), F.min("doc_id").alias("least")).select(
         "cls", "least", "x.*"), "classes")
 
     # buckets of one member go; in the others each member meets the smallest

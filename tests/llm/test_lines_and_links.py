@@ -130,6 +130,13 @@ def test_near_duplicates_odd_rows(odd, nothing):
     assert near_dup.near_duplicates(nothing).count() == 0
 
 
+def test_near_copy_without_doc_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base)), (7, " ".join([*base[:50], "x", *base[51:]]))]
+    got = got_links(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_links(rows) and (None, 96, 7, False) in got
+
+
 @pytest.mark.parametrize("edits", [2, 4, 7])
 def test_near_duplicates_against_all_pairs(spark, edits):
     """Groups whose members are partly below the threshold, linked through each other."""
