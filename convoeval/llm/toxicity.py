@@ -8,6 +8,7 @@ evidence that labelled documents give for them.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -24,7 +25,9 @@ SUBSTITUTE, DROP_REPEAT, KEEP_REPEAT = -0.7, -0.2, -2.0
 
 #: Character classes: 0 a gap, 1-26 a-z, 27 other letters.
 CLASSES = 28
-LONGEST = 24
+
+#: Chance that a stem or feature without meaning passes the test of its counts, over all that are tested.
+CHANCE = 0.01
 
 #: Numbers and shares of words from which a stem is a feature.
 COUNTS, RATES = (1, 2, 3, 5), (0.002, 0.005, 0.01, 0.02)
@@ -78,25 +81,37 @@ def restore(token: str, lm: np.ndarray) -> str:
     """The likeliest reading of a token of a-z, digits and signs under ``lm``.
 
     Paths keep the last two characters as their state. A digit or sign reads as one of its letters; a
-    letter after an equal one may be dropped.
+    letter after an equal one may be dropped. What all paths share is put aside, so time grows with the length.
     """
-    paths = {(0, 0): (0.0, "")}
+    paths, agreed = {(0, 0): (0.0, None)}, []
     for i, ch in enumerate(token):
         reads = [(c, SUBSTITUTE) for c in LEET.get(ch, "")] or [(ch, 0.0)]
         repeated = i > 0 and token[i - 1] == ch and (i > 1 and token[i - 2] == ch or i + 1 < len(token) and token[i + 1] == ch)
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, out) in paths.items():
             steps = []
             for c, cost in reads:
                 k = ord(c) - 96 if "a" <= c <= "z" else 27 if c > "\x7f" else 0
-                steps.append((score + cost + lm[a, b, k] + (KEEP_REPEAT if repeated else 0.0), (b, k), out + c))
+                steps.append((score + cost + lm[a, b, k] + (KEEP_REPEAT if repeated else 0.0), (b, k), (out, c)))
             if repeated:
                 steps.append((score + DROP_REPEAT, (a, b), out))
             for s, state, o in steps:
                 if state not in after or s > after[state][0]:
                     after[state] = (s, o)
         paths = after
-    return max(paths.items(), key=lambda p: (p[1][0] + lm[p[0][0], p[0][1], 0], p[1][1]))[1][1]
+        if len(paths) == 1:
+            ((state, (score, out)),) = paths.items()
+            agreed.append(_letters(out))
+            paths = {state: (score, None)}
+    return "".join(agreed) + max((score + lm[a, b, 0], _letters(out)) for (a, b), (score, out) in paths.items())[1]
+
+
+def _letters(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 class Reader:
@@ -111,16 +126,18 @@ class Reader:
                 self.known.clear()
             text = token.decode("utf-8", "replace").strip("!") or ""
             if not spelled:
-                text = re.sub(r"([$@!+])\1\1+$", "", text)
+                text = re.sub(r"(.)\1{4,}", r"\1\1\1\1", re.sub(r"([$@!+])\1\1+$", "", text))
             found = []
-            if 3 <= len(text) <= LONGEST or spelled:
+            if len(text) >= 3 or spelled:
                 if not DISGUISED.search(text.encode()) and not spelled:
                     found = [text]
                 else:
-                    word = restore(text[: 1 << 12], self.lm) if not spelled else "".join(restore(text[i : i + 64], self.lm) for i in range(0, len(text), 64))
+                    word = restore(text, self.lm) if not spelled else "".join(restore(text[i : i + 64], self.lm) for i in range(0, len(text), 64))
                     found = [word]
                     if spelled and self.words:
                         found += [w for w in self.words if len(w) > 3 and w in word]
+            if len(token) > 64:
+                return found
             self.known[token, spelled] = found
         return self.known[token, spelled]
 
@@ -161,7 +178,7 @@ def fit(rows: list[tuple[int, list[str]]], prior: tuple[int, int], share: float
 
     ``prior`` are toxic and all texts. Features enter one at a time: the one in most toxic texts that no
     earlier feature is in, less ten times the other texts it is in, as long as that is ``share`` of the
-    toxic texts; those that only accompany stronger ones stay out. Features in five times that share and
+    toxic texts or more than chance gives; those that only accompany stronger ones stay out. Features in five times that number and
     in no other text enter besides. A feature's score is the share of toxic texts among its own.
     """
     empty = (prior[0] + 0.5) / (prior[1] + 10)
@@ -173,7 +190,9 @@ def fit(rows: list[tuple[int, list[str]]], prior: tuple[int, int], share: float
     doc = np.concatenate([np.full(len(found), i) for i, (_, found) in enumerate(rows)]).astype(np.int64)
     col = np.array([at[f] for _, found in rows for f in found], np.int64)
     pos, every = np.bincount(col, y[doc], len(names)), np.bincount(col, minlength=len(names))
-    least = max(2.0, share * prior[0])
+    # so many toxic texts and no other are rarer than CHANCE among all features
+    by_chance = math.log(len(names) / CHANCE) / -math.log((prior[0] + 0.5) / (prior[1] + 1))
+    least = max(2.0, min(share * prior[0], by_chance))
     chosen = set(np.flatnonzero((pos == every) & (pos >= 5 * least)).tolist())
     worth = np.where(y > 0, 1.0, -10.0)
     while True:
@@ -188,11 +207,12 @@ def fit(rows: list[tuple[int, list[str]]], prior: tuple[int, int], share: float
     return float((y[bare].sum() + 0.5) / (bare.sum() + 10)), {names[f]: float((pos[f] + 0.5) / (every[f] + 1)) for f in sorted(chosen)}
 
 
-def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = 10_000, share: float = 0.02, max_stems: int = 2_000) -> tuple[float, dict[str, float]]:
+def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = 10_000, share: float = 0.02) -> tuple[float, dict[str, float]]:
     """Fit on at most ``sample_rows`` labelled rows, those with the smallest hash of their doc_id.
 
-    Labels are read only where crc32(doc_id as text) mod 5 is not 0. Candidate stems stand in at least
-    ``share`` of the toxic texts and are likelier there; at most ``max_stems``, the strongest, go on.
+    Labels are read only where crc32(doc_id as text) mod 5 is not 0. Candidate stems are likelier in toxic
+    texts and stand in at least ``share`` of them or in more of them than chance gives: the binomial tail of
+    their counts, by Chernoff's bound, is below CHANCE over the number of stems.
     """
     spark = docs.sparkSession
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
@@ -219,8 +239,13 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int =
 
     pos, neg = F.sum("pos"), F.sum("neg")
     odds = F.log((pos + 0.5) / (toxic + 1)) - F.log((neg + 0.5) / (n - toxic + 1))
-    strong = rows.repartition(parts).mapInArrow(stems, "stem string, pos long, neg long").groupBy("stem").agg(pos.alias("n"), odds.alias("odds")).where(
-        (F.col("n") >= max(2.0, share * toxic)) & (F.col("odds") >= 0.5)).orderBy(F.desc(F.col("odds") * F.sqrt("n")), "stem").limit(max_stems)
+    counted = stored(rows.repartition(parts).mapInArrow(stems, "stem string, pos long, neg long").groupBy("stem").agg(
+        pos.alias("pos"), neg.alias("neg"), odds.alias("odds")), "stems")
+    q, rate = (toxic + 0.5) / (n + 1), F.col("pos") / (F.col("pos") + F.col("neg"))
+    # log of the bound; a stem in toxic texts only has no second term
+    tail = F.col("pos") * F.log(rate / q) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - rate) / (1 - q))).otherwise(0.0)
+    strong = counted.where(((F.col("pos") >= max(2.0, share * toxic)) & (F.col("odds") >= 0.5))
+                           | ((F.col("pos") > 0) & (rate > q) & (tail >= math.log(max(1, counted.count()) / CHANCE))))
     lexicon = frozenset(r["stem"] for r in strong.collect())
 
     def features(batches):

@@ -140,6 +140,26 @@ def test_disguises_are_read():
     assert reader.counts_of(None) == ({}, 0)
 
 
+def test_long_disguises_are_read():
+    codes = list(("so the idiot said " * 20).encode().translate(toxicity.TO_CLASS))
+    counts = np.full((28, 28, 28), 0.1)
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        counts[a, b, c] += 1
+    reader = toxicity.Reader(np.log(counts / counts.sum(axis=2, keepdims=True)))
+    for shown in ("iiiidioooooooooooooooooooot", "idio" + "o" * 100_000 + "t", "1d" + "1" * 40 + "0t"):
+        assert "idiot" in reader.counts_of(f"the {shown} said")[0], len(shown)
+    assert len(toxicity.restore("ab1c" * 20_000, reader.lm)) == 80_000
+
+
+def test_rare_toxic_word_has_weight(spark):
+    """A word in 1.5 % of the toxic texts and in no other."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"word{k}" for k in range(100)], k=20) + (["zwick"] if i < 12 else ["gnarf"] if i < 800 else [])), int(i < 800)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    scored = toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).where("doc_id < 12 or doc_id >= 3900").collect()
+    assert all((r.score >= 0.5) == (r.doc_id < 12) for r in scored)
+
+
 def toxic_corpus(spark, n=1500, seed=3):
     rng = random.Random(seed)
     docs, labels = [], []
