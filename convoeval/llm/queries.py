@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import decontaminate, html_text, licenses, line_dedup, near_dup, pieces, secrets, toxicity, vector_dup, warc
+from convoeval.llm import (
+    decontaminate, filter_audit, html_text, licenses, line_dedup, near_dup, pieces, secrets, source_audit, token_counts, toxicity, vector_dup, warc,
+)
 
 #: A public SentencePiece model; only its path is known here.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
+
+def bpe_path() -> str:
+    """The public byte-level BPE of the token counts."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -183,3 +195,55 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_html_extraction")
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(table(spark, folder, "pages"))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"), bpe_path())
+    return counted.drop("text")
+
+
+_ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
+
+
+@query("op12_filter_audit", rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > first] AS f
+  FROM w LEFT JOIN labels USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, f),
+s AS (SELECT o AS filter_order, i AS step, ascii(substr(o, i, 1)) - 64 AS own, list_transform(string_split(substr(o, 1, i - 1), ''), lambda x: ascii(x) - 64) AS before
+  FROM (SELECT o, unnest(generate_series(1, 5)) AS i FROM (VALUES {_ORDERS}) v(o))),
+g AS (SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails, len(list_filter(before, lambda x: x > 0 AND f[x])) > 0 AS gone,
+    len(list_filter(f, lambda x: x)) = 1 AS single FROM c, s),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails AND single), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails), 0) AS toxic_lost
+  FROM g GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""")
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, folder, "documents")), table(spark, folder, "labels"), list("ABCDE"))
+
+
+@query("op13_source_audit", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang, source) + v) AS p,
+    1 + (1000000000::HUGEINT * (sum(c) OVER (PARTITION BY lang, term) + 1)) // (sum(c) OVER (PARTITION BY lang) + v) AS q FROM t JOIN v USING (lang)),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.divergence(table(spark, folder, "documents"))

@@ -17,10 +17,10 @@ def test_all_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_minhash_near_dedup", "op3_warc", "op4_license_scan", "op5_decontamination", "op8_secret_scan", "op10_embedding_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_minhash_near_dedup", "op3_warc", "op4_license_scan", "op5_decontamination", "op8_secret_scan", "op10_embedding_near_dedup", "op12_filter_audit", "op13_source_audit"])
 def test_same_rows_as_sql(spark, name):
     import duckdb
     from compare import TABLES, rows_of
@@ -65,7 +65,7 @@ def test_pipeline_stages(spark):
     marks = {r.doc_id: r.toxic for r in tables["labels"].collect()}
     assert sum(marks.get(d) == 0 for d in toxic) == sum(v == 0 for v in marks.values())  # no clean one goes
     assert {(r.doc_id, r.text) for r in lines.values()} == {(d, t) for d, _, _, t in brute_lines([(r.doc_id, r.text) for r in toxic.values()])}
-    assert set(near) == {d for d, _, _, keep in brute_links([(r.doc_id, r.text) for r in lines.values()]) if keep}
+    assert set(near) == {d for d, _, _, keep in brute_links([(r.doc_id, r.text) for r in lines.values()], 80) if keep}
     items = [(r.item_id, r.text) for r in tables["benchmark"].collect()]
     assert set(clean) == {d for d, r in near.items() if not brute_contamination(r.text, items)[1]}
     assert all(r.round_trip and r.n_chars == len(r.text) for r in last.values()) and set(last) == set(clean)
