@@ -58,6 +58,20 @@ def numbered(
     return prefix_sums(df, keys, order, bucket, **{name: F.lit(1).cast("long")})
 
 
+def range_buckets(df: DataFrame, order: str, name: str = "_bucket") -> DataFrame:
+    """``df`` cut along ``order`` at sampled splitters, with the number of the stretch, and written.
+
+    For an order column of any type and distribution; equal values stay together. It is written
+    because the stretches are read several times and must not be drawn anew.
+    """
+    return cut_lineage(df.repartitionByRange(F.col(order)).withColumn(name, F.spark_partition_id().cast("long")))
+
+
+def numbered_by_range(df: DataFrame, order: str, name: str = "row") -> DataFrame:
+    """Adds a 1-based row number over ``order``, a column of any type with unique values."""
+    return numbered(range_buckets(df, order, "_stretch"), [], [order], F.col("_stretch"), name).drop("_stretch")
+
+
 def with_previous(
     df: DataFrame, keys: list[str], order: str, columns: list[str], bucket: Column
 ) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from convoeval.functions.text import pack_lines, strip_query_prefix
 from convoeval.operators.ordered import top_per_key
-from convoeval.operators.retrieval import bm25_scoped_topk, rrf
+from convoeval.operators.retrieval import bm25_scoped_topk, build_scoped, rrf
+from convoeval.operators.vectorblocks import semantic_scoped_topk
+from convoeval.session import cut_lineage
 
 ICL, LONG, SHORT = "icl", "long", "short"
 LABEL = r"\nLabel:\s*\d+"
@@ -44,39 +46,41 @@ def route_split(chunks: DataFrame, types: DataFrame, size: int = 1000, keep_belo
 
 
 def adaptive_retrieve(
-    questions: DataFrame, chunks: DataFrame, types: DataFrame, vector_hits: DataFrame | None = None,
-    top_k: int = 20, icl_all: int = 200, short_all: int = 50,
+    questions: DataFrame, chunks: DataFrame, types: DataFrame, top_k: int = 20, icl_all: int = 200, short_all: int = 50,
 ) -> DataFrame:
     """Chunks for each question by the type of its task: ``(qid, position, rank)``.
 
-    Labelled examples: all chunks of a small task, else keyword hits. Long talks:
-    fused keyword and vector hits. Short: all of a small task, else vector hits,
-    else the latest. ``vector_hits(qid, id, rank)`` may be left out. The tasks
-    answered in full have at most ``icl_all`` or ``short_all`` chunks.
+    Labelled examples: all chunks of a small task, else keyword hits. Long talks: fused keyword and
+    vector hits. Short: all of a small task, else vector hits. ``questions(qid, task_id, query, embedding)``,
+    ``chunks(task_id, position, text, embedding)``; where the columns ``embedding`` are missing long talks get
+    keyword hits alone and short ones the latest chunks. The tasks answered in full have at most
+    ``icl_all`` or ``short_all`` chunks.
     """
+    vectors = "embedding" in questions.columns and "embedding" in chunks.columns
     q = questions.join(types.select("task_id", "task_type", "n_chunks"), "task_id")
     whole = F.when(F.col("task_type") == ICL, F.col("n_chunks") <= icl_all).when(
         F.col("task_type") == SHORT, F.col("n_chunks") <= short_all
     ).otherwise(False)
-    q = q.withColumn("_whole", whole)
+    end = chunks.groupBy("task_id").agg(F.max("position").alias("_end"))
+    q = cut_lineage(q.withColumn("_whole", whole).join(end, "task_id"))
     full = q.where("_whole").join(chunks.select("task_id", "position"), "task_id").select(
         "qid", "position", (F.col("position") + 1).cast("int").alias("rank")
     )
-    rest = q.where("NOT _whole")
-    end = chunks.groupBy("task_id").agg(F.max("position").alias("position"))
+    rest = q.where("NOT _whole").withColumn("position", F.col("_end"))
+    icl_q, long_q, short_q = (rest.where(F.col("task_type") == kind) for kind in (ICL, LONG, SHORT))
 
-    def keyword(part: DataFrame, k: int, text: Column) -> DataFrame:
-        asked = part.select("qid", "task_id", text.alias("text")).join(end, "task_id")
-        return bm25_scoped_topk(asked, chunks, k)
-
-    icl = keyword(rest.where(F.col("task_type") == ICL), icl_all, F.col("query"))
+    # one index of the tasks that are searched by words, for both kinds of questions
+    searched = icl_q.select("task_id").unionAll(long_q.select("task_id")).distinct()
+    index = build_scoped(chunks.select("task_id", "position", "text").join(searched, "task_id", "left_semi"))
+    icl = bm25_scoped_topk(icl_q.withColumn("text", F.col("query")), index, icl_all)
+    keyword = bm25_scoped_topk(long_q.withColumn("text", strip_query_prefix(F.col("query"))), index, 2 * top_k)
+    lists = [keyword.select("qid", F.col("position").alias("id"), "rank")]
     out = full.unionByName(icl.select("qid", "position", "rank"))
-    long_q, short_q = rest.where(F.col("task_type") == LONG), rest.where(F.col("task_type") == SHORT)
-    lists = [keyword(long_q, 2 * top_k, strip_query_prefix(F.col("query"))).select("qid", F.col("position").alias("id"), "rank")]
-    if vector_hits is not None:
-        lists.append(vector_hits.join(long_q.select("qid"), "qid", "left_semi"))
-        near = vector_hits.join(short_q.select("qid"), "qid", "left_semi").where(F.col("rank") <= short_all)
-        out = out.unionByName(near.select("qid", F.col("id").alias("position"), "rank"))
+    if vectors:
+        near = semantic_scoped_topk(long_q, chunks.join(long_q.select("task_id").distinct(), "task_id", "left_semi"), 2 * top_k)
+        lists.append(near.select("qid", F.col("position").alias("id"), "rank"))
+        best = semantic_scoped_topk(short_q, chunks.join(short_q.select("task_id").distinct(), "task_id", "left_semi"), short_all)
+        out = out.unionByName(best.select("qid", "position", "rank"))
     else:
         latest = top_per_key(chunks.select("task_id", "position"), ["task_id"], [F.desc("position")], short_all)
         out = out.unionByName(short_q.select("qid", "task_id").join(latest, "task_id").select("qid", "position", "rank"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from convoeval.functions import scoring as S
 from convoeval.functions.text import tokens
 from convoeval.operators import retrieval as R
+from convoeval.operators.blockmax import raw_idf
+from convoeval.operators.vectorblocks import semantic_scoped_topk
 from convoeval.plans.registry import query, table
 from convoeval.plans.views import sql_strip, sql_tokens
 
@@ -13,7 +15,7 @@ def _docs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _asked(spark, d):
+def asked_texts(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
@@ -46,10 +48,13 @@ def ret1(spark, d):
 SELECT term, df, round(ln(n - df + 0.5) - ln(df + 0.5), 6) AS raw_idf, n AS n_docs, round(avgdl, 6) AS avg_len
 FROM df, st""")
 def ret2(spark, d):
-    index = R.build_bm25(_docs(spark, d))
+    return bm25_terms(R.build_bm25(_docs(spark, d)))
+
+
+def bm25_terms(index):
     return index.terms.select(
         "term", "df",
-        F.round(R.raw_idf(F.lit(index.n_docs), F.col("df")), 6).alias("raw_idf"),
+        F.round(raw_idf(F.lit(index.n_docs), F.col("df")), 6).alias("raw_idf"),
         F.lit(index.n_docs).alias("n_docs"),
         F.round(F.lit(index.avg_len), 6).alias("avg_len"),
     )
@@ -59,7 +64,7 @@ def ret2(spark, d):
 SELECT qid, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 20""")
 def ret3(spark, d):
     index = R.build_bm25(_docs(spark, d))
-    return R.bm25_topk(_asked(spark, d), index, 20).withColumn("score", F.round("score", 6))
+    return R.bm25_topk(asked_texts(spark, d), index, 20).withColumn("score", F.round("score", 6))
 
 
 @query("ret4_cosine", """
@@ -83,7 +88,7 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def _query_vectors(spark, d):
+def query_vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
     return e.join(table(spark, d, "benchmark").select(F.col("item_id").alias("qid")), "qid", "left_semi")
 
@@ -91,7 +96,7 @@ def _query_vectors(spark, d):
 @query("ret5_semantic_topk", f"""WITH {_COS}
 SELECT qid, id, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM sem WHERE rank <= 20""")
 def ret5(spark, d):
-    return R.semantic_topk(_query_vectors(spark, d), _vectors(spark, d), 20).withColumn("score", F.round("score", 6))
+    return R.semantic_topk(query_vectors(spark, d), _vectors(spark, d), 20).withColumn("score", F.round("score", 6))
 
 
 @query("ret6_rrf", f"""WITH {_BM25}, {_COS},
@@ -101,8 +106,8 @@ SELECT qid, id, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 20""")
 def ret6(spark, d):
     index = R.build_bm25(_docs(spark, d))
-    keyword = R.bm25_topk(_asked(spark, d), index, 40)
-    vector = R.semantic_topk(_query_vectors(spark, d), _vectors(spark, d), 40)
+    keyword = R.bm25_topk(asked_texts(spark, d), index, 40)
+    vector = R.semantic_topk(query_vectors(spark, d), _vectors(spark, d), 40)
     return R.rrf([keyword, vector], 20).withColumn("score", F.round("score", 6))
 
 
@@ -167,7 +172,7 @@ def ret9_totals(spark, d):
     return R.grep_totals(_docs(spark, d), _GREP)
 
 
-@query("ret14_hit_scope", f"""WITH c AS (SELECT conv_id, turn, {sql_tokens('text')} AS t FROM conversations),
+_SCOPED = f"""c AS (SELECT conv_id, turn, {sql_tokens('text')} AS t FROM conversations),
 q AS (SELECT conv_id, turn AS upto, t FROM (SELECT c.conv_id, c.turn, c.t FROM c JOIN conversations x USING (conv_id, turn) WHERE x.role = 'user')),
 vis AS (SELECT q.conv_id, q.upto, c.turn, c.t, len(c.t) AS dl FROM q JOIN c ON c.conv_id = q.conv_id AND c.turn <= q.upto WHERE len(c.t) > 0),
 st AS (SELECT conv_id, upto, count(*) AS n, avg(dl) AS avgdl FROM vis GROUP BY ALL),
@@ -182,12 +187,48 @@ hit AS (SELECT conv_id, upto, turn, round(sum(qtf * (CASE WHEN raw < 0 THEN 0.25
         GROUP BY ALL),
 every AS (SELECT vis.conv_id, vis.upto, vis.turn, coalesce(hit.score, 0.0) AS score
           FROM vis SEMI JOIN qt ON qt.conv_id = vis.conv_id AND qt.upto = vis.upto
-          LEFT JOIN hit ON hit.conv_id = vis.conv_id AND hit.upto = vis.upto AND hit.turn = vis.turn)
-SELECT conv_id || '_' || upto AS qid, conv_id AS task_id, turn AS position, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, upto ORDER BY score DESC, turn) AS rank FROM every) WHERE rank <= 3""")
+          LEFT JOIN hit ON hit.conv_id = vis.conv_id AND hit.upto = vis.upto AND hit.turn = vis.turn),
+near AS (SELECT conv_id, upto, turn, score, row_number() OVER (PARTITION BY conv_id, upto ORDER BY score DESC, turn) AS rank FROM every)"""
+
+
+@query("ret14_hit_scope", f"""WITH {_SCOPED}
+SELECT conv_id || '_' || upto AS qid, conv_id AS task_id, turn AS position, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM near WHERE rank <= 3""")
 def ret14(spark, d):
-    c = table(spark, d, "conversations").select(
-        F.col("conv_id").alias("task_id"), F.col("turn").alias("position"), "role", "text"
-    )
-    q = c.where("role = 'user'").withColumn("qid", F.concat_ws("_", "task_id", "position"))
-    return R.bm25_scoped_topk(q, c, 3).withColumn("score", F.round("score", 6))
+    chunks, questions = _turns(spark, d)
+    return R.bm25_scoped_topk(questions, chunks, 3).withColumn("score", F.round("score", 6))
+
+
+def _turns(spark, d):
+    """Turns as chunks and user turns as questions; a turn's vector is one of the given ones, dealt by its number."""
+    turns = table(spark, d, "conversations")
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    number = F.pmod(F.col("conv_id") * 8 + F.col("turn"), vectors.select(F.count(F.lit(1))).scalar())
+    chunks = turns.withColumn("vec_id", number).join(vectors, "vec_id").select(
+        F.col("conv_id").alias("task_id"), F.col("turn").alias("position"), "role", "text", "embedding")
+    return chunks, chunks.where("role = 'user'").withColumn("qid", F.concat_ws("_", "task_id", "position"))
+
+
+_SCOPED_COS = """vec AS (SELECT conv_id, turn, role, CAST(embedding AS DOUBLE[]) AS e FROM conversations
+  JOIN embeddings ON vec_id = (conv_id * 8 + turn) % (SELECT count(*) FROM embeddings)),
+cos AS (SELECT a.conv_id, a.turn AS upto, b.turn, round(list_cosine_similarity(a.e, b.e), 9) AS score
+  FROM vec a JOIN vec b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.role = 'user'),
+sem AS (SELECT *, row_number() OVER (PARTITION BY conv_id, upto ORDER BY score DESC, turn) AS rank FROM cos)"""
+
+
+@query("ret14_semantic", f"""WITH {_SCOPED_COS}
+SELECT conv_id || '_' || upto AS qid, conv_id AS task_id, turn AS position, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM sem WHERE rank <= 3""")
+def ret14_semantic(spark, d):
+    chunks, questions = _turns(spark, d)
+    return semantic_scoped_topk(questions, chunks, 3).withColumn("score", F.round("score", 6))
+
+
+@query("ret14_rrf", f"""WITH {_SCOPED}, {_SCOPED_COS},
+lists AS (SELECT conv_id, upto, turn, rank FROM near WHERE rank <= 6 UNION ALL SELECT conv_id, upto, turn, rank FROM sem WHERE rank <= 6),
+fused AS (SELECT conv_id, upto, turn, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY conv_id, upto, turn)
+SELECT conv_id || '_' || upto AS qid, turn AS position, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, upto ORDER BY score DESC, turn) AS rank FROM fused) WHERE rank <= 3""")
+def ret14_rrf(spark, d):
+    chunks, questions = _turns(spark, d)
+    lists = [R.bm25_scoped_topk(questions, chunks, 6), semantic_scoped_topk(questions, chunks, 6)]
+    fused = R.rrf([x.withColumnRenamed("position", "id") for x in lists], 3)
+    return fused.withColumnRenamed("id", "position").withColumn("score", F.round("score", 6))

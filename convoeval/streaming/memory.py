@@ -3,7 +3,8 @@
 Ids do not influence each other, so the state is keyed by (key, memory id): the
 latest ``seq`` seen. Edits are kept as facts, those that come after a later one
 are marked; the current items are a small aggregation over the facts by ``seq``,
-so they are the same whichever files come first.
+so they are the same whichever files come first. Segments of facts are merged in
+levels, without the facts that no later edit can bring back.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from convoeval.operators.memory import apply_operations, complete
 from convoeval.sources.writers import batch_writer
+from convoeval.streaming.segments import add_segment, read_segments
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField("last_seq", T.LongType())])
@@ -57,29 +60,53 @@ def edit_facts(edits: DataFrame) -> DataFrame:
     )
 
 
-def start_memory(edits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the facts of each micro-batch.
+def condensed(facts: DataFrame) -> DataFrame:
+    """The facts that can still matter, whatever edits of any ``seq`` may yet come.
 
-    The operator needs the RocksDB state store. A query keeps the setting it
-    starts with, so the session gets its own value back.
+    Per id: the last delete, the adds behind it and the last update. An add before a delete stays dead,
+    and where the last update does not count no earlier one does.
+    """
+    at, verb = ["key", "memory_id"], F.col("operation")
+    row = F.struct("operation", "seq", "content", "mentioned_at", "late")
+    last = facts.where(verb.isin("DELETE", "UPDATE")).groupBy(*at, "operation").agg(F.max_by(row, F.col("seq")).alias("r"))
+    cut = last.where(verb == "DELETE").select(*at, F.col("r.seq").alias("_cut"))
+    adds = facts.where(verb == "ADD").join(cut, at, "left").where(F.col("_cut").isNull() | (F.col("seq") > F.col("_cut")))
+    return adds.select(FACT_COLUMNS).unionByName(last.select(*at, "r.*").select(FACT_COLUMNS))
+
+
+def start_memory(edits: DataFrame, path: str, checkpoint: str, fan: int = 8) -> StreamingQuery:
+    """Writes the facts of each micro-batch as a segment; merged segments keep the facts that can still matter.
+
+    Late edits are listed besides below ``path/late``. The operator needs the RocksDB state store. A query
+    keeps the setting it starts with, so the session gets its own value back.
     """
     conf, name = edits.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(name)
+    late = batch_writer(f"{path}/late")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # the state is asked once, its answer written twice
+        late(batch.where("late").coalesce(1), number)
+        add_segment(
+            batch, number, path, lambda rows, place: rows.write.mode("overwrite").parquet(place),
+            lambda rows, place: condensed(rows).write.mode("overwrite").parquet(place), fan)
+        batch.unpersist()
+
     conf.set(name, ROCKSDB)
     try:
         return (
             edit_facts(edits).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(batch_writer(path)).start()
+            .trigger(availableNow=True).foreachBatch(each).start()
         )
     finally:
         conf.set(name, before)
 
 
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
-    """Living items: the replay of all facts, late ones at their place."""
-    return apply_operations(spark.read.parquet(path).withColumnRenamed("memory_id", "target_id"))
+    """Living items: the replay of the facts in the live segments, late ones at their place."""
+    return apply_operations(read_segments(spark, path).drop("segment").withColumnRenamed("memory_id", "target_id"))
 
 
 def late_edits(spark: SparkSession, path: str) -> DataFrame:
     """Edits that came in a later batch than a later one of the same id."""
-    return spark.read.parquet(path).where("late")
+    return spark.read.parquet(f"{path}/late").drop("batch")

@@ -101,9 +101,9 @@ def test_stream_index_counts_every_text_once(spark, tmp_path):
     rows = [(i, f"w{i % 3} w{i % 2} w{i % 2}") for i in range(20)]
     stream, _ = parts(spark, tmp_path / "in", rows, "id long, text string")
     SI.start_index(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    _, terms, stats = SI.read_index(spark, str(tmp_path / "out"))
-    assert stats.first()["n_docs"] == 20 and stats.first()["avg_len"] == 3.0
-    assert {r["term"]: r["df"] for r in terms.collect()}["w2"] == sum(1 for i in range(20) if i % 3 == 2)
+    index = SI.open_index(spark, str(tmp_path / "out"))
+    assert index.n_docs == 20 and index.avg_len == 3.0
+    assert {r["term"]: r["df"] for r in index.terms.collect()}["w2"] == sum(1 for i in range(20) if i % 3 == 2)
 
 
 def test_items_round_trip(spark):

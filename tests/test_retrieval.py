@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from convoeval.operators import retrieval as R
+from convoeval.operators.blockmax import stretch_bounds
 
 
 def okapi(docs, query, k1=1.5, b=0.75, eps=0.25):
@@ -37,13 +39,13 @@ def corpus(spark):
     return docs, queries, d, q
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_queries": 1}])
+@pytest.mark.parametrize("limits", [{}, {"stretch_docs": 2, "slice_docs": 10, "buckets": 3}])
 def test_bm25(corpus, limits):
     docs, queries, d, q = corpus
-    index = R.build_bm25(d)
+    index = R.build_bm25(d, **limits)
     assert index.n_docs == 60 and index.n_blank == 1
     got = {}
-    for r in R.bm25_topk(q, index, 8, **limits).collect():
+    for r in R.bm25_topk(q, index, 8).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"], r["score"]))
     for qid, query in enumerate(queries):
         scores = [round(s, 9) + 0.0 for s in okapi(docs, query)]
@@ -112,7 +114,7 @@ def test_query_blocks(spark):
     assert {(r["qid"], r["id"]) for r in one if r["rank"] == 1} == {(i, i) for i in range(5)}
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_queries": 1}])
+@pytest.mark.parametrize("limits", [{}, {"stretch_docs": 1}])
 def test_bm25_with_a_negative_mean_idf_and_string_ids(spark, limits):
     """Few documents that share most words: every way must rank documents without a hit above the others."""
     docs = [["a", "b", "c"], ["a", "b", "c"], ["a", "b", "d"], ["x"], ["a", "c", "b", "b"], ["a"], ["y"]]
@@ -120,17 +122,68 @@ def test_bm25_with_a_negative_mean_idf_and_string_ids(spark, limits):
     d = spark.createDataFrame([(n, " ".join(x)) for n, x in zip(names, docs)], "id string, text string").repartition(3)
     queries = [["a"], ["a", "b"], ["c", "q"], ["b", "x"]]
     q = spark.createDataFrame([(f"q{i}", " ".join(x)) for i, x in enumerate(queries)], "qid string, text string")
-    index = R.build_bm25(d)
+    index = R.build_bm25(d, **limits)
     got = {}
-    for r in R.bm25_topk(q, index, 3, **limits).collect():
+    for r in R.bm25_topk(q, index, 3).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
     for i, query in enumerate(queries):
         scores = [round(s, 9) + 0.0 for s in okapi(docs, query)]
         assert [n for _, n in sorted(got[f"q{i}"])] == [names[k] for k in sorted(range(len(docs)), key=lambda k: (-scores[k], k))[:3]]
 
 
-def test_planning_bm25_shuffles_no_text(spark, corpus):
-    _, _, d, q = corpus
-    index = R.build_bm25(d)
-    plan = R.bm25_topk(q, index, 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(qid" in plan
+def test_a_ranking_reads_only_the_files_of_its_terms(spark, corpus, tmp_path):
+    _, _, d, _ = corpus
+    index = R.build_bm25(d, str(tmp_path / "index"), buckets=16)
+    q = spark.createDataFrame([(0, "w1 w2 w1")], "qid long, text string")
+    met = {r[0] for r in spark.createDataFrame([("w1",), ("w2",)], "t string").select(R.bucket_of(F.col("t"), 16)).collect()}
+    blocks = index.blocks_of(sorted(met))
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ IN", plan)
+    read = {r[0].split("bucket=")[1].split("/")[0] for r in blocks.select(F.input_file_name()).distinct().collect()}
+    assert {int(x) for x in read} == met and index.postings.select("bucket").distinct().count() > 10
+    assert R.bm25_topk(q, R.open_bm25(spark, str(tmp_path / "index")), 3).count() == 3
+
+
+def skipping_corpus(spark, n):
+    """Documents of which few fit a query well, with one word in all of them."""
+    rng = random.Random(8)
+    docs = [["the", *(rng.choice([f"w{i}" for i in range(300)]) for _ in range(rng.randint(4, 30)))] for _ in range(n)]
+    for i in range(0, n, 97):
+        docs[i] += ["rare", "pair"]
+    return docs, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "id long, text string")
+
+
+def test_blocks_that_cannot_enter_are_skipped(spark):
+    docs, d = skipping_corpus(spark, 2_000)
+    index = R.build_bm25(d, stretch_docs=16)
+    q = spark.createDataFrame([(0, "the rare pair")], "qid long, text string")
+    idf = R.floored_idf(F.lit(index.n_docs), F.col("df"), F.lit(index.mean_idf), index.epsilon)
+    asked = R.query_terms(q, ["qid"]).join(index.terms, "term").select(
+        "qid", "term", (F.col("qtf") * idf).alias("weight"), F.lit(index.avg_len).alias("avg_len"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("upto"))
+    blocks = index.postings.where("bucket >= 0").drop("bucket")
+    scored, rest = R.reachable(asked, blocks, [], 5, 8, index.k1, index.b)
+    assert rest.count() < 40 and scored.count() < 600  # of about 128 stretches and 2 000 documents
+    scores = [round(s, 9) for s in okapi(docs, ["the", "rare", "pair"])]
+    want = sorted(range(2_000), key=lambda i: (-scores[i], i))[:5]
+    assert [r["id"] for r in R.bm25_topk(q, index, 5).orderBy("rank").collect()] == want
+
+
+def scoped_rows(spark, n, size):
+    """Rows that the ranking of ten questions at the end of one task meets: heads, histogram, postings."""
+    docs, _ = skipping_corpus(spark, n)
+    chunks = spark.createDataFrame([(0, i, " ".join(x)) for i, x in enumerate(docs)], "task_id int, position long, text string")
+    asked = spark.createDataFrame([(str(i), 0, n - 1 - i, "the rare pair") for i in range(10)], "qid string, task_id int, position long, text string")
+    index = R.build_scoped(chunks, size)
+    _, weights = R.scoped_weights(asked, index, 1.5, 0.75, 0.25)
+    scored, _ = R.reachable(weights, index.blocks, ["task_id"], 3, 4, 1.5, 0.75)
+    at = weights.select(F.col("upto").alias("at"), F.floor(F.col("upto") / size).alias("block")).distinct()
+    heads = stretch_bounds(weights, index.blocks.drop("docs"), ["task_id"], 1.5, 0.75).count()
+    partial = at.join(index.updates, "block").where("position <= at").count()
+    widest = index.blocks.where("term = 'the'").agg(F.max("n")).first()[0]
+    return heads + partial + scored.count(), widest
+
+
+def test_scoped_work_grows_slower_than_the_chunks(spark):
+    """Twice the chunks, the same questions; a stop word lies in many blocks."""
+    (few, wide), (more, wider) = scoped_rows(spark, 800, 16), scoped_rows(spark, 1_600, 16)
+    assert wide == wider == 16 and more < 1.6 * few and more < 10 * 1_600 / 2
