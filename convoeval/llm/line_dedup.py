@@ -159,9 +159,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: i
     common = stored(seen.select("key", "doc_id", "t").distinct().groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "common-lines")
     drops = seen.join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "t").agg(F.collect_set("i").alias("gone"))
+
+    @F.arrow_udf("array<boolean>")
+    def marks(gone: pa.Array) -> pa.Array:
+        """For each line up to the last one that goes whether it goes, so that a line is looked up in one step."""
+        out = []
+        for places in gone:
+            at = places.values.to_numpy()
+            out.append(np.zeros(at.max(initial=-1) + 1, bool))
+            out[-1][at] = True
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
+
+    drops = drops.withColumn("marks", marks("gone"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["doc_id"]) & (F.xxhash64(docs["text"]) == drops["t"]), "left")
     text, gone = F.coalesce(docs["text"], F.lit("")), drops["gone"]
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get(drops["marks"], i), F.lit(False))), "\n")
     return joined.select(
         *[docs[c] for c in docs.columns],
         (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +31,13 @@ CHUNK = 4096
 #: Runs that one merge takes at once; more are merged in several rounds.
 FAN_IN = 512
 
-#: Sources by sources of one block of pair sums, and blocks held before they leave.
-SIDE, HELD = 128, 256
+#: Terms that a merge adds up at once.
+WINDOW = 4096
 
-RUNS = "run long, shard int, lang string, first string, terms array<string>, docs array<long>, sizes array<int>, sources array<string>, counts array<long>"
+#: Sources up to which the pair sums of a language are one matrix; else blocks of SIDE by SIDE, HELD at a time.
+MATRIX, SIDE, HELD = 1024, 128, 256
+
+RUNS = "run long, shard int, lang string, first string, terms array<string>, docs array<long>, sizes array<int>, names array<string>, codes array<int>, counts array<long>"
 FREQUENCIES = "lang string, term string, source string, n long, total long, lead int"
 
 
@@ -73,39 +77,55 @@ class Block:
         docs.update(own)
         self.size += (len(counts) + len(docs) - before) * ENTRY
 
-    def chunks(self, shards: int) -> Iterator[tuple]:
-        """(shard, lang, [(term, documents, [(source, count)])]) with terms in order, in chunks."""
+    def chunks(self, run: int, shards: int) -> Iterator[pa.RecordBatch]:
+        """The block as a run: for each language its terms by shard, in order, cut into chunks."""
         for lang in sorted(self.docs):
-            postings = defaultdict(list)
-            for key in sorted(k for k in self.counts if k[0] == lang):
-                for term, n in self.counts[key].items():
-                    postings[term].append((key[1], n))
-            start, held = zlib.crc32(lang.encode()), defaultdict(list)
-            sizes = Counter()
-            for term in sorted(postings):
-                shard = zlib.crc32(term, start) % shards
-                held[shard].append((term, self.docs[lang][term], postings[term]))
-                sizes[shard] += len(postings[term])
-                if sizes[shard] >= CHUNK:
-                    yield shard, lang, held.pop(shard)
-                    sizes[shard] = 0
-            for shard, entries in held.items():
-                yield shard, lang, entries
-
-
-def as_batch(run: int, chunks: list[tuple]) -> pa.RecordBatch:
-    """One row a chunk."""
-    rows = [{
-        "run": run, "shard": shard, "lang": lang, "first": text(entries[0][0]), "terms": [text(t) for t, _, _ in entries], "docs": [d for _, d, _ in entries],
-        "sizes": [len(p) for _, _, p in entries], "sources": [s for _, _, p in entries for s, _ in p], "counts": [n for _, _, p in entries for _, n in p],
-    } for shard, lang, entries in chunks]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([(name, pa.list_(kinds[kind[6:-1]]) if kind.startswith("array") else kinds[kind]) for name, kind in (x.split(" ") for x in RUNS.split(", "))])
-    return pa.RecordBatch.from_pylist(rows, schema)
-
-
-def text(term: bytes | str) -> str:
-    return term if isinstance(term, str) else term.decode()
+            own = self.docs[lang]
+            terms = sorted(own)
+            if not terms:
+                continue
+            place = dict(zip(terms, range(len(terms)), strict=True))
+            names = sorted(source for other, source in self.counts if other == lang)
+            held = [self.counts[lang, name] for name in names]
+            at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in held])
+            codes = np.repeat(np.arange(len(names), dtype=np.int32), [len(c) for c in held])
+            counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in held])
+            start = zlib.crc32(lang.encode())
+            shard = np.fromiter((zlib.crc32(t, start) for t in terms), np.int64, len(terms)) % shards
+            order = np.argsort(shard, kind="stable")  # by shard, then by term
+            rank = np.empty(len(terms), np.int64)
+            rank[order] = np.arange(len(terms))
+            by_term = np.argsort(rank[at], kind="stable")
+            yield from chunked(
+                run, lang, shard[order], [terms[i].decode() for i in order.tolist()], np.fromiter(map(own.__getitem__, terms), np.int64, len(terms))[order],
+                np.bincount(rank[at], minlength=len(terms)), names, codes[by_term], counts[by_term])
+
+
+def chunked(run, lang, shard, terms, docs, sizes, names, codes, counts) -> Iterator[pa.RecordBatch]:
+    """Rows of ``RUNS`` of terms in order of (shard, term); a chunk has one shard and about ``CHUNK`` postings."""
+    ends = np.cumsum(sizes)
+    part = (ends - sizes) // CHUNK
+    cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(terms)]
+    rows: dict[str, list] = {name: [] for name in ("shard", "first", "terms", "docs", "sizes", "names", "codes", "counts")}
+    begins = np.concatenate([[0], ends])
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        lo, hi = begins[a], begins[b]
+        used, code = np.unique(codes[lo:hi], return_inverse=True)
+        row = (int(shard[a]), terms[a], terms[a:b], docs[a:b], sizes[a:b], [names[i] for i in used.tolist()], code, counts[lo:hi])
+        for name, value in zip(rows, row, strict=True):
+            rows[name].append(value)
+    n = len(rows["shard"])
+    for at in range(0, n, 256):
+        r = {name: values[at : at + 256] for name, values in rows.items()}
+        m = len(r["shard"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([run] * m, pa.int64()), pa.array(r["shard"], pa.int32()), pa.array([lang] * m), pa.array(r["first"]), pa.array(r["terms"], pa.list_(pa.string())),
+             numbers(r["docs"], np.int64), numbers(r["sizes"], np.int32), pa.array(r["names"], pa.list_(pa.string())), numbers(r["codes"], np.int32), numbers(r["counts"], np.int64)],
+            [x.split(" ")[0] for x in RUNS.split(", ")])
+
+
+def numbers(parts: list[np.ndarray], kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(kind)))
 
 
 def runs_of(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
@@ -116,70 +136,85 @@ def runs_of(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
 
         run, block = TaskContext.get().partitionId() << 32, Block()
 
-        def spill():
-            held = []
-            for chunk in block.chunks(shards):
-                held.append(chunk)
-                if len(held) >= 256:
-                    yield as_batch(run, held)
-                    held = []
-            if held:
-                yield as_batch(run, held)
-
         for batch in slices(batches, "text"):
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
             for lang, source, value in zip(langs, sources, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 block.add(lang, source, value)
                 if block.size >= block_bytes:
-                    yield from spill()
+                    yield from block.chunks(run, shards)
                     run, block = run + 1, Block()
-        yield from spill()
+        yield from block.chunks(run, shards)
 
     return docs.mapInArrow(index, RUNS)
 
 
+class Chunk:
+    """One row of ``RUNS``, its source names as numbers of the task."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, known: dict[str, int]):
+        def column(name):
+            return batch.column(name)[i].values
+
+        self.terms = column("terms").to_pylist()
+        self.docs = column("docs").to_numpy()
+        self.ends = np.cumsum(column("sizes").to_numpy()).tolist()
+        numbers = np.array([known.setdefault(name, len(known)) for name in column("names").to_pylist()], np.int64)
+        self.codes, self.counts = numbers[column("codes").to_numpy()], column("counts").to_numpy()
+
+
 def merged(batches) -> Iterator[tuple]:
-    """(lang, term, documents, {source: count}) of chunks that arrive in the order of (lang, first).
+    """(lang, terms, docs, sizes, names, codes, counts) of ``WINDOW`` terms at a time, added up over all runs.
 
-    A chunk is opened when its first term is reached, so the heap holds one place for each run that
-    overlaps the present term.
+    Chunks arrive in the order of (lang, first). A chunk is opened when its first term is reached, so the
+    heap holds one place for each run that overlaps the present term; the postings of the popped places
+    are added up as arrays.
     """
-    heap, number, key, docs, counts = [], 0, None, 0, Counter()
+    known: dict[str, int] = {}
+    heap: list[tuple] = []
+    lang, terms, places, docs, codes, counts = None, [], [], [], [], []
+
+    def added():
+        place = np.repeat(np.array(places), [len(c) for c in codes])
+        key = place * len(known) + np.concatenate(codes)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        in_docs = np.zeros(len(terms), np.int64)
+        np.add.at(in_docs, places, docs)
+        place, code = np.divmod(key[first], len(known))
+        return lang, list(terms), in_docs, np.bincount(place, minlength=len(terms)), list(known), code, np.add.reduceat(np.concatenate(counts)[order], first)
 
     def drain(limit):
-        nonlocal key, docs, counts
+        nonlocal lang
         while heap and (limit is None or heap[0][:2] < limit):
-            lang, term, _, rest, own, postings = heap[0]
-            if key != (lang, term):
-                if key:
-                    yield *key, docs, counts
-                key, docs, counts = (lang, term), 0, Counter()
-            docs += own
-            for source, n in postings:
-                counts[source] += n
-            following = next(rest, None)
-            if following:
-                heapq.heapreplace(heap, (lang, following[0], heap[0][2], rest, *following[1:]))
+            now, term, number, i, chunk = heap[0]
+            if now != lang or not terms or term != terms[-1]:
+                if terms and (now != lang or len(terms) >= WINDOW):
+                    yield added()
+                    for x in (terms, places, docs, codes, counts):
+                        x.clear()
+                lang = now
+                terms.append(term)
+            a, b = chunk.ends[i - 1] if i else 0, chunk.ends[i]
+            places.append(len(terms) - 1)
+            docs.append(chunk.docs[i])
+            codes.append(chunk.codes[a:b])
+            counts.append(chunk.counts[a:b])
+            if i + 1 < len(chunk.terms):
+                heapq.heapreplace(heap, (now, chunk.terms[i + 1], number, i + 1, chunk))
             else:
                 heapq.heappop(heap)
 
-    def entries(terms, own, sizes, sources, amounts):
-        at = 0
-        for term, d, size in zip(terms, own, sizes, strict=True):
-            yield term, d, list(zip(sources[at : at + size], amounts[at : at + size], strict=True))
-            at += size
-
-    for batch in slices(batches, "sources"):
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in ("lang", "first", "terms", "docs", "sizes", "sources", "counts")}
-            yield from drain((row["lang"], row["first"]))
-            rest = entries(row["terms"], row["docs"], row["sizes"], row["sources"], row["counts"])
-            term, own, postings = next(rest)
-            heapq.heappush(heap, (row["lang"], term, number, rest, own, postings))
+    number = 0
+    for batch in slices(batches, "codes"):
+        heads = zip(batch.column("lang").to_pylist(), batch.column("first").to_pylist(), strict=True)
+        for i, (own, first) in enumerate(heads):
+            yield from drain((own, first))
+            heapq.heappush(heap, (own, first, number, 0, Chunk(batch, i, known)))
             number += 1
     yield from drain(None)
-    if key:
-        yield *key, docs, counts
+    if terms:
+        yield added()
 
 
 def merge_rounds(runs: DataFrame, fan_in: int) -> DataFrame:
@@ -187,22 +222,10 @@ def merge_rounds(runs: DataFrame, fan_in: int) -> DataFrame:
     while (n := runs.select("run").distinct().count()) > fan_in:
         groups = -(-n // fan_in)
 
-        def longer(batches):
-            now, held, size = None, [], 0
-            for lang, term, docs, counts in merged(batches):
-                if held and (lang != now or size >= CHUNK):
-                    yield now, held
-                    held, size = [], 0
-                now = lang
-                held.append((term, docs, sorted(counts.items())))
-                size += len(counts)
-            if held:
-                yield now, held
-
         def step(batches):
             for (shard, group), part in by_head(batches, ("shard", "run")):
-                for lang, entries in longer(part):
-                    yield as_batch(group, [(shard, lang, entries)])
+                for lang, terms, *rest in merged(part):
+                    yield from chunked(group, lang, np.full(len(terms), shard), terms, *rest)
 
         grouped = runs.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(groups)))
         n_parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -248,24 +271,19 @@ def frequencies(docs: DataFrame, min_docs: int, block_bytes: int, fan_in: int =
     runs = merge_rounds(stored(runs_of(docs, shards, block_bytes), "audit-runs"), fan_in)
 
     def keep(batches):
-        rows: list = []
-
-        def out():
-            lang, term, source, n, total, lead = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang), pa.array(term), pa.array(source), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(lead, pa.int32())],
+        for lang, terms, in_docs, sizes, names, codes, counts in merged(batches):
+            kept = np.flatnonzero(in_docs >= min_docs)
+            if not len(kept):
+                continue
+            place = np.repeat(np.arange(len(terms)), sizes)
+            starts = np.cumsum(sizes) - sizes
+            chosen = np.flatnonzero(in_docs[place] >= min_docs)
+            total = np.add.reduceat(counts, starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(chosen)), pa.array(terms).take(pa.array(place[chosen])), pa.array(names).take(pa.array(codes[chosen])), pa.array(counts[chosen]),
+                 pa.array(total[place[chosen]]), pa.array((chosen == starts[place[chosen]]).astype(np.int32))],
                 ["lang", "term", "source", "n", "total", "lead"])
 
-        for lang, term, in_docs, counts in merged(batches):
-            if in_docs >= min_docs:
-                total = sum(counts.values())
-                rows += [(lang, term, source, n, total, int(not i)) for i, (source, n) in enumerate(sorted(counts.items()))]
-            if len(rows) >= 20_000:
-                yield out()
-                rows = []
-        if rows:
-            yield out()
-
     dealt = runs.drop("run").repartition(shards, "shard").sortWithinPartitions("lang", "first")
     return stored(dealt.mapInArrow(keep, FREQUENCIES), "audit-frequencies")
 
@@ -281,54 +299,98 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def pair_corrections(batches):
+def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """floor((p - q)^2 / q) of all p with all q along the last axis."""
+    d = p[..., :, None] - q[..., None, :]
+    return d * d // q[..., None, :]
+
+
+def corrections(p: np.ndarray, z: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What pairs that both have a term add to what each of the two adds alone; z and y are the shares of a term they lack."""
+    return gaps(p, q) - gaps(p, y) - gaps(z, q) + gaps(z, y)
+
+
+class PairSums:
+    """Sums (lang, i, j) over terms, as one matrix a language or in blocks that leave when too many are held."""
+
+    def __init__(self):
+        self.whole: dict = {}
+        self.blocks: dict = {}
+
+    def add(self, lang: str, sources: int, i: np.ndarray, p: np.ndarray, z: np.ndarray) -> None:
+        """Terms by rows, the sources that have them by columns: their numbers, shares and shares of a term they lack."""
+        # a sum over all terms fits a long, and so do differences of such sums
+        if sources <= MATRIX:
+            sums = self.whole.setdefault(lang, np.zeros((sources, sources), np.int64))
+            step = max(1, 500_000 // i.shape[1] ** 2)
+            for at in range(0, len(i), step):
+                part, found = i[at : at + step], corrections(*(x[at : at + step] for x in (p, z, p, z)))
+                if i.shape[1] == sources:  # each term has every source, in order
+                    sums += found.sum(axis=0)
+                else:
+                    np.add.at(sums, (part[:, :, None], part[:, None, :]), found)
+            return
+        for own, share, zero in zip(i, p, z, strict=True):
+            cuts = [0, *(np.flatnonzero(np.diff(own // SIDE)) + 1).tolist(), len(own)]
+            parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for a in parts:
+                for b in parts:
+                    block = self.blocks.setdefault((lang, int(own[a][0] // SIDE), int(own[b][0] // SIDE)), np.zeros((SIDE, SIDE), np.int64))
+                    block[np.ix_(own[a] % SIDE, own[b] % SIDE)] += corrections(share[a], zero[a], share[b], zero[b])
+
+    def out(self, all_of_them: bool) -> Iterator[pa.RecordBatch]:
+        if all_of_them or len(self.blocks) >= HELD:
+            for (lang, a, b), block in self.blocks.items():
+                yield from self._rows(lang, block, a * SIDE, b * SIDE)
+            self.blocks.clear()
+        if all_of_them:
+            for lang, sums in self.whole.items():
+                yield from self._rows(lang, sums, 0, 0)
+
+    @staticmethod
+    def _rows(lang: str, sums: np.ndarray, a: int, b: int) -> Iterator[pa.RecordBatch]:
+        x, y = np.nonzero(sums)
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array(x + a), pa.array(y + b), pa.array(sums[x, y])], ["lang", "i", "j", "value"])
+
+
+def pair_corrections(batches) -> Iterator[pa.RecordBatch]:
     """Partial sums (lang, i, j, value) over the terms that the sources i and j of a language both have.
 
-    Rows come in the order of (lang, term) with the source's number i, its share p of the term and its
-    share z of a term it lacks. Sums lie in blocks of sources by sources; when too many blocks are held they leave.
+    Rows come in the order of (lang, term, i) with the language's number of sources, the source's number
+    i, its share p of the term and its share z of a term it lacks. A term may go on in the next batch.
     """
-    sums: dict = {}
-    head, numbers, shares, zeros = None, [], [], []
-
-    def gaps(p, q):
-        d = p[:, None] - q[None, :]
-        return d * d // q[None, :]
-
-    def add():
-        i, p, z = np.array(numbers), np.array(shares), np.array(zeros)
-        order = np.argsort(i)
-        i, p, z = i[order], p[order], z[order]
-        cuts = [0, *(np.flatnonzero(np.diff(i // SIDE)) + 1), len(i)]
-        parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-        for a in parts:
-            for b in parts:
-                block = sums.setdefault((head[0], int(i[a][0] // SIDE), int(i[b][0] // SIDE)), np.zeros((SIDE, SIDE), np.int64))
-                # a sum of all terms fits a long, and so do differences of such sums
-                block[np.ix_(i[a] % SIDE, i[b] % SIDE)] += gaps(p[a], p[b]) - gaps(p[a], z[b]) - gaps(z[a], p[b]) + gaps(z[a], z[b])
-
-    def out():
-        for (lang, a, b), block in sums.items():
-            x, y = np.nonzero(block)
-            if len(x):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(x)), pa.array(x + a * SIDE, pa.int64()), pa.array(y + b * SIDE, pa.int64()), pa.array(block[x, y])], ["lang", "i", "j", "value"])
-        sums.clear()
+    sums, held = PairSums(), None
+    names = ("lang", "term", "sources", "i", "p", "z")
+
+    def take(table: pa.Table) -> None:
+        lang, term = (table.column(c).combine_chunks().dictionary_encode() for c in names[:2])
+        words = lang.dictionary.to_pylist()
+        lang, term = (x.indices.to_numpy() for x in (lang, term))
+        sources, i, p, z = (table.column(c).to_numpy() for c in names[2:])
+        starts = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))))
+        sizes = np.diff(np.append(starts, len(term)))
+        kind = lang[starts].astype(np.int64) << 32 | sizes  # terms of one language with as many sources
+        for k in np.unique(kind).tolist():
+            at = starts[kind == k][:, None] + np.arange(k & 0xFFFFFFFF)
+            sums.add(words[k >> 32], int(sources[at[0, 0]]), i[at], p[at], z[at])
 
     for batch in batches:
-        lang, term = batch.column("lang").to_pylist(), batch.column("term").to_pylist()
-        for k, i, p, z in zip(zip(lang, term, strict=True), *(batch.column(c).to_pylist() for c in ("i", "p", "z")), strict=True):
-            if k != head:
-                if head:
-                    add()
-                    if len(sums) >= HELD:
-                        yield from out()
-                head, numbers, shares, zeros = k, [], [], []
-            numbers.append(i)
-            shares.append(p)
-            zeros.append(z)
-    if head:
-        add()
-    yield from out()
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch.select(names)])
+        table = table if held is None else pa.concat_tables([held, table])
+        lang, term = table.column("lang"), table.column("term")
+        last = table.num_rows
+        same = pc.and_(pc.equal(lang, lang[-1]), pc.equal(term, term[-1])).to_numpy()
+        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if last:
+            take(table.slice(0, last))
+            yield from sums.out(False)
+        held = table.slice(last)
+    if held is not None:
+        take(held)
+    yield from sums.out(True)
 
 
 def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, block_bytes: int = 1 << 26) -> DataFrame:
@@ -353,10 +415,11 @@ def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, block_bytes:
     groups = stored(
         rows.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left")
         .na.fill(0, ["own_n", "all_n", "terms"])
+        .withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy("lang")))
         .withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
         .withColumn("z", F.when(F.col("terms") > 0, share(F.lit(0), F.col("own_n"), F.col("terms")))), "audit-groups")
     marked = stored(found.join(groups, ["lang", "source"]).select(
-        "lang", "term", "source", "i", "z", share(F.col("n"), F.col("own_n"), F.col("terms")).alias("p"),
+        "lang", "term", "source", "sources", "i", "z", share(F.col("n"), F.col("own_n"), F.col("terms")).alias("p"),
         share(F.col("total"), F.col("all_n"), F.col("terms")).alias("q")), "audit-shares")
 
     def exact(c: Column) -> Column:
@@ -373,7 +436,7 @@ def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, block_bytes:
         F.sum(exact(F.col("n") * (gap(F.col("p"), F.col("y")) - gap(F.col("z"), F.col("y"))))).alias("left"),
         F.sum(exact(F.col("n") * (gap(F.col("y"), F.col("p")) - gap(F.col("y"), F.col("z"))))).alias("right"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = marked.select("lang", "term", "i", "p", "z").repartition(shards, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(
+    both = marked.select("lang", "term", "sources", "i", "p", "z").repartition(shards, "lang", "term").sortWithinPartitions("lang", "term", "i").mapInArrow(
         pair_corrections, "lang string, i long, j long, value long").where("i <> j")
     summed = base.unionAll(sided.select("lang", "i", "j", F.col("left").cast("decimal(38,0)"))).unionAll(
         sided.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.col("right").cast("decimal(38,0)"))).unionAll(

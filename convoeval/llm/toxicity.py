@@ -132,7 +132,7 @@ class Reader:
                 if not DISGUISED.search(text.encode()) and not spelled:
                     found = [text]
                 else:
-                    word = restore(text, self.lm) if not spelled else "".join(restore(text[i : i + 64], self.lm) for i in range(0, len(text), 64))
+                    word = restore(text, self.lm)
                     found = [word]
                     if spelled and self.words:
                         found += [w for w in self.words if len(w) > 3 and w in word]
@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int =
     lexicon = frozenset(r["stem"] for r in strong.collect())
 
     def features(batches):
-        reader = Reader(shared.value)
+        reader = Reader(shared.value, frozenset(k.strip() for k in lexicon))  # as in scoring
         for batch in slices(batches, "text"):
             counted = [reader.counts_of(t) for t in batch.column("text").to_pylist()]
             found = [levels_of(stems_of(c, lexicon), k) for c, k in counted]

@@ -39,6 +39,13 @@ def buckets_of(x: np.ndarray, table: int, bits: int) -> np.ndarray:
     return (x @ planes(x.shape[1], table, bits) >= 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows with a largest component near 1, by a power of two: exact, and no square over- or underflows."""
+    if not len(x):
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its component) of the graph of n nodes with edges a-b."""
     root = np.arange(n)
@@ -75,7 +82,7 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.9, miss: float =
             sizes = batch.column("v").value_lengths().to_numpy()
             for dim in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
-                x = part.column("v").flatten().to_numpy().reshape(-1, dim)
+                x = scaled(part.column("v").flatten().to_numpy().reshape(-1, dim))
                 for t in range(tables):
                     number = (np.int64(t) << 40) + buckets_of(x, t, bits)
                     yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(np.full(len(x), dim), pa.int32()), pa.array(number)], ["cls", "dim", "bucket"])
@@ -102,7 +109,7 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.9, miss: float =
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s < 2:
                     continue
-                x = values[offsets[s] : offsets[e]].reshape(e - s, -1)
+                x = scaled(values[offsets[s] : offsets[e]].reshape(e - s, -1))
                 norm = np.sqrt((x * x).sum(axis=1))
                 if i[s] == j[s]:
                     p = q = np.arange(e - s)

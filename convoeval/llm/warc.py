@@ -72,7 +72,7 @@ def _clean(value: object) -> str | None:
 
 def write_warc(
     pages: DataFrame, folder: str, min_revisit: int = 100, segment_bytes: int = 1 << 20, chunk_bytes: int = 1 << 15,
-    date: str = "2000-01-01T00:00:00Z", files: int | None = None,
+    date: str = "2000-01-01T00:00:00Z", files: int | None = None, file_bytes: int = 1 << 28,
 ) -> None:
     """Write ``pages(page_id, url, html)`` as WARC files into ``folder``.
 
@@ -80,7 +80,9 @@ def write_warc(
     one with the smallest page_id is the response, the others revisit it; rows that repeat that page_id
     too are responses of their own. Rows without page_id come last. Records of one row are written one
     after the other, each ending with two line ends, through Spark's own text writer, so a retried task
-    leaves one copy. Other columns are not read.
+    leaves one copy. A record holds at most ``segment_bytes`` of a payload's block, and a file so many
+    records that it stays below about ``file_bytes``. A response's record id has the row's number in it, so
+    segments of equal rows never meet. Other columns are not read.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -90,23 +92,25 @@ def write_warc(
     first = rows.where(F.col("length") >= min_revisit).groupBy("digest").agg(
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1").select(F.col("digest").alias("of"), "first_id")
-    rows = rows.join(first, F.col("digest") == F.col("of"), "left").withColumn(
+    # payloads too short for a revisit are dealt out by their page, not to one task by a common digest
+    own = F.when(F.col("length") >= min_revisit, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("own", own).join(first, F.col("own") == F.col("of"), "left").withColumn(
         "refers", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
     if files:
         rows = rows.repartition(files)
-    columns = ["page_id", "url", "payload", "digest", "length", "refers"]
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    columns = ["page_id", "url", "payload", "digest", "length", "refers", "row"]
 
     def records(batches):
         for batch in slices(batches, "payload"):
             out = []
-            for page, url, payload, digest, length, refers in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for page, url, payload, digest, length, refers, row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 known = [("WARC-Page-ID", page), ("WARC-Target-URI", _clean(url)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}")]
-                rid = record_id(f"page:{page}:{digest}")
+                rid = record_id(f"page:{page}:{digest}:{row}")
                 if refers is not None:
                     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
-                    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id(f'revisit:{page}:{digest}')}>"), *known,
-                              ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{record_id(f'page:{refers}:{digest}')}>"),
-                              ("WARC-Refers-To-Page-ID", refers), ("Content-Type", "application/http; msgtype=response")]
+                    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id(f'revisit:{page}:{digest}:{row}')}>"), *known,
+                              ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To-Page-ID", refers), ("Content-Type", "application/http; msgtype=response")]
                     out.append(_header(fields, head))
                     continue
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
@@ -118,13 +122,13 @@ def write_warc(
                         fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{rid}>"), *known, ("Content-Type", "application/http; msgtype=response"),
                                   ("WARC-Segment-Number", 1 if len(cuts) > 1 else None)]
                     else:
-                        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{record_id(f'page:{page}:{digest}:{n}')}>"), ("WARC-Date", date),
+                        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{record_id(f'page:{page}:{digest}:{row}:{n}')}>"), ("WARC-Date", date),
                                   ("WARC-Segment-Origin-ID", f"<{rid}>"), ("WARC-Segment-Number", n), *last]
                     out.append(_header(fields, part))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows.select(columns).mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.option(
-        "lineSep", END.decode()).option("compression", "gzip").text(folder)
+        "lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // (segment_bytes + 1024))).text(folder)
 
 
 def parse_records(data: bytes):

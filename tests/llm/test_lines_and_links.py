@@ -1,6 +1,7 @@
 """Line dedup, MinHash and vector near-dedup against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -78,6 +79,14 @@ def test_line_dedup_with_full_range_filters_and_whole_scan_filter(spark):
     assert got_lines(done) == brute_lines(rows)
 
 
+def test_a_text_of_many_shared_lines_takes_linear_time(spark):
+    text = "\n".join(f"shared line number {i} with more than forty signs" for i in range(200_000))
+    df = spark.createDataFrame([(1, "own line\n" + text), (2, text)], "doc_id long, text string")
+    start = time.monotonic()
+    got = got_lines(line_dedup.dedup_lines(df, min_docs=2))
+    assert got == [(1, 200_001, 200_000, "own line"), (2, 200_000, 0, text)] and time.monotonic() - start < 60
+
+
 def shingles(text, width=5):
     w = [x for x in "".join(" " if c in BLANK else c for c in lower(text or "")).split(" ") if x]
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
@@ -230,3 +239,26 @@ def test_tables_are_enough_for_the_miss():
     assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= 1e-3
 
 
+def test_very_large_and_small_components_keep_their_links(spark):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal(24)
+    rows = [(i, ((base + rng.standard_normal(24) * 0.01) * scale).tolist()) for i, scale in enumerate([1e200, 1e-200, 1.0, 1e200, 1e-200, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vector_dup.vector_duplicates(df).collect()) == [(i, 5, 0, i == 0) for i in range(6)]
+
+
+CLASHING = ["score", "n_lines", "n_dropped", "kept_text", "n_shingles", "component_id", "kept", "n_hit", "text_hash", "n_words", "own score"]
+
+
+def test_stages_leave_own_columns_alone(spark, odd, nothing):
+    """All but the last stage return what they keep with every column as it was; none crashes on odd or no rows."""
+    folder = "/root/testdata/sf0.001"
+    docs = odd.selectExpr("*", *[f"concat('own ', doc_id) as `{c}`" for c in CLASHING], "1L as n_chars")
+    for name, stage in stages.STAGES:
+        kept = stage(spark, docs, folder)
+        assert set(kept.columns) >= set(docs.columns) and stage(spark, docs.where("false"), folder).count() == 0, name
+        if name != "sentencepiece":
+            assert kept.columns == docs.columns
+        for r in kept.collect():
+            assert {r[c] for c in CLASHING} == {None if r.doc_id is None else f"own {r.doc_id}"}, name
+        docs = kept.select(docs.columns)

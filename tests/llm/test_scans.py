@@ -220,3 +220,21 @@ def test_chunked_framing():
 
     plain = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [b for _, b in warc.parse_records(gzip.compress(plain) + gzip.compress(plain))] == [b"abc", b"abc"]
+
+
+@pytest.mark.parametrize("size", [300, 40_000])
+def test_equal_rows_of_any_size_all_come_back(spark, size):
+    """Two rows with the same page_id and html are two responses, in segments or not; a third page revisits them."""
+    html = "".join(random.Random(1).choices("abcdefgh ", k=size))
+    df = spark.createDataFrame([(1, "u", html), (1, "u", html), (2, "v", html), (3, "w", "short")], "page_id long, url string, html string")
+    whole = warc.round_trip(df, segment_bytes=1 << 13, chunk_bytes=1 << 11)
+    got = sorted((r.page_id, r.record_type, r.payload_length, r.complete) for r in whole.collect())
+    assert got == [(1, "response", size, True), (1, "response", size, True), (2, "revisit", size, True), (3, "response", 5, True)]
+
+
+def test_files_hold_a_bounded_number_of_records(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "x" * 500) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"), min_revisit=10**6, segment_bytes=1 << 10, file_bytes=1 << 14)
+    files = list((tmp_path / "w").glob("*.gz"))
+    assert len(files) == 5 and warc.reassemble(warc.read_records(spark, str(tmp_path / "w"))).count() == 40
+

@@ -151,6 +151,17 @@ def test_long_disguises_are_read():
     assert len(toxicity.restore("ab1c" * 20_000, reader.lm)) == 80_000
 
 
+def test_a_word_anywhere_in_a_spelled_run_is_read():
+    codes = list(("so the idiot said " * 20).encode().translate(toxicity.TO_CLASS))
+    counts = np.full((28, 28, 28), 0.1)
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        counts[a, b, c] += 1
+    reader = toxicity.Reader(np.log(counts / counts.sum(axis=2, keepdims=True)), frozenset(["idiot"]))
+    for start in range(56, 72):
+        run = " ".join("said" * 40)[: 2 * start] + "1 d 1 0 t " + " ".join("said" * 3)
+        assert "idiot" in reader.counts_of(run)[0], start
+
+
 def test_rare_toxic_word_has_weight(spark):
     """A word in 1.5 % of the toxic texts and in no other."""
     rng = random.Random(5)
