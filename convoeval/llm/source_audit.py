@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from convoeval.llm.common import slices, stored
 
 #: Estimated bytes of a dictionary entry with its term.
-ENTRY = 160
+ENTRY = 200
 
 #: Postings of one chunk of a run; what a merge holds of each run is one chunk.
 CHUNK = 4096
@@ -267,7 +267,8 @@ def frequencies(docs: DataFrame, min_docs: int, block_bytes: int, fan_in: int =
 
     ``total`` is the term's count in the language; ``lead`` is 1 in one row of each term, else 0.
     """
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # small shards: a task's chunks come in few Arrow batches, which it holds whole
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = merge_rounds(stored(runs_of(docs, shards, block_bytes), "audit-runs"), fan_in)
 
     def keep(batches):
@@ -393,7 +394,7 @@ def pair_corrections(batches) -> Iterator[pa.RecordBatch]:
     yield from sums.out(True)
 
 
-def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, block_bytes: int = 1 << 26) -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, block_bytes: int = 1 << 25) -> DataFrame:
     """(lang, source, part, item, value, rank) of ``docs(text, lang, source)``.
 
     Terms are runs of letters, ASCII ones lower-cased, and of signs beyond ASCII. A language keeps the V

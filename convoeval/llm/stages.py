@@ -11,7 +11,8 @@ from convoeval.llm.queries import PIECES, table
 
 def beside(docs: DataFrame, names: list[str], work) -> DataFrame:
     """``work`` over ``docs`` whose own columns named like those in ``names`` are set aside and come back as they were."""
-    aside = {c: f"own {c}" for c in docs.columns if c in names}
+    free = "own " * (1 + max(c.count("own ") for c in ["", *docs.columns]))
+    aside = {c: f"{free}{c}" for c in docs.columns if c in names}
     return work(docs.withColumnsRenamed(aside)).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
