@@ -101,9 +101,10 @@ phrase(label, words) AS (SELECT label, string_split(p, ' ') FROM (VALUES {_PHRAS
 place AS (SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE list_contains(w, 'license') OR list_contains(w, 'cc')), phrase
   WHERE list_slice(w, i, i + len(words) - 1) = words),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY doc_id),
-notice(id, label, words) AS (SELECT id, label, list_distinct(string_split(p, ' ')) FROM (VALUES {_LICENSE_VALUES}) v(id, label, p)),
-line AS (SELECT doc_id, list_distinct(regexp_split_to_array(l, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
-near AS (SELECT doc_id, label, len(list_intersect(tokens, words)) / len(words) AS share FROM line, notice WHERE len(list_intersect(tokens, words)) >= ceil(0.9 * len(words) - 1e-9)),
+notice(id, label, words, size) AS (SELECT id, label, list_distinct(string_split(p, ' ')), len(string_split(p, ' ')) FROM (VALUES {_LICENSE_VALUES}) v(id, label, p)),
+block AS (SELECT doc_id, label, words, list_slice(w, i * size + 1, (i + 2) * size) AS tokens FROM (
+  SELECT doc_id, label, words, size, w, unnest(generate_series(0, (len(w) - 1) // size)) AS i FROM w, notice WHERE len(list_intersect(w, words)) >= ceil(0.9 * len(words) - 1e-9))),
+near AS (SELECT doc_id, label, len(list_intersect(tokens, words)) / len(words) AS share FROM block WHERE len(list_intersect(tokens, words)) >= ceil(0.9 * len(words) - 1e-9)),
 lab AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM near) GROUP BY doc_id),
 blab AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY doc_id)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(blab.labels, '') AS base_labels,

@@ -26,10 +26,10 @@ from convoeval.llm.common import slices, stored
 ENTRY = 200
 
 #: Postings of one chunk of a run; what a merge holds of each run is one chunk.
-CHUNK = 4096
+CHUNK = 2048
 
 #: Runs that one merge takes at once; more are merged in several rounds.
-FAN_IN = 512
+FAN_IN = 2048
 
 #: Terms that a merge adds up at once.
 WINDOW = 4096

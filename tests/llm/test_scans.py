@@ -26,7 +26,8 @@ NOTICE_ROWS = [
     "Released under the MIT License.", "x MIT License mit license\nunder the mit\nlicense", "Licensed under the Apache License, Version 2.0.", "cc-by-nc CC BY NC",
     "This work is licensed under the GNU General Public License, version 3.", "licensed gnu general public", "Permission is hereby granted, free of charge, to any person "
     "obtaining a copy of this software and associated files", "ALL RIGHTS RESERVED", "all\nrights reserved", "", None, "under the mit license " * 3,
-    "by nc under cc licensed 4 0", "the of and to in license", "9mit license under the mit licensee under the mit license9",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated\n * documentation files (the", "all " + "word " * 500 + "rights " + "word " * 500 + "reserved",
+    "x " * 997 + "all rights\n\nreserved " + "y " * 40, "by nc under cc licensed 4 0", "the of and to in license", "9mit license under the mit licensee under the mit license9",
 ]
 
 
@@ -34,10 +35,10 @@ def brute_license(text):
     w = words(text)
     hits = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     best, more = 0.0, set()
-    for line in (text or "").split("\n"):
-        have = set(words(line))
-        for label, notice in licenses.NOTICES:
-            need = set(notice.split())
+    for label, notice in licenses.NOTICES:
+        need, size = set(notice.split()), len(notice.split())
+        for at in range(0, len(w), size):
+            have = set(w[at : at + 2 * size])
             share = len(have & need) / len(need)
             if share >= 0.9 - 1e-12:
                 more.add(label)
@@ -57,6 +58,13 @@ def test_licenses_against_plain_python(spark):
     assert got == {i: brute_license(t) for i, t in enumerate(texts)}
 
 
+def test_wrapped_notices_are_found_and_far_words_are_not(spark):
+    df = spark.createDataFrame(list(enumerate(NOTICE_ROWS)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()}
+    at = [i for i, t in enumerate(NOTICE_ROWS) if t and (t.startswith(("Permission", "all word", "x x")))]
+    assert [got[i][0] for i in at[1:]] == ["mit", "", "all-rights-reserved"]
+
+
 def test_licenses_odd_rows(odd, nothing):
     got = sorted((tuple(r) for r in licenses.scan_licenses(odd).collect()), key=repr)
     assert got == sorted(((r.doc_id, *brute_license(r.text)) for r in odd.collect()), key=repr)

@@ -78,6 +78,55 @@ def test_large_hosts_are_dealt_out(spark):
     assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(60)}
 
 
+def brute_main_text(rows):
+    """Partners by a plain look at the sorted pages of each host and folder."""
+    pages = []
+    for page_id, url, html in rows:
+        lines, keep, decided = html_text.kept_lines(html)
+        host, _, rest = url.split("://", 1)[1].partition("/")
+        pages.append([page_id, host.lower(), "/" + rest, [x[0] for x in lines], [] if decided else keep, keep])
+    folder = lambda p: p[2].rsplit("/", 1)[0]
+    sizes = {}
+    for p in pages:
+        sizes[p[1], folder(p)] = sizes.get((p[1], folder(p)), 0) + 1
+    group = lambda p: (p[1], "/" + folder(p) if sizes[p[1], folder(p)] > 1 else "")
+    opened = lambda p: [p[3][i] for i in p[4]]
+    out = {}
+    for p in pages:
+        own = sorted((q for q in pages if group(q) == group(p)), key=lambda q: (q[2].encode(), q[0]))
+        at = own.index(p)
+        near = [q for q in (next((q for q in own[:at][::-1] if opened(q) != opened(p)), None), next((q for q in own[at + 1 :] if opened(q) != opened(p)), None)) if q]
+        gone = set()
+        if near and p[4]:
+            partner = max(near, key=lambda q: html_text._alike(q[2], p[2]))[3]
+            codes = {x: i for i, x in enumerate({*p[3], *partner})}
+            gone = set(html_text.shared_lines([codes[x] for x in p[3]], [codes[x] for x in partner])) & set(p[4])
+        out[p[0]] = "\n".join(p[3][i] for i in p[5] if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("block,parts", [(1000, 4), (5, 4), (1, 40)])
+def test_main_text_against_a_brute_force_pairing(spark, block, parts):
+    """Hot folder, runs of copies over partition edges, articles between, large frames; partners never depend on the parts."""
+    rng = random.Random(2)
+    frame = [f"menu {i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        host, folder = rng.choice(["big", "big", "big", "small"]), rng.choice(["a", "a", "a", "b", f"own{i}"])
+        kind = rng.random()
+        lines = ["same", "copy", "all over"] if kind < 0.5 else [*frame[:20], f"story {i}", "more", *frame[20:]] if kind < 0.8 else ["same", f"text {i}", "copy"]
+        rows.append((i, f"http://{host}/{folder}/{rng.randrange(30):02d}{rng.choice(['', '?x=1', '#t'])}", ARTICLE if kind > 0.95 else page(*lines)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.page_id: r.text for r in html_text.main_text(df, block_pages=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute_main_text(rows)
+    assert any("menu" not in got[i] and "story" in got[i] for i in got)
+
+
 # pieces
 
 TEXTS = [
