@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,8 +81,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def _rouge_tokens(text: str, memo: dict[str, str]) -> list[str]:
+def _rouge_tokens(text: str, memo: dict[str, str], stemmed: bool = True) -> list[str]:
     found = re.findall(r"[a-z0-9]+", text.lower())
+    if not stemmed:
+        return found
     for t in found:
         if t not in memo:
             memo[t] = stem(t) if len(t) > 3 else t
@@ -101,26 +104,80 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def rouge_l_value(pred: str | None, gold: str | None, memo: dict[str, str] | None = None) -> float:
-    """ROUGE-L F on stemmed tokens; inputs are normalised answers."""
-    if not pred or not gold:
-        return 0.0
-    memo = {} if memo is None else memo
-    p, g = _rouge_tokens(pred, memo), _rouge_tokens(gold, memo)
-    if not p or not g:
-        return 0.0
-    n = _lcs(g, p)
-    return 2.0 * n / (len(p) + len(g)) if n else 0.0
+#: Items up to which the sequences of a pair are compared beside those of other pairs.
+BESIDE = 512
+
+
+def lcs_lengths(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """Longest common subsequences of pairs of sequences: all pairs go forward together, an item of ``right`` a step.
+
+    The bit rows of the pairs lie side by side in words of 64 bits; a sum carries from word to word. Pairs
+    with a longer side are compared one by one.
+    """
+    out = np.zeros(len(left), np.int64)
+    near = [k for k, (a, b) in enumerate(zip(left, right, strict=True)) if a and b and max(len(a), len(b)) <= BESIDE]
+    for k, (a, b) in enumerate(zip(left, right, strict=True)):
+        if a and b and max(len(a), len(b)) > BESIDE:
+            out[k] = _lcs(a, b)
+    near.sort(key=lambda k: (-len(right[k]), k))
+    for at in range(0, len(near), 2048):
+        part = near[at : at + 2048]
+        codes: dict[str, int] = {}
+        a = [np.array([codes.setdefault(t, len(codes)) for t in left[k]]) for k in part]
+        b = [np.array([codes.get(t, -1) for t in right[k]]) for k in part]
+        sizes, steps = np.array([*map(len, a)]), np.array([*map(len, b)])
+        width = -(-int(sizes.max()) // 64)
+        pair = np.repeat(np.arange(len(part)), sizes)
+        place = np.concatenate([np.arange(n) for n in sizes])
+        keys, row = np.unique(pair * (len(codes) + 1) + np.concatenate(a), return_inverse=True)
+        masks = np.zeros((len(keys) + 1, width), np.uint64)  # the last row: an item that the other side lacks
+        np.bitwise_or.at(masks, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        state = np.full((len(part), width), ~np.uint64(0))
+        asked = np.full((len(part), int(steps.max())), -1)
+        for i, x in enumerate(b):
+            asked[i, : len(x)] = np.where(x < 0, -1, i * (len(codes) + 1) + x)
+        found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        found = np.where((asked >= 0) & (keys[found] == asked), found, len(keys))
+        for j in range(int(steps.max())):
+            n = int(np.searchsorted(-steps, -j, side="left"))  # pairs that still have an item here come first
+            hit = state[:n] & masks[found[:n, j]]
+            carry = np.zeros(n, np.uint64)
+            for w in range(width):
+                own = state[:n, w].copy()
+                first = own + hit[:, w]
+                total = first + carry
+                carry = ((first < own) | (total < first)).astype(np.uint64)
+                state[:n, w] = total | (own & ~hit[:, w])
+        bits = np.arange(width * 64) < sizes[:, None]
+        free = np.unpackbits(state.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").astype(bool)
+        out[part] = (bits & ~free).sum(axis=1)
+    return out
+
+
+def rouge_l_values(pred: list[str | None], gold: list[str | None], stemmed: bool = True) -> np.ndarray:
+    """ROUGE-L F of pairs of normalised answers, on stemmed tokens or on tokens as they are."""
+    memo: dict[str, str] = {}  # stems of one batch
+    p, g = ([_rouge_tokens(t, memo, stemmed) if t else [] for t in side] for side in (pred, gold))
+    both = np.array([len(a) + len(b) for a, b in zip(p, g, strict=True)], float)
+    return np.divide(2.0 * lcs_lengths(g, p), both, out=np.zeros(len(p)), where=both > 0)
+
+
+def rouge_l_value(pred: str | None, gold: str | None) -> float:
+    return float(rouge_l_values([pred], [gold])[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def _rouge_l(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    memo: dict[str, str] = {}  # stems of one batch
-    return pd.Series([rouge_l_value(p, g, memo) for p, g in zip(pred, gold)], dtype="float64")
+    return pd.Series(rouge_l_values(pred.tolist(), gold.tolist()))
+
+
+@F.pandas_udf(T.DoubleType())
+def _rouge_l_plain(pred: pd.Series, gold: pd.Series) -> pd.Series:
+    return pd.Series(rouge_l_values(pred.tolist(), gold.tolist(), False))
 
 
-def rouge_l(response: Column, expected: Column) -> Column:
-    return _rouge_l(normalise_answer(response), normalise_answer(expected))
+def rouge_l(response: Column, expected: Column, stemmed: bool = True) -> Column:
+    return (_rouge_l if stemmed else _rouge_l_plain)(normalise_answer(response), normalise_answer(expected))
 
 
 def vector_f1_floor(score: Column) -> Column:
@@ -130,5 +187,5 @@ def vector_f1_floor(score: Column) -> Column:
 
 __all__ = [
     "METRICS", "common_tokens", "token_metrics", "exact_match", "sub_em",
-    "keyword_hit_rate", "cosine", "rouge_l", "rouge_l_value", "vector_f1_floor",
+    "keyword_hit_rate", "cosine", "lcs_lengths", "rouge_l", "rouge_l_value", "vector_f1_floor",
 ]

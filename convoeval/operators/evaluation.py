@@ -46,7 +46,7 @@ def keyword_scores(df: DataFrame, response: str = "response", expected: str = "e
     return low.withColumn("keyword_hit_rate", F.coalesce(rate, F.lit(MISSING))).drop("_low")
 
 
-def score_answers(df: DataFrame, task: str, rouge: bool = True) -> DataFrame:
+def score_answers(df: DataFrame, task: str, rouge: bool = True, stemmed: bool = True) -> DataFrame:
     """Adds every computed metric for ``response`` against ``expected``.
 
     Native columns come first, the one Arrow stage (ROUGE-L) sits on top of them.
@@ -56,7 +56,7 @@ def score_answers(df: DataFrame, task: str, rouge: bool = True) -> DataFrame:
     if task in KEYWORD_TASKS:
         out = keyword_scores(out)
     if rouge:
-        out = out.withColumn("rouge_score", S.rouge_l(F.col("response"), F.col("expected")))
+        out = out.withColumn("rouge_score", S.rouge_l(F.col("response"), F.col("expected"), stemmed))
     return out
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoeval.functions.text import money
+from convoeval.operators.patterns import mentioned
+from convoeval.session import cut_lineage
 
 
 def distribution(df: DataFrame, by: str) -> DataFrame:
@@ -51,44 +53,18 @@ def position_offenders(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     ).select("task_id", "w.qid", "w.position", "w.last_position")
 
 
-def _number_texts(text, sizes: list[int]):
-    """Every substring of the number runs of a text that has one of the ``sizes``."""
-
-    def pieces(run):
-        def at(i):
-            fit = F.filter(F.lit(sizes), lambda n: n <= F.length(run) - i + 1)
-            return F.transform(fit, lambda n: F.substring(run, i, n))
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(run)), at))
-
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[-0-9.]+"), F.lit(0)))
-    return F.array_distinct(F.flatten(F.transform(runs, pieces)))
-
-
 def unmentioned(tx: DataFrame, chunks: DataFrame) -> DataFrame:
     """Transactions whose scene and amount both occur nowhere in the talk of a task.
 
-    Containment becomes an equi join: an amount, written raw, with two decimals or
-    as a whole number, is a substring of some number run of the text, so the runs
-    are spread into their substrings of the lengths that amounts have (a number has few
-    digits, so there are few lengths) and matched by key. Scenes come from the task's own small set, tested in the row.
-    No chunk ever meets all transactions of its task.
+    The scenes, in small letters, and the amounts, written raw, with two decimals or as a whole number, are
+    patterns that an automaton per task looks for in one pass over the talk; what is found is taken off by
+    key. No chunk ever meets all transactions of its task.
     """
-    scenes = tx.groupBy("task_id").agg(F.collect_set(F.lower("scene")).alias("_scenes"))
-    said = chunks.select("task_id", F.lower("text").alias("_low")).join(scenes, "task_id")
-    heard = said.select(
-        "task_id",
-        F.explode(F.filter("_scenes", lambda s: F.contains(F.col("_low"), s))).alias("_scene"),
-    ).distinct()
     amount = F.col("amount")
-    forms = (amount.cast("long").cast("string"), money(amount), amount.cast("string"))
-    sizes = sorted(
-        r["n"] for r in tx.select(F.explode(F.array(*[F.length(f) for f in forms])).alias("n")).where("n > 0").distinct().collect()
-    )
-    numbers = chunks.select(
-        "task_id", F.explode(_number_texts(F.col("text"), sizes or [1])).alias("_number")
-    ).distinct()
-    left = tx.withColumn("_scene", F.lower("scene")).join(heard, ["task_id", "_scene"], "left_anti")
+    forms = [amount.cast("long").cast("string"), money(amount), amount.cast("string")]
+    heard = mentioned(tx.select("task_id", F.lower("scene").alias("pattern")), chunks.select("task_id", F.lower("text").alias("text")))
+    numbers = cut_lineage(mentioned(tx.select("task_id", F.explode(F.array(*forms)).alias("pattern")), chunks.select("task_id", "text")))
+    left = tx.withColumn("_p", F.lower("scene")).join(heard.withColumnRenamed("pattern", "_p"), ["task_id", "_p"], "left_anti")
     for form in forms:
-        left = left.withColumn("_number", form).join(numbers, ["task_id", "_number"], "left_anti")
-    return left.drop("_scene", "_number")
+        left = left.withColumn("_p", form).join(numbers.withColumnRenamed("pattern", "_p"), ["task_id", "_p"], "left_anti")
+    return left.drop("_p")

@@ -45,7 +45,7 @@ def ans3(spark, d):
 
 
 @query("ans4_parse_batch_answers", """SELECT event_id, 0 AS i, event_type AS answer FROM events
-UNION ALL SELECT event_id, 1, user_id || ', k' FROM events WHERE event_type <> 'view'
+UNION ALL SELECT event_id, 1, CASE WHEN event_type <> 'view' THEN user_id || ', k' END FROM events
 UNION ALL SELECT event_id, 2, CAST(user_id AS VARCHAR) FROM events""")
 def ans4(spark, d):
     raw = F.concat(
@@ -54,7 +54,7 @@ def ans4(spark, d):
         F.col("user_id").cast("string"), F.lit("}\n```"),
     )
     replies = table(spark, d, "events").select("event_id", raw.alias("reply"))
-    return P.parse_batch_answers(replies, ["event_id"], "reply", 3).where("answer IS NOT NULL")
+    return P.parse_batch_answers(replies, ["event_id"], "reply", 3)
 
 
 @query("ans5_classify_error", """SELECT event_id, CASE WHEN event_type = 'view' THEN 'ERROR_API_CALL'
@@ -121,15 +121,14 @@ def ans8_template(spark, d):
     return P.choose_template(q, known).select("o_orderkey", "template")
 
 
-@query("ans9_final_number", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_partkey * 1000 AS VARCHAR) END AS number,
-  CAST(CASE WHEN l_returnflag = 'N' THEN 0.0 WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.1 END AS DOUBLE) AS reward FROM lineitem WHERE l_partkey > 0""")
+@query("ans9_final_number", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_partkey || '000' END AS number,
+  CAST(CASE WHEN l_returnflag = 'N' THEN 0.0 WHEN l_returnflag = 'A' AND l_partkey > 0 THEN 1.0 ELSE 0.1 END AS DOUBLE) AS reward FROM lineitem""")
 def ans9(spark, d):
     raw = F.when(F.col("l_returnflag") == "N", "so 5").otherwise(
         F.concat(F.lit("so #### "), "l_partkey", F.lit(",000"))
     )
     truth = F.when(F.col("l_returnflag") == "A", (F.col("l_partkey") * 1000).cast("string")).otherwise("7")
-    rows = table(spark, d, "lineitem").where("l_partkey > 0")
-    return rows.select(
+    return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         A.final_number(raw).alias("number"), A.number_reward(raw, truth).alias("reward"),
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from convoeval.operators import evaluation
 from convoeval.operators import joins as J
 from convoeval.operators import retrieval as R
+from convoeval.operators.patterns import mentioned_facts
 from convoeval.functions.scoring import cosine
 from convoeval.plans.registry import query, table
 
@@ -140,15 +141,11 @@ def jn9(spark, d):
     )
 
 
-@query("jn10_mentioned", """
-SELECT e.event_id, e.user_id FROM events e
-WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.user_id AND contains(lower(d.text), left(e.event_type, 3)))""")
+@query("jn10_mentioned", """WITH f AS (SELECT p_partkey, 'src' || (p_partkey % 20) AS task_id, unnest(string_split(p_name, ' ')) AS scene FROM part),
+w AS (SELECT DISTINCT task_id, scene FROM f)
+SELECT p_partkey, task_id, scene FROM f JOIN (SELECT * FROM w WHERE EXISTS (
+  SELECT 1 FROM documents d WHERE d.source = w.task_id AND contains(lower(d.text), lower(w.scene)))) USING (task_id, scene)""")
 def jn10(spark, d):
-    facts = table(spark, d, "events").select(F.col("user_id").alias("task_id"), "event_id", F.left("event_type", F.lit(3)).alias("scene"))
-    talk = table(spark, d, "documents").select(F.col("doc_id").alias("task_id"), "text")
-    # scenes are a small closed set: test each of them once per text, then join by key
-    scenes = facts.groupBy("task_id").agg(F.collect_set("scene").alias("s"))
-    heard = talk.join(scenes, "task_id").select(
-        "task_id", F.explode(F.filter("s", lambda x: F.contains(F.lower("text"), x))).alias("scene")
-    )
-    return facts.join(heard, ["task_id", "scene"], "left_semi").select("event_id", F.col("task_id").alias("user_id"))
+    names = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit("src"), F.col("p_partkey") % 20).alias("task_id"), F.explode(F.split("p_name", " ")).alias("scene"))
+    return mentioned_facts(names, table(spark, d, "documents").select(F.col("source").alias("task_id"), "text"))

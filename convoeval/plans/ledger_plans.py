@@ -215,7 +215,7 @@ _VAL6 = """tx AS (
   SELECT e.user_id AS task_id, e.event_id AS ord, e.event_type AS scene, e.value AS amount
   FROM events e),
 ch AS (SELECT user_id AS task_id, CASE WHEN event_id % 11 = 0 THEN 'a ' || event_type ELSE '' END || props AS text
-       FROM events WHERE event_type IN ('signup', 'error'))"""
+       FROM events)"""
 
 
 @query("val6_unmentioned", f"""WITH {_VAL6}
@@ -229,7 +229,7 @@ def val6(spark, d):
         F.col("event_type").alias("scene"), F.col("value").alias("amount"),
     )
     kind = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("a "), "event_type")).otherwise("")
-    chunks = table(spark, d, "events").where("event_type IN ('signup', 'error')").select(
+    chunks = table(spark, d, "events").select(
         F.col("user_id").alias("task_id"), F.concat(kind, "props").alias("text")
     )
     return V.unmentioned(tx, chunks)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from convoeval.operators import memory as M
 from convoeval.plans.registry import query, table
-from convoeval.plans.views import SQL_EDITS, SQL_EVENT_LEDGER, event_ledger, memory_edits
+from convoeval.plans.views import SQL_EDITS, SQL_EVENT_LEDGER, event_ledger, memory_edits, sql_strip
 
 
 def memory_texts(spark, d):
@@ -30,13 +30,15 @@ def mem1(spark, d):
     return M.parse_items(memory_texts(spark, d), ["conv_id", "turn"], "memory")
 
 
-@query("mem1_parse_items_multiline", """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t,
-        generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations)
-SELECT conv_id, turn, 'm' || (i + 1) AS memory_id, '2024-01-02' AS mentioned_at, trim(t) AS content
-FROM l WHERE i = 0 AND trim(t) <> ''""")
+@query("mem1_parse_items_multiline", rf"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t,
+        generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations),
+b AS (SELECT conv_id, turn, i, CASE WHEN i % 6 = 1 THEN t || chr(10) || coalesce(lead(t) OVER (PARTITION BY conv_id, turn ORDER BY i), '') ELSE t END AS body FROM l)
+SELECT conv_id, turn, i::INT AS item, 'm' || (i + 1) AS memory_id, '2024-01-02' AS mentioned_at, {sql_strip('body')} AS content
+FROM b WHERE i % 3 <> 2 AND {sql_strip('body')} <> ''""")
 def mem1_multiline(spark, d):
     items = M.parse_items_multiline(memory_texts(spark, d), ["conv_id", "turn"], "memory")
-    return items.where("memory_id = 'm1'").select("conv_id", "turn", "memory_id", "mentioned_at", "content")
+    number = F.substring("memory_id", 2, 9).cast("int") - 1
+    return items.select("conv_id", "turn", number.alias("item"), "memory_id", "mentioned_at", "content")
 
 
 @query("mem2_format_items", f"""WITH {_ITEMS}

@@ -253,15 +253,18 @@ def nrm16(spark, d):
     return N.filter_long(table(spark, d, "documents"), ["source", "lang"], "text", 20000)
 
 
-@query("nrm17_filter_categories", """
-SELECT DISTINCT c_custkey AS task_id FROM customer JOIN orders ON o_custkey = c_custkey
-WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+@query("nrm17_filter_categories", """WITH kept AS (SELECT c_custkey, o_orderkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+SELECT DISTINCT c_custkey AS task_id, NULL::BIGINT AS qid, NULL::VARCHAR AS category FROM kept
+UNION ALL SELECT o_custkey, o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
 def nrm17(spark, d):
     samples = table(spark, d, "customer").select(F.col("c_custkey").alias("task_id"))
     questions = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("task_id"), F.col("o_orderpriority").alias("category")
+        F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("qid"), F.col("o_orderpriority").alias("category")
     )
-    return N.filter_categories(samples, questions, ["1-URGENT", "2-HIGH"])[0]
+    kept, asked = N.filter_categories(samples, questions, ["1-URGENT", "2-HIGH"])
+    empty = [F.lit(None).cast(kind).alias(c) for c, kind in (("qid", "long"), ("category", "string"))]
+    return kept.select("task_id", *empty).unionByName(asked)
 
 
 @query("nrm18_index_by_id", """

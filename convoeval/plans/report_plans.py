@@ -38,13 +38,12 @@ def agg3(spark, d):
 
 @query("agg4_question_total", f"""WITH {SQL_SCORES},
 counts AS (SELECT agent, category, metric, count(*) AS n, min(qid) AS first_qid
-           FROM long_scores WHERE value <> -1 OR metric = 'toxic' GROUP BY ALL),
+           FROM long_scores GROUP BY ALL),
 firsts AS (SELECT agent, n, row_number() OVER (PARTITION BY agent, category ORDER BY first_qid, metric) AS r
            FROM counts)
 SELECT agent, CAST(sum(n) AS BIGINT) AS total_questions FROM firsts WHERE r = 1 GROUP BY agent""")
 def agg4(spark, d):
-    records = long_scores(spark, d).where("value <> -1 OR metric = 'toxic'")
-    return reports.question_total(records, ["agent"])
+    return reports.question_total(long_scores(spark, d), ["agent"])
 
 
 @query("agg5_task_category_rules", f"""WITH {SQL_SCORES},
@@ -79,15 +78,15 @@ def agg7(spark, d):
     return reports.metric_table(long_scores(spark, d), ["category", "agent"], ["quality", "toxic"])
 
 
-_CELLS = """known AS (SELECT * FROM long_scores WHERE NOT (value = -1 AND qid % 2 = 0)),
-cells AS (SELECT agent, task, CASE WHEN bool_or(value = -1) THEN -1.0 ELSE avg(value) END AS score
-          FROM known WHERE metric = 'quality' GROUP BY agent, task),
+#: Tasks of few documents each: some have a missing score, some do not.
+_CELLS = """cells AS (SELECT agent, task || (qid % 12) AS task, CASE WHEN bool_or(value = -1) THEN -1.0 ELSE avg(value) END AS score
+          FROM long_scores WHERE metric = 'quality' GROUP BY ALL),
 best AS (SELECT task, max(nullif(score, -1)) AS best FROM cells GROUP BY task),
 means AS (SELECT agent, avg(nullif(score, -1)) AS agent_avg FROM cells GROUP BY agent)"""
 
 
-def _known(spark, d):
-    return long_scores(spark, d).where("NOT (value = -1 AND qid % 2 = 0)")
+def _fine(spark, d):
+    return long_scores(spark, d).withColumn("task", F.concat("task", (F.col("qid") % 12).cast("string")))
 
 
 @query("agg8_leaderboard", f"""WITH {SQL_SCORES}, {_CELLS}
@@ -96,18 +95,17 @@ SELECT c.agent, c.task, round(c.score, 6) AS score, round(m.agent_avg, 6) AS age
        coalesce(abs(m.agent_avg - (SELECT max(agent_avg) FROM means)) < 1e-6, FALSE) AS best_average
 FROM cells c JOIN best b USING (task) JOIN means m USING (agent)""")
 def agg8(spark, d):
-    return reports.leaderboard(_known(spark, d), "quality")
+    return reports.leaderboard(_fine(spark, d), "quality")
+
+
+_WIDE = ", ".join(f"round(max(CASE WHEN task = '{x}{i}' THEN nullif(score, -1) END), 6) AS {x}{i}" for x in LANGS for i in range(12))
 
 
 @query("agg8_leaderboard_wide", f"""WITH {SQL_SCORES}, {_CELLS}
-SELECT agent, round(agent_avg, 6) AS agent_avg,
-       round(max(CASE WHEN task = 'de' THEN nullif(score, -1) END), 6) AS de,
-       round(max(CASE WHEN task = 'en' THEN nullif(score, -1) END), 6) AS en,
-       round(max(CASE WHEN task = 'es' THEN nullif(score, -1) END), 6) AS es,
-       round(max(CASE WHEN task = 'fr' THEN nullif(score, -1) END), 6) AS fr
+SELECT agent, round(agent_avg, 6) AS agent_avg, {_WIDE}
 FROM cells JOIN means USING (agent) GROUP BY agent, agent_avg""")
 def agg8_wide(spark, d):
-    return reports.leaderboard_wide(_known(spark, d), "quality", LANGS)
+    return reports.leaderboard_wide(_fine(spark, d), "quality", [f"{x}{i}" for x in LANGS for i in range(12)])
 
 
 @query("agg9_presence_matrix", """

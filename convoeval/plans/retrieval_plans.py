@@ -6,6 +6,7 @@ from convoeval.functions import scoring as S
 from convoeval.functions.text import tokens
 from convoeval.operators import retrieval as R
 from convoeval.operators.blockmax import raw_idf
+from convoeval.operators.substrings import keyword_score_topk, term_frequency_topk
 from convoeval.operators.vectorblocks import semantic_scoped_topk
 from convoeval.plans.registry import query, table
 from convoeval.plans.views import sql_strip, sql_tokens
@@ -127,7 +128,7 @@ SELECT qid, id, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def ret7(spark, d):
     items = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
-    out = R.keyword_score_topk(items, _names(spark, d), ["id"])
+    out = keyword_score_topk(items, _names(spark, d), ["id"])
     return out.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -148,7 +149,7 @@ def ret8(spark, d):
     asked = table(spark, d, "region").select(
         F.col("r_regionkey").alias("qid"), F.concat("r_name", F.lit(" the an re")).alias("text")
     )
-    out = R.term_frequency_topk(lines, asked, ["conv_id", "turn", "line_number"])
+    out = term_frequency_topk(lines, asked, ["conv_id", "turn", "line_number"])
     return out.drop("content")
 
 
@@ -172,6 +173,21 @@ def ret9_totals(spark, d):
     return R.grep_totals(_docs(spark, d), _GREP)
 
 
+_PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '')"
+
+
+@query("ret9_grep_files", rf"""WITH p AS (SELECT page_id AS id, {_PATH} AS path, html AS text FROM pages),
+kept AS (SELECT * FROM p WHERE (ends_with(path, '.html') OR ends_with(path, '/')) AND NOT list_contains(string_split(path, '/')[:-2], 'es')),
+l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM kept),
+h AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_matches, row_number() OVER (PARTITION BY id ORDER BY line_number) AS r
+      FROM l WHERE regexp_matches(line, 'th(e|an)', 'i'))
+SELECT id, n_matches, line_number, {sql_strip('line')} AS line FROM h WHERE r <= 10 ORDER BY id, line_number LIMIT 20""")
+def ret9_files(spark, d):
+    """The report of a search over a folder: endings, skipped folders, ten lines a file and twenty in all."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.expr(_PATH).alias("path"), F.col("html").alias("text"))
+    return R.grep(R.searched_files(pages, endings=(".html", "/"), skipped=("es",)), "th(e|an)", total=20)
+
+
 _SCOPED = f"""c AS (SELECT conv_id, turn, {sql_tokens('text')} AS t FROM conversations),
 q AS (SELECT conv_id, turn AS upto, t FROM (SELECT c.conv_id, c.turn, c.t FROM c JOIN conversations x USING (conv_id, turn) WHERE x.role = 'user')),
 vis AS (SELECT q.conv_id, q.upto, c.turn, c.t, len(c.t) AS dl FROM q JOIN c ON c.conv_id = q.conv_id AND c.turn <= q.upto WHERE len(c.t) > 0),

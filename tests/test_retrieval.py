@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoeval.operators import retrieval as R
+from convoeval.operators import substrings as X
 from convoeval.operators.blockmax import stretch_bounds
 
 
@@ -106,12 +107,45 @@ def test_rrf_credits(spark):
 
 
 def test_query_blocks(spark):
-    items = spark.createDataFrame([(i, f"alpha {i} beta") for i in range(9)], "id int, content string")
     q = spark.createDataFrame([(i, f"alpha {i}") for i in range(5)], "qid int, text string")
-    one = R.keyword_score_topk(items, q, ["id"]).collect()
     packed, n = R.query_blocks(q, ["qid", "text"], 2)
     assert n == 3 and packed.select(F.sum(F.size("queries"))).first()[0] == 5
-    assert {(r["qid"], r["id"]) for r in one if r["rank"] == 1} == {(i, i) for i in range(5)}
+
+
+def test_substring_scores_against_all_pairs(spark):
+    """Words inside words, short words, repeated words, words in nothing; zero scores in the order of the items."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab cä") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "Needle in Haystack needleneedle", None]
+    asked = ["needle", "needle needle hay", "a", "ab ca", "zzz zz", "ABCÄ abc", "", "ä b", "stack zzz needle"]
+    items = spark.createDataFrame(list(enumerate(texts)), "id int, content string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(asked)), "qid int, text string")
+    index = X.build_trigrams(items, ["id"])
+    share, times = {}, {}
+    for name, found in (("share", X.keyword_score_topk(index, q, ["id"])), ("times", X.term_frequency_topk(index, q, ["id"]))):
+        for r in found.collect():
+            (share if name == "share" else times).setdefault(r["qid"], []).append((r["rank"], r["id"], round(r["score"], 6), r["content"]))
+    for i, text in enumerate(asked):
+        w = text.lower().split()
+        low = [(j, t.lower()) for j, t in enumerate(texts) if t is not None]
+        a = sorted(((-round(sum(x in t for x in w) / len(w), 6), j) for j, t in low if any(x in t for x in w)) if w else [])[:5]
+        b = sorted((-sum(t.count(x) for x in w), j) for j, t in low)[:5] if w else []
+        assert [(j, s) for _, j, s, _ in sorted(share.get(i, []))] == [(j, -s) for s, j in a], text
+        assert [(j, s, c) for _, j, s, c in sorted(times.get(i, []))] == [(j, -s, texts[j]) for s, j in b], text
+
+
+def test_trigrams_leave_few_rows_to_compare(spark):
+    rng = random.Random(6)
+    items = spark.createDataFrame([(i, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(8))) for i in range(1_000)], "id int, content string")
+    index = X.build_trigrams(items, ["id"])
+    asked = items.limit(40).select(F.substring("content", 1, 6).alias("word")).distinct()
+    met = X.candidates(asked, index)
+    assert met.count() < 0.01 * 1_000 * asked.count() and met.select("word").distinct().count() == asked.count()
+
+
+def test_files_by_ending_and_folder(spark):
+    paths = ["a/b.txt", "a/.git/c.txt", "node_modules/x.md", "d.bin", "e.md", "embeddings.md", None, "venv/y/z.py", "q/embeddings"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r["path"] for r in R.searched_files(df).collect()] == ["a/b.txt", "e.md", "embeddings.md"]
 
 
 @pytest.mark.parametrize("limits", [{}, {"stretch_docs": 1}])

@@ -4,7 +4,7 @@ import random
 import string
 from collections import Counter
 
-from convoeval.functions.scoring import rouge_l_value
+from convoeval.functions.scoring import lcs_lengths, rouge_l_value
 from convoeval.functions.stem import stem
 from convoeval.operators import evaluation as E
 
@@ -78,3 +78,19 @@ def test_stems():
         "dying": "die", "skies": "sky",
     }
     assert {w: stem(w) for w in known} == known
+
+
+def test_lcs_of_many_pairs_at_once():
+    rng = random.Random(3)
+    pairs = [([rng.choice("abcde") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 200, 600]))], [rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 7, 64, 130, 500, 700]))]) for _ in range(250)]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    assert lcs_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [lcs(a, b) for a, b in pairs]
