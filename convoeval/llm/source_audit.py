@@ -9,6 +9,7 @@ corrections for the terms that occur, and only terms of both sources need to be
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections import Counter, defaultdict
@@ -23,16 +24,16 @@ from pyspark.sql import functions as F
 from convoeval.llm.common import slices, stored
 
 #: Estimated bytes of a dictionary entry with its term.
-ENTRY = 200
+ENTRY = 160
 
 #: Postings of one chunk of a run; what a merge holds of each run is one chunk.
-CHUNK = 2048
+CHUNK = 4096
 
 #: Runs that one merge takes at once; more are merged in several rounds.
-FAN_IN = 2048
+FAN_IN = 1024
 
-#: Terms that a merge adds up at once.
-WINDOW = 4096
+#: Postings that a merge adds up at once, about.
+WINDOW = 200_000
 
 #: Sources up to which the pair sums of a language are one matrix; else blocks of SIDE by SIDE, HELD at a time.
 MATRIX, SIDE, HELD = 1024, 128, 256
@@ -149,72 +150,81 @@ def runs_of(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
 
 
 class Chunk:
-    """One row of ``RUNS``, its source names as numbers of the task."""
+    """One row of ``RUNS``, its source names as numbers of the task, read from ``at`` on."""
 
     def __init__(self, batch: pa.RecordBatch, i: int, known: dict[str, int]):
         def column(name):
             return batch.column(name)[i].values
 
-        self.terms = column("terms").to_pylist()
-        self.docs = column("docs").to_numpy()
-        self.ends = np.cumsum(column("sizes").to_numpy()).tolist()
+        self.at, self.terms, self.docs, self.sizes = 0, column("terms"), column("docs").to_numpy(), column("sizes").to_numpy()
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         numbers = np.array([known.setdefault(name, len(known)) for name in column("names").to_pylist()], np.int64)
         self.codes, self.counts = numbers[column("codes").to_numpy()], column("counts").to_numpy()
 
+    def take(self, term: str | None) -> tuple:
+        """(terms, docs, sizes, codes, counts) of the stretch below ``term``, which is left behind."""
+        a, b = self.at, len(self.terms)
+        if term is not None:
+            b = bisect.bisect_left(range(len(self.terms)), term, a, key=lambda i: self.terms[i].as_py())
+        self.at = b
+        lo, hi = self.begins[a], self.begins[b]
+        return self.terms[a:b], self.docs[a:b], self.sizes[a:b], self.codes[lo:hi], self.counts[lo:hi]
+
+
+def added(lang: str, parts: list[tuple], known: dict[str, int]) -> tuple:
+    """Stretches of several runs as one: (lang, terms, docs, sizes, names, codes, counts), terms in order."""
+    terms, docs, sizes, codes, counts = zip(*parts, strict=True)
+    coded = pa.concat_arrays(terms).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    place = rank[coded.indices.to_numpy()]
+    in_docs = np.zeros(len(order), np.int64)
+    np.add.at(in_docs, place, np.concatenate(docs))
+    key = np.repeat(place, np.concatenate(sizes)) * len(known) + np.concatenate(codes)
+    by_key = np.argsort(key, kind="stable")
+    key = key[by_key]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    place, code = np.divmod(key[first], len(known))
+    return lang, coded.dictionary.take(order), in_docs, np.bincount(place, minlength=len(order)), list(known), code, np.add.reduceat(np.concatenate(counts)[by_key], first)
+
 
 def merged(batches) -> Iterator[tuple]:
-    """(lang, terms, docs, sizes, names, codes, counts) of ``WINDOW`` terms at a time, added up over all runs.
+    """(lang, terms, docs, sizes, names, codes, counts), added up over all runs, terms in order.
 
-    Chunks arrive in the order of (lang, first). A chunk is opened when its first term is reached, so the
-    heap holds one place for each run that overlaps the present term; the postings of the popped places
-    are added up as arrays.
+    Chunks arrive in the order of (lang, first) and wait in a heap by their next term. When ``WINDOW``
+    postings have come together, everything below the first term of the next chunk is complete: the chunks
+    are popped, their stretches below that term are added up as arrays, and what is left goes back.
     """
     known: dict[str, int] = {}
     heap: list[tuple] = []
-    lang, terms, places, docs, codes, counts = None, [], [], [], [], []
-
-    def added():
-        place = np.repeat(np.array(places), [len(c) for c in codes])
-        key = place * len(known) + np.concatenate(codes)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        in_docs = np.zeros(len(terms), np.int64)
-        np.add.at(in_docs, places, docs)
-        place, code = np.divmod(key[first], len(known))
-        return lang, list(terms), in_docs, np.bincount(place, minlength=len(terms)), list(known), code, np.add.reduceat(np.concatenate(counts)[order], first)
 
     def drain(limit):
-        nonlocal lang
+        lang, parts = None, []
         while heap and (limit is None or heap[0][:2] < limit):
-            now, term, number, i, chunk = heap[0]
-            if now != lang or not terms or term != terms[-1]:
-                if terms and (now != lang or len(terms) >= WINDOW):
-                    yield added()
-                    for x in (terms, places, docs, codes, counts):
-                        x.clear()
-                lang = now
-                terms.append(term)
-            a, b = chunk.ends[i - 1] if i else 0, chunk.ends[i]
-            places.append(len(terms) - 1)
-            docs.append(chunk.docs[i])
-            codes.append(chunk.codes[a:b])
-            counts.append(chunk.counts[a:b])
-            if i + 1 < len(chunk.terms):
-                heapq.heapreplace(heap, (now, chunk.terms[i + 1], number, i + 1, chunk))
-            else:
-                heapq.heappop(heap)
-
-    number = 0
+            now, _, number, chunk = heapq.heappop(heap)
+            if parts and now != lang:
+                yield added(lang, parts, known)
+                parts = []
+            lang = now
+            parts.append(chunk.take(limit[1] if limit and limit[0] == now else None))
+            if chunk.at < len(chunk.terms):
+                heapq.heappush(heap, (now, chunk.terms[chunk.at].as_py(), number, chunk))
+        if parts:
+            yield added(lang, parts, known)
+
+    number = waiting = 0
     for batch in slices(batches, "codes"):
         heads = zip(batch.column("lang").to_pylist(), batch.column("first").to_pylist(), strict=True)
-        for i, (own, first) in enumerate(heads):
-            yield from drain((own, first))
-            heapq.heappush(heap, (own, first, number, 0, Chunk(batch, i, known)))
+        for i, (lang, first) in enumerate(heads):
+            if waiting >= WINDOW:
+                yield from drain((lang, first))
+                waiting = 0
+            chunk = Chunk(batch, i, known)
+            heapq.heappush(heap, (lang, first, number, chunk))
             number += 1
+            waiting += len(chunk.codes)
     yield from drain(None)
-    if terms:
-        yield added()
 
 
 def merge_rounds(runs: DataFrame, fan_in: int) -> DataFrame:
@@ -225,7 +235,7 @@ def merge_rounds(runs: DataFrame, fan_in: int) -> DataFrame:
         def step(batches):
             for (shard, group), part in by_head(batches, ("shard", "run")):
                 for lang, terms, *rest in merged(part):
-                    yield from chunked(group, lang, np.full(len(terms), shard), terms, *rest)
+                    yield from chunked(group, lang, np.full(len(terms), shard), terms.to_pylist(), *rest)
 
         grouped = runs.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(groups)))
         n_parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -268,7 +278,7 @@ def frequencies(docs: DataFrame, min_docs: int, block_bytes: int, fan_in: int =
     ``total`` is the term's count in the language; ``lead`` is 1 in one row of each term, else 0.
     """
     # small shards: a task's chunks come in few Arrow batches, which it holds whole
-    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = merge_rounds(stored(runs_of(docs, shards, block_bytes), "audit-runs"), fan_in)
 
     def keep(batches):
@@ -281,7 +291,7 @@ def frequencies(docs: DataFrame, min_docs: int, block_bytes: int, fan_in: int =
             chosen = np.flatnonzero(in_docs[place] >= min_docs)
             total = np.add.reduceat(counts, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(chosen)), pa.array(terms).take(pa.array(place[chosen])), pa.array(names).take(pa.array(codes[chosen])), pa.array(counts[chosen]),
+                [pa.array([lang] * len(chosen)), terms.take(pa.array(place[chosen])), pa.array(names).take(pa.array(codes[chosen])), pa.array(counts[chosen]),
                  pa.array(total[place[chosen]]), pa.array((chosen == starts[place[chosen]]).astype(np.int32))],
                 ["lang", "term", "source", "n", "total", "lead"])
 
@@ -394,7 +404,7 @@ def pair_corrections(batches) -> Iterator[pa.RecordBatch]:
     yield from sums.out(True)
 
 
-def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, block_bytes: int = 1 << 25) -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, block_bytes: int = 1 << 26) -> DataFrame:
     """(lang, source, part, item, value, rank) of ``docs(text, lang, source)``.
 
     Terms are runs of letters, ASCII ones lower-cased, and of signs beyond ASCII. A language keeps the V

@@ -185,7 +185,7 @@ def source_rows(seed, n, sources, vocab):
     return [(" ".join(rng.choices(words[: rng.randrange(2, vocab)], k=rng.randrange(40))), rng.choice(["en", "en", "en", "de", None, ""]), f"s{rng.randrange(sources) ** 2 // sources}") for _ in range(n)]
 
 
-@pytest.mark.parametrize("block,fan_in,chunk,window,matrix,side,held", [(1 << 26, 512, 4096, 4096, 1024, 128, 256), (2_000, 512, 5, 2, 4, 2, 1), (1, 3, 7, 50, 1, 128, 1)])
+@pytest.mark.parametrize("block,fan_in,chunk,window,matrix,side,held", [(1 << 26, 512, 4096, 200_000, 1024, 128, 256), (2_000, 512, 5, 2, 4, 2, 1), (1, 3, 7, 50, 1, 128, 1)])
 def test_source_audit_does_not_depend_on_blocks(spark, monkeypatch, block, fan_in, chunk, window, matrix, side, held):
     monkeypatch.setattr(source_audit, "CHUNK", chunk)
     monkeypatch.setattr(source_audit, "WINDOW", window)
