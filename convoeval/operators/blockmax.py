@@ -66,12 +66,50 @@ def term_counts(rows: DataFrame, mark: bool = False) -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
-def in_blocks(counted: DataFrame, keys: list[str], doc: str) -> DataFrame:
-    """Postings ``(keys, tf, len, doc)`` as one row a block: ``(keys, n, max_tf, min_len, docs)``, documents in order."""
-    return counted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
-        F.array_sort(F.collect_list(F.struct(F.col(doc).alias("id"), "tf", "len"))).alias("docs"),
-    )
+def in_blocks(counted: DataFrame, keys: list[str], doc: str, dealt: list[str] | None = None) -> DataFrame:
+    """Postings ``(keys, tf, len, doc)`` as one row a block: ``(keys, n, max_tf, min_len, docs)``, documents in order.
+
+    The rows are shuffled by ``dealt`` (the keys, where it is left out), sorted, and cut into blocks as they
+    stream by. A block must be of bounded size; null keys are equal to each other.
+    """
+    types = dict(counted.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", n long, max_tf long, min_len long, docs array<struct<id: {types[doc]}, tf: long, len: long>>"
+    n_parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = counted.select(*keys, F.col("tf").cast("long"), F.col("len").cast("long"), F.col(doc).alias("_id"))
+    ordered = rows.repartition(n_parts, *(dealt or keys)).sortWithinPartitions(*keys, "_id")
+
+    def differs(column: pa.ChunkedArray) -> np.ndarray:
+        x, y = column[1:], column[:-1]
+        both_null = pc.and_(pc.is_null(x), pc.is_null(y))
+        return pc.if_else(both_null, False, pc.fill_null(pc.not_equal(x, y), True)).to_numpy()
+
+    def starts_of(table: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([differs(table.column(k)) for k in keys]))))
+
+    def blocks(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ends = np.append(starts[1:], table.num_rows)
+        first = table.select(keys).take(pa.array(starts)).combine_chunks()
+        tf, size, ids = (table.column(c).combine_chunks() for c in ("tf", "len", "_id"))
+        docs = pa.ListArray.from_arrays(pa.array(np.append(starts, table.num_rows), pa.int32()), pa.StructArray.from_arrays([ids, tf, size], ["id", "tf", "len"]))
+        return pa.RecordBatch.from_arrays(
+            [*(first.column(k).combine_chunks() for k in keys), pa.array(ends - starts), pa.array(np.maximum.reduceat(tf.to_numpy(), starts)),
+             pa.array(np.minimum.reduceat(size.to_numpy(), starts)), docs], [*keys, "n", "max_tf", "min_len", "docs"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            starts = starts_of(table)
+            if len(starts) > 1:  # the last block may go on in the next batch
+                yield blocks(table.slice(0, int(starts[-1])), starts[:-1])
+            held = table.slice(int(starts[-1]))
+        if held is not None:
+            yield blocks(held, np.array([0]))
+
+    return ordered.mapInArrow(cut, schema)
 
 
 def stretch_bounds(asked: DataFrame, heads: DataFrame, scope: list[str], k1: float, b: float) -> DataFrame:

@@ -8,7 +8,7 @@ from convoeval.operators import retrieval as R
 from convoeval.operators.blockmax import raw_idf
 from convoeval.operators.substrings import keyword_score_topk, term_frequency_topk
 from convoeval.operators.vectorblocks import semantic_scoped_topk
-from convoeval.plans.registry import query, table
+from convoeval.plans.registry import ORACLES, query, table
 from convoeval.plans.views import sql_strip, sql_tokens
 
 
@@ -49,7 +49,7 @@ def ret1(spark, d):
 SELECT term, df, round(ln(n - df + 0.5) - ln(df + 0.5), 6) AS raw_idf, n AS n_docs, round(avgdl, 6) AS avg_len
 FROM df, st""")
 def ret2(spark, d):
-    return bm25_terms(R.build_bm25(_docs(spark, d)))
+    return bm25_terms(R.scan_bm25(_docs(spark, d)))
 
 
 def bm25_terms(index):
@@ -64,6 +64,12 @@ def bm25_terms(index):
 @query("ret3_bm25_topk", f"""WITH {_BM25}
 SELECT qid, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 20""")
 def ret3(spark, d):
+    index = R.scan_bm25(_docs(spark, d))
+    return R.bm25_scan_topk(asked_texts(spark, d), index, 20).withColumn("score", F.round("score", 6))
+
+
+@query("ret3_stored_index", ORACLES["ret3_bm25_topk"])
+def ret3_stored(spark, d):
     index = R.build_bm25(_docs(spark, d))
     return R.bm25_topk(asked_texts(spark, d), index, 20).withColumn("score", F.round("score", 6))
 
@@ -106,8 +112,7 @@ fused AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM both_li
 SELECT qid, id, CAST(round(score, 6) AS DOUBLE) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 20""")
 def ret6(spark, d):
-    index = R.build_bm25(_docs(spark, d))
-    keyword = R.bm25_topk(asked_texts(spark, d), index, 40)
+    keyword = R.bm25_scan_topk(asked_texts(spark, d), R.scan_bm25(_docs(spark, d)), 40)
     vector = R.semantic_topk(query_vectors(spark, d), _vectors(spark, d), 40)
     return R.rrf([keyword, vector], 20).withColumn("score", F.round("score", 6))
 
