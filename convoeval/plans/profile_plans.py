@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from convoeval.operators import profiling as P
-from convoeval.plans.registry import query, table
+from convoeval.plans.registry import ORACLES, query, table
 from convoeval.plans.views import NARRATIVE_FIELDS, SQL_NARRATIVE, narrative
 
 _N = f"WITH {SQL_NARRATIVE}"
@@ -94,6 +94,21 @@ def pro10(spark, d):
     return P.compare_corpora(narrative(spark, d), "corpus", NARRATIVE_FIELDS)
 
 
-@query("pro11_profile_report")
+def _section(name: str, of: str, item: str, value: str) -> str:
+    return f"SELECT corpus, '{name}' AS section, {item} AS item, CAST({value} AS VARCHAR) AS value FROM ({of})"
+
+
+_PLACES = f"""{_N}, c AS (SELECT corpus, location, count(*) AS n FROM narrative WHERE location IS NOT NULL GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, location) AS rank FROM c) WHERE rank <= 20"""
+
+
+@query("pro11_profile_report", " UNION ALL ".join([
+    _section("completeness", ORACLES["pro1_completeness"], "field", "percent"),
+    *[_section("span", ORACLES["pro2_time_span"], f"'{c}'", f'"{c}"') for c in ("n_records", "first", "last", "years", "n_places")],
+    *[_section("gaps", ORACLES["pro3_gap_stats"], f"'{c}'", f'"{c}"') for c in ("n_gaps", "mean", "median", "min", "max")],
+    _section("gap_buckets", ORACLES["pro4_gap_buckets"], "bucket", "n"), _section("lengths", ORACLES["pro5_length_stats"], "field", "mean"),
+    _section("places", _PLACES, "location", "n"), _section("times", ORACLES["pro8_temporal_patterns"], "unit || '_' || value", "n"),
+    _section("cooccurrence", ORACLES["pro9_cooccurrence"], "combination", "n"),
+]))
 def pro11(spark, d):
     return P.profile_report(narrative(spark, d), "corpus", "ord", NARRATIVE_FIELDS)
