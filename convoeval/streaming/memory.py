@@ -1,7 +1,7 @@
 """Memory edits replayed as a stream, for any order of arrival.
 
-Ids do not influence each other, so the state is keyed by (key, memory id): the
-latest ``seq`` seen. Edits are kept as facts, those that come after a later one
+Ids do not influence each other, so the state is keyed by pages of (key, memory id),
+with the latest ``seq`` seen of each. Edits are kept as facts, those that come after a later one
 are marked; the current items are a small aggregation over the facts by ``seq``,
 so they are the same whichever files come first. Segments of facts are merged in
 levels, without the facts that no later edit can bring back.
@@ -9,6 +9,7 @@ levels, without the facts that no later edit can bring back.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,26 +23,39 @@ from convoeval.sources.writers import batch_writer
 from convoeval.streaming.segments import add_segment, read_segments
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = T.StructType([T.StructField("last_seq", T.LongType())])
+PAGE = T.StructType([T.StructField("page", T.IntegerType())])
+STATE = T.StructType([T.StructField("last_seqs", T.StringType())])
 NONE = -1
 FACT_COLUMNS = ["key", "memory_id", "operation", "seq", "content", "mentioned_at", "late"]
+#: Ids are dealt to pages, pages to groups. Fixed, as the state of a running stream is kept by them.
+PAGES, GROUPS = 2048, 128
 
 
 class EditProcessor(StatefulProcessor):
-    """One (key, memory id): every edit as a fact, late ones marked."""
+    """The ids of one group: every edit as a fact, late ones marked.
+
+    Each group and each question to the state costs milliseconds, so ids share groups and pages of
+    ``{id: last seq}``; a batch reads and writes the pages of its own ids only.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("edits", STATE)
+        self._state = handle.getMapState("edits", PAGE, STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self._state.get()[0] if self._state.exists() else NONE
-        newest = last
+        before: dict[int, dict[str, int]] = {}
+        newest: dict[int, dict[str, int]] = {}
         for pdf in rows:
-            out = pdf[["operation", "seq", "content", "mentioned_at"]].copy()
-            out["key"], out["memory_id"], out["late"] = key[0], key[1], out["seq"] <= last
-            newest = max(newest, int(out["seq"].max()))
-            yield out[FACT_COLUMNS]
-        self._state.update((newest,))
+            last = {}
+            for (page, i), seq in pdf.groupby(["page", "id"])["seq"].max().items():
+                if page not in before:
+                    held = self._state.getValue((int(page),))
+                    before[page] = json.loads(held[0]) if held is not None else {}
+                    newest[page] = {}
+                last[i] = before[page].get(i, NONE)
+                newest[page][i] = max(newest[page].get(i, last[i]), int(seq))
+            yield pdf[["id", "operation", "seq", "content", "mentioned_at"]].assign(late=pdf["seq"] <= pdf["id"].map(last))
+        for page, seqs in newest.items():
+            self._state.updateValue((int(page),), (json.dumps(before[page] | seqs),))
 
     def close(self) -> None:
         pass
@@ -49,15 +63,16 @@ class EditProcessor(StatefulProcessor):
 
 def edit_facts(edits: DataFrame) -> DataFrame:
     """Facts of an edit stream ``(key, seq, operation, target_id, content, mentioned_at)``."""
-    key_type = dict(edits.dtypes)["key"]
-    schema = (
-        f"key {key_type}, memory_id string, operation string, seq long, content string, mentioned_at string, late boolean"
-    )
+    id_type = f"key {dict(edits.dtypes)['key']}, memory_id string"
     # a TOUCH changes nothing, so it need not reach the state
-    ready = complete(edits).where("operation <> 'TOUCH'").withColumnRenamed("target_id", "memory_id")
-    return ready.groupBy("key", "memory_id").transformWithStateInPandas(
-        statefulProcessor=EditProcessor(), outputStructType=schema, outputMode="Update", timeMode="None"
+    ready = complete(edits).where("operation <> 'TOUCH'").select(
+        F.to_json(F.struct("key", F.col("target_id").alias("memory_id"))).alias("id"), "seq", "operation", "content", "mentioned_at")
+    paged = ready.withColumn("page", F.pmod(F.xxhash64("id"), F.lit(PAGES)).cast("int"))
+    facts = paged.withColumn("part", F.col("page") % GROUPS).groupBy("part").transformWithStateInPandas(
+        statefulProcessor=EditProcessor(), outputStructType="id string, operation string, seq long, content string, mentioned_at string, late boolean",
+        outputMode="Update", timeMode="None"
     )
+    return facts.withColumn("_id", F.from_json("id", id_type)).select("_id.*", *FACT_COLUMNS[2:])
 
 
 def condensed(facts: DataFrame) -> DataFrame:

@@ -123,3 +123,16 @@ def test_memory_and_ledger_do_not_depend_on_merges(spark, tmp_path, fan):
     got = SL.read_ledger(spark, f"{tmp_path}/ledger", []).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, M.running_ledger(tx, []).collect()))
     assert SL.current_totals(spark, f"{tmp_path}/ledger", []).count() == tx.select("date", "scene").distinct().count()
+
+
+def test_state_of_the_memory_stream_is_kept_by_pages(spark, tmp_path):
+    edits = [(f"k{i % 7}", i, "ADD", None if i == 5 else f"m{i % 2600}", f"text {i}", "d") for i in range(3000)]
+    df = spark.createDataFrame(edits, SCHEMA)
+    stream = streamed(spark, f"{tmp_path}/in", df.select("seq", *[c for c in df.columns if c != "seq"]), 2)
+    q = SM.start_memory(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    q.awaitTermination()
+    rows = max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators)
+    assert 0 < rows <= SM.PAGES < len({(e[0], e[3]) for e in edits})
+    facts = S.read_segments(spark, f"{tmp_path}/out").collect()
+    assert sorted((r["key"], r["memory_id"] or "", r["seq"], r["content"]) for r in facts) == sorted((e[0], e[3] or "", e[1], e[4]) for e in edits)
+    assert SM.read_memory(spark, f"{tmp_path}/out").count() == 3000
