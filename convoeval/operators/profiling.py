@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoeval.functions.text import strip
@@ -38,16 +38,27 @@ def time_span(df: DataFrame, key: str) -> DataFrame:
 
 
 def gaps(df: DataFrame, key: str, order: str, bucket_rows: int = 1 << 20) -> DataFrame:
-    """Minutes between consecutive records with a time, in file order; may be negative."""
-    timed = df.select(key, order, F.unix_timestamp(parsed_time()).alias("sec")).where("sec IS NOT NULL")
-    rows = with_previous(timed, [key], order, ["sec"], id_bucket(order, bucket_rows))
-    return rows.where("prev_sec IS NOT NULL").select(key, order, ((F.col("sec") - F.col("prev_sec")) / 60).alias("minutes"))
-
+    """Minutes between consecutive records with a time, in file order; may be negative.
 
-def gap_stats(gap_rows: DataFrame, key: str) -> DataFrame:
-    stats = gap_rows.groupBy(key).agg(
-        F.count("*").alias("n_gaps"), F.round(F.avg("minutes"), 4).alias("mean"),
-        F.round(F.min("minutes"), 4).alias("min"), F.round(F.max("minutes"), 4).alias("max"),
+    ``stretch`` is 0 in a corpus of up to ``bucket_rows`` records; only larger ones are cut.
+    """
+    timed = df.select(key, order, F.unix_timestamp(parsed_time()).alias("sec")).where("sec IS NOT NULL")
+    large = timed.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > bucket_rows)  # few
+    timed = timed.join(large, key, "left").withColumn("stretch", F.when(F.col("_n").isNotNull(), id_bucket(order, bucket_rows)).otherwise(0)).drop("_n")
+    rows = with_previous(timed, [key], order, ["sec"], F.col("stretch"))
+    return rows.where("prev_sec IS NOT NULL").select(key, order, "stretch", ((F.col("sec") - F.col("prev_sec")) / 60).alias("minutes"))
+
+
+def gap_stats(gap_rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """Count, mean, extremes and median. Gaps are added up one after the other in file order, stretch by stretch:
+    a mean that lies half way between two rounded values does not depend on the partitions."""
+    run = Window.partitionBy(key, "stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = gap_rows.withColumn("_run", F.sum("minutes").over(run)).groupBy(key, "stretch").agg(
+        F.count("*").alias("n"), F.max_by("_run", order).alias("s"), F.min("minutes").alias("low"), F.max("minutes").alias("high"))
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("stretch", "s"))), F.lit(0.0), lambda a, x: a + x["s"])
+    stats = parts.groupBy(key).agg(
+        F.sum("n").alias("n_gaps"), F.round(total / F.sum("n"), 4).alias("mean"),
+        F.round(F.min("low"), 4).alias("min"), F.round(F.max("high"), 4).alias("max"),
     )
     medians = exact_medians(gap_rows, [key], "minutes").withColumn("median", F.round("median", 4))
     return stats.join(medians, key)
@@ -136,7 +147,7 @@ def profile_report(df: DataFrame, key: str, order: str, fields: list[str]) -> Da
         return rows.select(key, F.lit(section).alias("section"), item.alias("item"), value.cast("string").alias("value"))
 
     span = time_span(df, key)
-    stats = gap_stats(g, key)
+    stats = gap_stats(g, key, order)
     parts = [
         long("completeness", completeness(df, key, fields), F.col("field"), F.col("percent")),
         *[long("span", span, F.lit(c), F.col(c)) for c in ("n_records", "first", "last", "years", "n_places")],

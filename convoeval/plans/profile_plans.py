@@ -33,7 +33,7 @@ _GAPS = f"""{_N}, g AS (SELECT corpus, (epoch(CAST(timestamp AS TIMESTAMP)) - ep
 @query("pro3_gap_stats", f"""{_GAPS} SELECT corpus, count(m) AS n_gaps, round(avg(m), 4) AS mean, round(min(m), 4) AS min,
   round(max(m), 4) AS max, round(median(m), 4) AS median FROM g WHERE m IS NOT NULL GROUP BY corpus""")
 def pro3(spark, d):
-    return P.gap_stats(P.gaps(narrative(spark, d), "corpus", "ord"), "corpus")
+    return P.gap_stats(P.gaps(narrative(spark, d), "corpus", "ord"), "corpus", "ord")
 
 
 @query("pro4_gap_buckets", f"""{_GAPS} SELECT corpus, CASE WHEN m <= 1 THEN '<=1m' WHEN m <= 5 THEN '1-5m' WHEN m <= 30 THEN '5-30m'

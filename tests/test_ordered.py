@@ -1,7 +1,10 @@
 """Bucketed running sums, previous rows and medians give what one window gives."""
 
+import datetime
 import random
 import statistics
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +91,33 @@ def test_boundary_weights(spark):
     df = spark.createDataFrame(data, "corpus string, ord long, timestamp string, location string, action string")
     got = C.with_boundaries(df, "corpus", "ord", ["action"]).orderBy("ord").collect()
     assert [round(r["strength"] - 0.05, 2) for r in got[1:]] == [0.1, 0.2, 0.4, 0.6, 0.0, 0.0]
+
+def test_mean_gap_does_not_depend_on_id_buckets(spark):
+    """Gaps whose mean is half way between two rounded values, in a corpus that lies across an edge of id buckets."""
+    from convoeval.operators import profiling as P
+
+    def fold(gaps):
+        return reduce(lambda a, g: a + g / 60, gaps, 0.0)  # sum() of floats is compensated
+
+    for seed in range(2000):
+        rng = random.Random(seed)
+        g = [rng.randint(1, 70_000) for _ in range(64)]
+        g[-1] += (24 - sum(g)) % 48
+        whole, cut = fold(g) / 64, (fold(g[:30]) + fold(g[30:])) / 64
+        if half_up(whole) != half_up(cut):
+            break
+    at, rows = 0, []
+    for i, gap in enumerate([0, *g]):
+        at += gap
+        stamp = (datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=at)).strftime("%Y-%m-%d %H:%M:%S")
+        rows += [("far", (1 << 20) - 31 + i, stamp), ("near", i, stamp)]
+    df = spark.createDataFrame(rows, "corpus string, ord long, timestamp string")
+    got = {r["corpus"]: r["mean"] for r in P.gap_stats(P.gaps(df, "corpus", "ord"), "corpus").collect()}
+    assert got == {"far": half_up(whole), "near": half_up(whole)}
+    # a corpus with more records than a bucket is still cut, and all its gaps count
+    cut = P.gap_stats(P.gaps(df, "corpus", "ord", 10), "corpus").collect()
+    assert [r["n_gaps"] for r in cut] == [64, 64] and all(abs(r["mean"] - whole) < 1e-3 for r in cut)
+
+
+def half_up(x):
+    return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
