@@ -66,15 +66,15 @@ def term_counts(rows: DataFrame, mark: bool = False) -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
-def in_blocks(counted: DataFrame, keys: list[str], doc: str, dealt: list[str] | None = None) -> DataFrame:
+def in_blocks(counted: DataFrame, keys: list[str], doc: str, dealt: list[str] | None = None, parts: int = 1) -> DataFrame:
     """Postings ``(keys, tf, len, doc)`` as one row a block: ``(keys, n, max_tf, min_len, docs)``, documents in order.
 
-    The rows are shuffled by ``dealt`` (the keys, where it is left out), sorted, and cut into blocks as they
-    stream by. A block must be of bounded size; null keys are equal to each other.
+    The rows are shuffled by ``dealt`` (the keys, where it is left out) to ``parts`` partitions at least, sorted,
+    and cut into blocks as they stream by. A block must be of bounded size; null keys are equal to each other.
     """
     types = dict(counted.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", n long, max_tf long, min_len long, docs array<struct<id: {types[doc]}, tf: long, len: long>>"
-    n_parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(parts, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = counted.select(*keys, F.col("tf").cast("long"), F.col("len").cast("long"), F.col(doc).alias("_id"))
     ordered = rows.repartition(n_parts, *(dealt or keys)).sortWithinPartitions(*keys, "_id")
 

@@ -35,13 +35,14 @@ def start_index(docs: DataFrame, path: str, checkpoint: str, buckets: int = 64,
 
     def write(batch: DataFrame, place: str) -> None:
         batch = batch.persist()  # counted and written
-        R.write_postings(batch.select("id", "text"), place, buckets, R.stretch_of(batch.count(), stretch_docs))
+        n = batch.count()
+        R.write_postings(batch.select("id", "text"), place, buckets, R.stretch_of(n, stretch_docs), n)
         batch.unpersist()
 
     def merge(blocks: DataFrame, place: str) -> None:
         n = blocks.where(F.col("bucket") == R.DOCUMENTS).agg(F.sum("n").alias("n")).first()["n"] or 0
         flat = blocks.select("bucket", "term", F.explode("docs").alias("d")).select("bucket", "term", "d.*")
-        R.write_blocks(in_blocks(flat.withColumn("block", R.stretch_of(n, stretch_docs)), ["bucket", "term", "block"], "id"), place)
+        R.write_blocks(in_blocks(flat.withColumn("block", R.stretch_of(n, stretch_docs)), ["bucket", "term", "block"], "id", parts=R.parts_of(n)), place)
 
     return _run(docs, checkpoint, lambda batch, number: add_segment(batch, number, path, write, merge, fan))
 

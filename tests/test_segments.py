@@ -136,3 +136,15 @@ def test_state_of_the_memory_stream_is_kept_by_pages(spark, tmp_path):
     facts = S.read_segments(spark, f"{tmp_path}/out").collect()
     assert sorted((r["key"], r["memory_id"] or "", r["seq"], r["content"]) for r in facts) == sorted((e[0], e[3] or "", e[1], e[4]) for e in edits)
     assert SM.read_memory(spark, f"{tmp_path}/out").count() == 3000
+
+
+def test_postings_of_more_documents_are_sorted_by_more_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "PART_DOCS", 16, raising=False)
+    docs = spark.createDataFrame([(i, f"the w{i % 9}") for i in range(300)], "id long, text string")
+    for name, n in (("few", 15), ("many", 300)):
+        index = R.build_bm25(docs.where(F.col("id") < n), f"{tmp_path}/{name}", stretch_docs=4, buckets=2)
+        assert index.n_docs == n and {r["term"]: r["df"] for r in index.terms.collect()}["the"] == n
+    files = {name: len(list((tmp_path / name / "postings" / "bucket=-1").glob("*.parquet"))) for name in ("few", "many")}
+    assert files["few"] == 1 and files["many"] >= 8
+    q = spark.createDataFrame([(0, "w3")], "qid long, text string")
+    assert [r["id"] for r in R.bm25_topk(q, index, 3).orderBy("rank").collect()] == [3, 12, 21]
