@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from convoeval.functions.text import char_counts, collapse, estimate_tokens, record_text
 from convoeval.operators.ordered import exact_medians, id_bucket, prefix_sums, with_previous
-from convoeval.session import by_key, cut_lineage
+from convoeval.session import cut_lineage, gathered
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Boundary weights by time gap (seconds), place, length change.
@@ -252,15 +252,15 @@ def semantic_chunk_ids(
     )
     key = f"`{corpus}` {types[corpus]}"
     in_order = [corpus, "_block", "_idx"]
-    maps = by_key(spread_rows, corpus, "_block").sortWithinPartitions(*in_order).mapInPandas(
+    maps = gathered(spread_rows, corpus, "_block").sortWithinPartitions(*in_order).mapInPandas(
         _block_maps(corpus, min_tokens, max_tokens, halo), f"{key}, _block long, _exits binary, _passed binary"
     )
     # one row of a few dozen kilobytes at most per block of records, read as a stream
-    entries = by_key(maps, corpus).sortWithinPartitions(corpus, "_block").mapInPandas(
+    entries = gathered(maps, corpus).sortWithinPartitions(corpus, "_block").mapInPandas(
         _chain(corpus), f"{key}, _block long, _entry int, _base long"
     )
     placed = spread_rows.join(entries, [corpus, "_block"])
-    return by_key(placed, corpus, "_block").sortWithinPartitions(*in_order).mapInPandas(
+    return gathered(placed, corpus, "_block").sortWithinPartitions(*in_order).mapInPandas(
         _mark(corpus, order, min_tokens, max_tokens),
         f"{key}, `{order}` {types[order]}, idx long, chunk_id long",
     )

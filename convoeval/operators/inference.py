@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from convoeval.functions.text import keep_head
 from convoeval.operators import memory as M
 from convoeval.operators.retrieval import bm25_scoped_topk
-from convoeval.session import by_key
+from convoeval.session import gathered
 
 ERROR = "ERROR_API_CALL: "
 
@@ -80,7 +80,7 @@ def fold_summary(
     stream by in order and only the running memory is held, never a key's chunks.
     """
     need = [*keys, order, text, *([query] if query else [])]
-    rows = by_key(chunks.select(*need), *keys).sortWithinPartitions(*keys, order)
+    rows = gathered(chunks.select(*need), *keys).sortWithinPartitions(*keys, order)
     types = dict(chunks.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", memory string"
 

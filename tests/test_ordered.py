@@ -121,3 +121,25 @@ def test_mean_gap_does_not_depend_on_id_buckets(spark):
 
 def half_up(x):
     return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
+def test_corpora_across_buckets_stay_whole(spark):
+    """Corpora whose ids cross the edge of a bucket lie in two partitions when they are numbered."""
+    edge = 1 << 20
+    df = spark.createDataFrame(
+        [(c, o, f"word {o % 7} and more {c}", o % 5 == 0) for c in range(40) for o in range(edge - 30, edge + 30)],
+        "corpus long, ord long, record_text string, boundary boolean",
+    )
+    # as at size: several partitions, and a join planned by shuffle turns out to be small
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    for name, value in zip(names, ("-1", "16KB", "false"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        got = C.semantic_chunk_ids(C.numbered_records(df, "corpus", "ord"), "corpus", "ord", 20, 40).collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert len(got) == 40 * 60
+    for c in range(40):
+        ids = [r["chunk_id"] for r in sorted(got, key=lambda r: r["ord"]) if r["corpus"] == c]
+        assert ids == sorted(ids) and sorted(set(ids)) == list(range(ids[-1] + 1)) and len(set(ids)) > 5
