@@ -78,6 +78,14 @@ def test_large_hosts_are_dealt_out(spark):
     assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(60)}
 
 
+def test_pages_with_an_article_are_compared_too(spark):
+    """What two articles share is found by the alignment and stays by their markup; what only one page has in its menu goes."""
+    article = lambda i: f"<nav>menu {i}</nav><p>frame</p><article><p>shared</p><p>story {i}</p></article><footer>foot</footer>"
+    rows = [(i, f"http://h/a/{i}", article(i)) for i in range(4)] + [(i, f"http://h/b/{i}", page("frame", f"text {i}")) for i in (4, 5)] + [(6, "http://one/a", article(6))]
+    got = {r.page_id: (r.text, r.n_shared) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: (f"shared\nstory {i}", 3) for i in range(4)} | {i: (f"text {i}", 1) for i in (4, 5)} | {6: ("shared\nstory 6", 0)}
+
+
 def brute_main_text(rows):
     """Partners by a plain look at the sorted pages of each host and folder."""
     pages = []
