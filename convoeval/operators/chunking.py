@@ -88,80 +88,88 @@ def _estimate(c: np.ndarray) -> np.ndarray:
     return np.maximum(np.floor(raw * 1.1), 1)
 
 
-def _first_over(sums: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
-    """Per start s the first i > s where records s..i reach ``limit`` tokens."""
-    n = len(sums) - 1
-    lo, hi = starts + 1, np.full(len(starts), n)
+def _first_over(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
+    """Per start s the first i > s where records s..i reach ``limit`` tokens, else the end of its group."""
+    lo, hi = starts + 1, ends
     while np.any(lo < hi):
         mid = (lo + hi) // 2
-        at = np.minimum(mid, n - 1)
+        at = np.minimum(mid, ends - 1)
         c = sums[at + 1] - sums[starts]
         c[:, 4] += at - starts  # the line break between two records is one blank
-        reached = (_estimate(c) >= limit) & (mid < n)
+        reached = (_estimate(c) >= limit) & (mid < ends)
         hi = np.where(reached, mid, hi)
         lo = np.where(reached | (lo >= hi), lo, np.minimum(mid + 1, hi))
     return lo
 
 
-def next_starts(counts: np.ndarray, boundary: np.ndarray, n_own: int, low: int, high: int) -> np.ndarray:
-    """Index of the next chunk start for each of the first ``n_own`` records."""
+def next_starts(counts: np.ndarray, boundary: np.ndarray, ends: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Index of the next chunk start for each record; ``ends`` has the end of its group, where the records stop."""
     n = len(counts)
     sums = np.vstack([np.zeros((1, 5)), np.cumsum(counts, axis=0)])
-    starts = np.arange(n_own)
-    over = _first_over(sums, starts, high + 1)
-    ready = _first_over(sums, starts, low)
+    starts = np.arange(n)
+    over = _first_over(sums, starts, ends, high + 1)
+    ready = _first_over(sums, starts, ends, low)
     flagged = np.append(np.where(boundary, np.arange(n), n), n)
     after = np.minimum.accumulate(flagged[::-1])[::-1]
-    return np.minimum(over, after[np.minimum(ready, n)])
+    return np.minimum(over, after[ready])
 
 
-def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Groups of a partition that is sorted by ``keys``; one group is held at a time."""
+def _changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Places of the rows whose keys differ from those of the row before."""
+    new = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+    for k in keys:
+        values = pdf[k].to_numpy()
+        new |= values[1:] != values[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups of a partition that is sorted by ``keys``; a batch and a group are held at a time."""
     held: list[pd.DataFrame] = []
-    current = None
     for pdf in batches:
         if not len(pdf):
             continue
-        ids = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy()
-        ids[0] = True
-        edges = np.append(np.flatnonzero(ids), len(pdf))
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            piece = pdf.iloc[lo:hi]
-            key = tuple(piece[keys].iloc[0])
-            if key != current and held:
-                yield current, pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            current = key
-            held.append(piece)
+        edges = _changes(pdf, keys)
+        if held and any(held[-1][k].iloc[-1] != pdf[k].iloc[0] for k in keys):
+            edges = np.insert(edges, 0, 0)
+        if len(edges):
+            done = [*held, pdf.iloc[: edges[-1]]]
+            yield pd.concat(done, ignore_index=True) if held else done[0]
+            held = []
+            pdf = pdf.iloc[edges[-1] :]
+        held.append(pdf)
     if held:
-        yield current, pd.concat(held) if len(held) > 1 else held[0]
+        yield pd.concat(held, ignore_index=True)
 
 
-def _fold(pdf: pd.DataFrame, low: int, high: int) -> tuple[np.ndarray, int]:
-    n_own = int(pdf["_own"].to_numpy().sum())
+def _fold(pdf: pd.DataFrame, keys: list[str], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All groups of a frame at once: next starts, first rows and sizes of the groups, numbers of their own rows."""
+    first = np.append(0, _changes(pdf, keys))
+    sizes = np.diff(np.append(first, len(pdf)))
     counts = pdf[COUNTS].to_numpy(dtype="float64")
-    return next_starts(counts, pdf["boundary"].to_numpy(dtype=bool), n_own, low, high), n_own
+    nxt = next_starts(counts, pdf["boundary"].to_numpy(dtype=bool), np.repeat(first + sizes, sizes), low, high)
+    return nxt, first, sizes, np.add.reduceat(pdf["_own"].to_numpy(dtype="int64"), first)
 
 
 def _block_maps(corpus: str, low: int, high: int, halo: int):
     """Per block: for each possible entry the exit into the next block and the starts passed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (name, block), pdf in sorted_groups(batches, [corpus, "_block"]):
-            nxt, n_own = _fold(pdf, low, high)
-            exits, passed = nxt.tolist(), [1] * n_own
-            for i in range(n_own - 1, -1, -1):
-                if exits[i] < n_own:
-                    passed[i] += passed[exits[i]]
-                    exits[i] = exits[exits[i]]
-            k = min(n_own, halo)
-            yield pd.DataFrame(
-                {
-                    corpus: [name], "_block": [block],
-                    "_exits": [(np.array(exits[:k], dtype="<i8") - n_own).astype("<i4").tobytes()],
-                    "_passed": [np.array(passed[:k], dtype="<i4").tobytes()],
-                }
-            )
+        for pdf in whole_groups(batches, [corpus, "_block"]):
+            nxt, first, _, n_own = _fold(pdf, [corpus, "_block"], low, high)
+            blocks = pdf["_block"].to_numpy()[first]
+            exits, passed = nxt.tolist(), [1] * len(pdf)
+            maps: tuple[list[bytes], list[bytes]] = ([], [])
+            for lo, own, block in zip(first.tolist(), n_own.tolist(), blocks.tolist(), strict=True):
+                hi = lo + own
+                for i in range(hi - 1, lo - 1, -1):
+                    if exits[i] < hi:
+                        passed[i] += passed[exits[i]]
+                        exits[i] = exits[exits[i]]
+                k = lo + (min(own, halo) if block else 1)  # the first block is entered at its first record
+                maps[0].append((np.array(exits[lo:k], dtype="<i8") - hi).astype("<i4").tobytes())
+                maps[1].append(np.array(passed[lo:k], dtype="<i4").tobytes())
+            yield pd.DataFrame({corpus: pdf[corpus].to_numpy()[first], "_block": blocks, "_exits": maps[0], "_passed": maps[1]})
 
     return run
 
@@ -197,18 +205,19 @@ def _mark(corpus: str, order: str, low: int, high: int):
     """Chunk number of every record of a block, given its entry."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, pdf in sorted_groups(batches, [corpus, "_block"]):
-            nxt, n_own = _fold(pdf, low, high)
-            starts = np.zeros(n_own, dtype="int64")
-            i = int(pdf["_entry"].iloc[0])
-            while i < n_own:
-                starts[i] = 1
-                i = int(nxt[i])
-            own = pdf.iloc[:n_own]
-            number = int(pdf["_base"].iloc[0]) - 1 + np.cumsum(starts)
-            yield pd.DataFrame(
-                {corpus: own[corpus].to_numpy(), order: own[order].to_numpy(), "idx": own["idx"].to_numpy(), "chunk_id": number}
-            )
+        for pdf in whole_groups(batches, [corpus, "_block"]):
+            nxt, first, sizes, n_own = _fold(pdf, [corpus, "_block"], low, high)
+            step, marks = nxt.tolist(), [0] * len(pdf)
+            entries = first + pdf["_entry"].to_numpy(dtype="int64")[first]
+            for i, stop in zip(entries.tolist(), (first + n_own).tolist(), strict=True):
+                while i < stop:
+                    marks[i] = 1
+                    i = step[i]
+            starts = np.array(marks, dtype="int64")
+            seen = np.cumsum(starts)
+            number = pdf["_base"].to_numpy() - 1 + seen - np.repeat(seen[first] - starts[first], sizes)
+            rows = pdf[[corpus, order, "idx"]].assign(chunk_id=number)
+            yield rows[pdf["_own"].to_numpy(dtype=bool)]
 
     return run
 

@@ -43,13 +43,16 @@ def write_report(report: DataFrame, path: str, form: str = "csv") -> None:
 
 
 def write_chunks(chunks: DataFrame, path: str, corpus: str) -> None:
-    """Chunk records as JSON and as readable text, both next to each other."""
+    """Chunk records as JSON and, made from those, as readable text; both next to each other."""
     chunks.write.mode("overwrite").json(f"{path}/json")
+    need = [corpus, "chunk_id", "start_time", "end_time", "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.select(*need).schema.fields)
+    written = chunks.sparkSession.read.schema(schema).json(f"{path}/json")
     head = F.concat_ws(
         " ", F.lit("=== chunk"), F.col(corpus).cast("string"), F.col("chunk_id").cast("string"),
         F.col("start_time"), F.lit("-"), F.col("end_time"), F.lit("==="),
     )
-    chunks.select(F.concat(head, F.lit("\n"), "text", F.lit("\n")).alias("value")).write.mode("overwrite").text(
+    written.select(F.concat(head, F.lit("\n"), "text", F.lit("\n")).alias("value")).write.mode("overwrite").text(
         f"{path}/text"
     )
 

@@ -6,6 +6,7 @@ import statistics
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,14 @@ def test_corpora_across_buckets_stay_whole(spark):
     for c in range(40):
         ids = [r["chunk_id"] for r in sorted(got, key=lambda r: r["ord"]) if r["corpus"] == c]
         assert ids == sorted(ids) and sorted(set(ids)) == list(range(ids[-1] + 1)) and len(set(ids)) > 5
+
+
+def test_blocks_of_many_corpora_are_folded_at_once():
+    """A frame holds as many whole corpora as a batch brings; batches cut corpora anywhere."""
+    names = [c for c in range(50) for _ in range(1 + c % 7)]
+    pdf = pd.DataFrame({"corpus": names, "_block": 0, "n": range(len(names))})
+    for size in (1, 3, 40, 1000):
+        frames = list(C.whole_groups((pdf.iloc[i : i + size] for i in range(0, len(pdf), size)), ["corpus", "_block"]))
+        assert pd.concat(frames)["n"].tolist() == list(range(len(names)))
+        held = [set(f["corpus"]) for f in frames]
+        assert sum(map(len, held)) == 50 and len(frames) <= -(-len(pdf) // size) + 1
