@@ -66,19 +66,24 @@ def occurrences(text: Column, needle: Column) -> Column:
     ).otherwise(0).cast("long")
 
 
-def char_counts(text: Column) -> dict[str, Column]:
+LETTERS = "[a-zA-Z]+"
+
+
+def char_counts(text: Column, rest: Column | None = None) -> dict[str, Column]:
     """Counts the token estimate is made of; ``text`` must be collapsed.
 
     A count is what a text loses when the runs of a class are taken out: one pass
-    over the runs instead of one match per character.
+    over the runs instead of one match per character. ``rest`` is the text without its
+    letters, where a caller has it: the other classes are then looked for there only.
     """
+    text, whole = (text, None) if rest is None else (rest, text)
     size = F.length(text)
 
     def lost(runs: str) -> Column:
         return size - F.length(F.regexp_replace(text, runs, ""))
 
     return {
-        "n_letter": lost("[a-zA-Z]+"),
+        "n_letter": lost(LETTERS) if whole is None else F.length(whole) - size,
         "n_cjk": lost(r"[\x{4e00}-\x{9fff}]+"),
         "n_digit": lost(r"\p{Nd}+"),
         "n_symbol": F.length(F.regexp_replace(text, "[a-zA-Z0-9 ]+", "")),
@@ -90,7 +95,9 @@ def estimate_tokens(text: Column) -> Column:
     """Rough token count of mixed text, 10 % up; empty is 0, else at least 1."""
 
     def count(flat: Column) -> Column:
-        c = char_counts(flat)
+        return once(F.regexp_replace(flat, LETTERS, ""), lambda rest: total(char_counts(flat, rest)))
+
+    def total(c: dict[str, Column]) -> Column:
         raw = (
             c["n_letter"] / 4.0
             + c["n_cjk"] / 2.0

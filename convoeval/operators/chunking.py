@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoeval.functions.text import char_counts, collapse, estimate_tokens, record_text
-from convoeval.operators.ordered import exact_medians, id_bucket, prefix_sums, with_previous
+from convoeval.operators.ordered import counted_medians, id_bucket, prefix_sums, with_previous
 from convoeval.session import cut_lineage, gathered
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -328,19 +328,24 @@ SIZE_EDGES = [(3000, "<3k"), (4000, "3k-4k"), (5000, "4k-5k"), (6000, "5k-6k")]
 
 
 def chunk_stats(chunks: DataFrame, corpus: str) -> DataFrame:
-    """Count, sizes, size distribution and distinct places per corpus."""
+    """Count, sizes, size distribution and distinct places per corpus.
+
+    The sizes, which are costly to tell, are counted in one pass; the rest is read off the counts.
+    """
     bucket = F.lit(">6k")
     for edge, name in reversed(SIZE_EDGES):
         bucket = F.when(F.col("token_count") < edge, name).otherwise(bucket)
-    sized = chunks.withColumn("_b", bucket)
+    hist = cut_lineage(chunks.groupBy(corpus, "token_count").agg(F.count(F.lit(1)).alias("_n")))
+    sized, given = hist.withColumn("_b", bucket), F.col("token_count").isNotNull()
     names = [name for _, name in SIZE_EDGES] + [">6k"]
     base = sized.groupBy(corpus).agg(
-        F.count("*").alias("n_chunks"),
-        F.round(F.avg("token_count"), 6).alias("mean_tokens"),
+        F.sum("_n").alias("n_chunks"),
+        F.round(F.sum(F.col("token_count") * F.col("_n")) / F.sum(F.when(given, F.col("_n"))), 6).alias("mean_tokens"),
         F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"),
-        *[F.count(F.when(F.col("_b") == n, 1)).alias(f"n_{i}") for i, n in enumerate(names)],
+        *[F.sum(F.when(F.col("_b") == n, F.col("_n")).otherwise(0)).alias(f"n_{i}") for i, n in enumerate(names)],
     )
-    medians = exact_medians(sized, [corpus], "token_count").withColumnRenamed("median", "median_tokens")
+    counted = hist.where(given).select(corpus, F.col("token_count").cast("double").alias("_v"), "_n")
+    medians = counted_medians(counted, [corpus]).withColumnRenamed("median", "median_tokens")
     places = chunks.select(corpus, F.explode_outer("locations").alias("p")).groupBy(corpus).agg(
         F.countDistinct("p").alias("n_places")
     )

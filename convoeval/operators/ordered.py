@@ -101,11 +101,17 @@ def exact_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median of ``value`` per key, without one task holding a key.
 
     Equal values are counted first, combined on the map side, and the counts are
-    written once because the steps below read them three times. They are then
-    summed up along the values, bucket by bucket, and the middle ones are read off.
+    written once because the steps below read them three times.
     """
     v = F.col(value).cast("double")
-    hist = cut_lineage(df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n")))
+    return counted_medians(cut_lineage(df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))), keys)
+
+
+def counted_medians(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact median per key of ``hist(keys, _v, _n)``: values with their counts, read several times.
+
+    The counts are summed up along the values, bucket by bucket, and the middle ones are read off.
+    """
     ranked = prefix_sums(hist, keys, ["_v"], value_bucket(F.col("_v")), _last=F.col("_n"))
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)

@@ -155,3 +155,23 @@ def test_blocks_of_many_corpora_are_folded_at_once():
         assert pd.concat(frames)["n"].tolist() == list(range(len(names)))
         held = [set(f["corpus"]) for f in frames]
         assert sum(map(len, held)) == 50 and len(frames) <= -(-len(pdf) // size) + 1
+
+
+def test_chunk_sizes_are_told_once(spark):
+    """The size of a chunk is worked out in one pass, however much is read off it."""
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def size(n):
+        told.add(1)
+        return n
+
+    data = [(c, i * 700 % 7919, ["x", None, f"p{i % 3}"][i % 3]) for c in ("a", "b") for i in range(31)]
+    df = spark.createDataFrame(data, "corpus string, n int, p string")
+    got = C.chunk_stats(df.select("corpus", size("n").alias("token_count"), F.array("p").alias("locations")), "corpus").orderBy("corpus").collect()
+    assert told.value == len(data)
+    sizes = [n for c, n, _ in data if c == "a"]
+    bins = [sum(lo <= n < hi for n in sizes) for lo, hi in ((0, 3000), (3000, 4000), (4000, 5000), (5000, 6000), (6000, 10**9))]
+    for r in got:
+        assert (r["n_chunks"], r["min_tokens"], r["max_tokens"], r["median_tokens"], r["n_places"]) == (31, min(sizes), max(sizes), statistics.median(sizes), 2)
+        assert r["mean_tokens"] == round(sum(sizes) / 31, 6) and [r[f"n_{i}"] for i in range(5)] == bins
