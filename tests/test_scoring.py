@@ -4,6 +4,7 @@ import random
 import string
 from collections import Counter
 
+from convoeval.functions import scoring as S
 from convoeval.functions.scoring import lcs_lengths, rouge_l_value
 from convoeval.functions.stem import stem
 from convoeval.operators import evaluation as E
@@ -94,3 +95,14 @@ def test_lcs_of_many_pairs_at_once():
         return row[-1]
 
     assert lcs_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [lcs(a, b) for a, b in pairs]
+
+
+def test_rouge_holds_a_bounded_number_of_tokens(monkeypatch):
+    """A batch goes to tokens in parts of bounded size, whatever its rows; the scores are those of single pairs."""
+    rng = random.Random(4)
+    sides = [[None if rng.random() < 0.1 else " ".join(rng.choice("abcde") for _ in range(rng.randrange(40))) for _ in range(200)] for _ in range(2)]
+    want = [S.rouge_l_value(a, b) for a, b in zip(*sides, strict=True)]
+    most, part = [], S.lcs_lengths
+    monkeypatch.setattr(S, "AT_A_TIME", 500)
+    monkeypatch.setattr(S, "lcs_lengths", lambda a, b: most.append(sum(map(len, a)) + sum(map(len, b))) or part(a, b))
+    assert S.rouge_l_values(*sides).tolist() == want and max(most) <= 500 and len(S.rouge_l_values([], [])) == 0
