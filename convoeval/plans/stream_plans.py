@@ -193,7 +193,8 @@ def ret10(spark, d):
     def with_vector(rows, number):
         return rows.withColumn("vec_id", F.pmod(number, n)).join(vectors, "vec_id", "left").drop("vec_id")
 
-    chunks = with_vector(labelled_chunks(spark, d), F.col("position"))
+    chunks = labelled_chunks(spark, d)
+    placed = with_vector(chunks.select("task_id", "position"), F.col("position"))
     asked = table(spark, d, "benchmark").select(
         "item_id", F.concat(F.lit("q"), "item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("task_id"),
         F.col("text").alias("query"),
@@ -201,4 +202,4 @@ def ret10(spark, d):
     # so that every branch has tasks, only every third of the large ones counts as long
     types = routing.task_types(chunks, icl_labels=50, long_chunks=_LONG_FROM, long_chars=1 << 60).withColumn("task_type", F.when(
         (F.col("task_type") == routing.LONG) & (F.substring("task_id", 4, 9).cast("int") % 3 != 0), routing.SHORT).otherwise(F.col("task_type")))
-    return routing.adaptive_retrieve(with_vector(asked, F.col("item_id")).drop("item_id"), chunks, types, top_k=10, icl_all=_ICL_ALL, short_all=_SHORT_ALL)
+    return routing.adaptive_retrieve(with_vector(asked, F.col("item_id")).drop("item_id"), chunks, types, top_k=10, icl_all=_ICL_ALL, short_all=_SHORT_ALL, vectors=placed)

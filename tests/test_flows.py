@@ -199,6 +199,17 @@ def test_adaptive_branches(spark):
     assert [r["position"] for r in got if r["qid"] == "c" and r["rank"] == 1] == [4]
 
 
+def test_adaptive_ranking_shuffles_no_postings(spark, monkeypatch):
+    def built(*_, **__):
+        raise AssertionError("an index of postings was built")
+
+    monkeypatch.setattr("convoeval.operators.retrieval.in_blocks", built)
+    c = spark.createDataFrame([("icl", i, f"\nLabel: {i}\nword{i} is") for i in range(12)], "task_id string, position long, text string")
+    q = spark.createDataFrame([("a", "icl", "word3")], "qid string, task_id string, query string")
+    got = routing.adaptive_retrieve(q, c, routing.task_types(c), top_k=3, icl_all=5).collect()
+    assert sorted((r["rank"], r["position"]) for r in got) == [(1, 3), (2, 0), (3, 1), (4, 2), (5, 4)]
+
+
 def test_unknown_task_is_an_error(spark):
     tasks = spark.createDataFrame([("a_5",), ("zzz",)], "task string")
     catalog = spark.createDataFrame([("a", "src", "p", True)], "task string, data_source string, prefix string, hint boolean")

@@ -87,6 +87,23 @@ def test_scoped_bm25_sees_only_the_prefix(spark, corpus):
                 assert [x for _, x, _ in sorted(got.get(f"{t}_{p}_{k}", []))] == [seen[j] for j in want]
 
 
+@pytest.mark.parametrize("max_weights", [2_000_000, 5])
+def test_whole_tasks_rank_as_full_prefixes(spark, corpus, max_weights):
+    docs, queries, _, _ = corpus
+    chunks = spark.createDataFrame(
+        [(t, 3 * i, " ".join(docs[(i + t) % 60]) if i % 7 else "--") for t in (0, 1, 2) for i in range(20)] + [(3, 0, "--")],
+        "task_id int, position long, text string",
+    )
+    asked = spark.createDataFrame(
+        [(f"{t}_{k}", t, 60, " ".join(queries[k])) for t in (0, 1, 3, 4) for k in range(4)] + [("none", 0, 60, "?"), ("strange", 0, 60, "qqqq")],
+        "qid string, task_id int, position long, text string",
+    )
+    row = lambda r: (r["qid"], r["position"], r["score"], r["rank"])
+    want = sorted(map(row, R.bm25_scoped_topk(asked, chunks, 5).collect()))
+    assert sorted(map(row, R.bm25_task_topk(asked.drop("position"), chunks, 5, max_weights=max_weights).collect())) == want
+    assert len(want) == 9 * 5
+
+
 @pytest.mark.parametrize("per_block", [1000, 2])
 def test_semantic_topk(spark, per_block):
     rng = random.Random(4)
