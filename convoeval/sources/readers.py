@@ -148,13 +148,26 @@ def read_json_tree(
     found = F.regexp_extract(path, rf"/{marker}/([^/]+)", 1)
     return rows.select(
         "*", F.when(found != "", found).otherwise("unknown").alias("category"),
-        F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("file_name"),
+        _without_end(F.substring_index(path, "/", -1), ".json").alias("file_name"),
     )
 
 
-def _stem(suffix: str) -> Column:
-    path = F.url_decode(F.col("_metadata.file_path"))
-    return F.regexp_extract(path, rf"([^/]+)_{suffix}s?\.json(?:/[^/]*)?$", 1)
+def _without_end(name: Column, end: str) -> Column:
+    return F.left(name, F.length(name) - len(end))
+
+
+def _file_of(kind: str) -> tuple[Column, Column]:
+    """Corpus folder and stem of a file below ``<corpus>/<kind>/``, or of a folder that Spark wrote for it.
+
+    Worked out for every row: by cuts at slashes, as a search for a long name tries each place of the path.
+    """
+    path = F.col("_metadata.file_path")
+    below = F.substring_index(path, f"/{kind}/", -1)
+    above = F.left(path, F.length(path) - F.length(below) - len(f"/{kind}/"))
+    name = F.url_decode(F.substring_index(below, "/", 1))
+    plural = f"_{kind}s.json"
+    stem = F.when(F.endswith(name, F.lit(plural)), _without_end(name, plural)).otherwise(_without_end(name, f"_{kind}.json"))
+    return F.substring_index(above, "/", -1), stem
 
 
 def read_qa_files(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -168,8 +181,8 @@ def read_qa_files(spark: SparkSession, folder: str, lines: bool = False) -> tupl
             spark.read.schema(schema).option("multiLine", not lines)
             .json(f"{folder}/*/{kind}/*_{{{kind},{kind}s}}.json")
         )
-        corpus = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{kind}/[^/]+\.json(?:/[^/]*)?$", 1)
-        return rows.select(corpus.alias("corpus"), _stem(kind).alias("type"), *rows.columns)
+        corpus, stem = _file_of(kind)
+        return rows.select(corpus.alias("corpus"), stem.alias("type"), *rows.columns)
 
     return read("question", "id string, question string"), read("answer", "id string, answer string")
 

@@ -83,6 +83,22 @@ def test_json_tree_and_qa_files(spark, tmp_path):
         ("set1", "Who Is", "1. e\n2. f"), ("set2", "Where", "here")}
 
 
+def test_file_names_are_cut_without_a_search(spark, tmp_path, capsys):
+    base = tmp_path / "qa"
+    for place in ("set 1/question/a_question_questions.json", "question/question/b+c_question.json", "set2/question/d_questions.json/part-0_question.json"):
+        dump(base / place, [{"id": place[0], "question": "a?"}])
+        dump(base / place.replace("/question/", "/answer/").replace("question.json", "answer.json").replace("questions.json", "answers.json"), [{"id": place[0], "answer": "b"}])
+    questions, answers = R.read_qa_files(spark, str(base))
+    tree = R.read_json_tree(spark, str(base), "id string", "qa")
+    assert {(r["type"], r["id"]) for r in questions.collect()} == {("a_question", "s"), ("b c", "q"), ("d", "s")}
+    assert {r["corpus"] for r in questions.collect()} == {"set%201", "question", "set2"}
+    assert questions.join(answers, ["corpus", "type", "id"]).count() == 3
+    assert {"part-0_question", "part-0_answer"} <= {r["file_name"] for r in tree.collect()}
+    capsys.readouterr()
+    questions.explain()
+    assert "regexp" not in capsys.readouterr().out
+
+
 def test_results_tree(spark, tmp_path):
     good = {"qid": "q1", "response": "x", "metric": {"f1_score": 0.5, "llm_score": -1}}
     dump(tmp_path / "task1/evaluated_my_agent_2024.jsonl", json.dumps(good) + "\n")
