@@ -10,7 +10,10 @@ import random
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from convoeval.session import gathered
 
 ERROR = "ERROR_API_CALL: "
 
+#: Bytes of the texts of one call, about.
+BATCH_BYTES = 1 << 22
+
 
 def call_with_retries(fn: Callable, *args, tries: int = 3, base_wait: float = 0.0, max_time: float = 300.0):
     """Result of ``fn`` and no error, or no result and the error text."""
@@ -43,16 +49,17 @@ def batch_infer(
 ) -> DataFrame:
     """Adds ``fn(client, texts) -> texts`` for batches of rows.
 
-    One client per partition; ``partitions`` bounds how many calls run at a time.
+    One client per partition; ``partitions`` bounds how many calls run at a time. A call gets texts of about
+    ``BATCH_BYTES`` in all, and only they become Python objects; the other columns pass by as they are.
     A batch that keeps failing is tried row by row; rows that fail get error text.
     """
     rows = df.repartition(partitions) if partitions else df
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client() if make_client else None
-        for pdf in batches:
-            texts = list(pdf[input_column])
+        for batch in (part for whole in batches for part in bounded_bytes(whole, input_column, BATCH_BYTES)):
+            texts = batch.column(input_column).to_pylist()
             done, error = call_with_retries(fn, client, texts, tries=tries, base_wait=base_wait)
             if error is None:
                 answers = list(done)
@@ -61,9 +68,19 @@ def batch_infer(
                 for text in texts:
                     one, bad = call_with_retries(fn, client, [text], tries=tries, base_wait=base_wait)
                     answers.append(bad if bad else list(one)[0])
-            yield pdf.assign(**{output_column: answers})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], [*batch.schema.names, output_column])
+
+    return rows.mapInArrow(run, f"{schema}, `{output_column}` string")
+
 
-    return rows.mapInPandas(run, f"{schema}, `{output_column}` string")
+def bounded_bytes(whole: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``whole`` in pieces with at most ``most`` bytes in a text column, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    at = 0
+    while at < whole.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield whole.slice(at, to - at)
+        at = to
 
 
 EMPTY_MEMORY = "No previous memory"

@@ -191,6 +191,13 @@ def test_batch_infer_turns_failures_into_text(spark):
     assert got == ["A", "ERROR_API_CALL: no", "C"]
 
 
+def test_a_model_call_gets_a_bounded_text(spark):
+    df = spark.range(8, numPartitions=1).select("id", F.when(F.col("id") != 3, F.repeat(F.lit("x"), 1_500_000)).alias("t"), F.array("id").alias("own"))
+    got = INF.batch_infer(df, lambda client, texts: [str(len(texts))] * len(texts), "t").drop("t").collect()
+    assert sorted((r["id"], r["own"]) for r in got) == [(i, [i]) for i in range(8)]
+    assert max(int(r["response"]) for r in got) <= 3
+
+
 def test_fold_keeps_order_and_failed_chunks(spark):
     def step(memory, chunk):
         if chunk == "x":
