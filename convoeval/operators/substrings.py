@@ -2,7 +2,8 @@
 
 A word of three or more characters can only stand in an item that holds all its trigrams, so its rarest
 trigrams give few candidates and the text itself decides. Each different word is looked up once, however many
-queries have it, and only items with a hit become rows.
+queries have it, and only items with a hit become rows. Few words that are asked once need no index: they are
+counted in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ RAREST = 3
 STRETCH_BITS = 12
 
 
+#: Different words that one pass over the texts counts faster than an index is built.
+SCANNED_WORDS = 128
+
+
 @dataclass(frozen=True)
 class TrigramIndex:
     """``path/items``: line, the ids, content, low; ``path/grams/bucket=<b>``: gram, stretch, n, lines."""
@@ -119,36 +126,63 @@ def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(each.groupBy("qid", "size", "word").agg(F.count(F.lit(1)).alias("qtf"))), split.select("qid")
 
 
+def scanned_words(asked: list[str], items: DataFrame) -> DataFrame:
+    """``found_words`` for few words, with the other columns of ``items(line, ..., low)``: each text is read once."""
+    kept = [c for c in items.columns if c != "low"]
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in items.dtypes if c != "low") + ", word string, times long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word in asked:
+                times = pc.count_substring(batch.column("low"), word).to_numpy(zero_copy_only=False).astype("i8")
+                at = np.flatnonzero(times)
+                if len(at):
+                    own = batch.select(kept).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([word] * len(at), pa.string()), pa.array(times[at])], [*kept, "word", "times"])
+
+    return items.mapInArrow(count, schema)
+
+
+def _hits(items: DataFrame | TrigramIndex, each: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(word, line, ids, times)`` of the asked words, and the items."""
+    asked = each.select("word").distinct()
+    words = [] if isinstance(items, TrigramIndex) else [r["word"] for r in asked.limit(SCANNED_WORDS + 1).collect()]
+    if not isinstance(items, TrigramIndex) and len(words) <= SCANNED_WORDS:
+        # written, so that a line keeps its number
+        path = work_folder(items.sparkSession, "items")
+        items.where("content IS NOT NULL").select(F.monotonically_increasing_id().alias("line"), *ids, "content").write.parquet(path)
+        rows = items.sparkSession.read.parquet(path)
+        return scanned_words(words, rows.select("line", *ids, F.lower("content").alias("low"))), rows
+    index = items if isinstance(items, TrigramIndex) else build_trigrams(items, ids)
+    return found_words(asked, index).join(index.items.select("line", *index.ids), "line"), index.items
+
+
 def keyword_score_topk(items: DataFrame | TrigramIndex, queries: DataFrame, ids: list[str], k: int = 5) -> DataFrame:
     """Share of the query words that occur in an item, above zero only: ``(qid, ids, content, score, rank)``."""
-    index = items if isinstance(items, TrigramIndex) else build_trigrams(items, ids)
     each, _ = _asked(queries)
-    hits = each.join(found_words(each.select("word").distinct(), index), "word")
-    scored = hits.groupBy("qid", "line").agg(F.round(F.sum("qtf") / F.max("size"), 9).alias("score"))
-    return _ranked(scored, index, k)
+    found, rows = _hits(items, each, ids)
+    scored = each.join(found, "word").groupBy("qid", "line", *ids).agg(F.round(F.sum("qtf") / F.max("size"), 9).alias("score"))
+    return _ranked(scored, rows, ids, k)
 
 
 def term_frequency_topk(items: DataFrame | TrigramIndex, queries: DataFrame, ids: list[str], k: int = 5) -> DataFrame:
     """Occurrences of the query words in an item; zero scores stay in, the first items first."""
-    index = items if isinstance(items, TrigramIndex) else build_trigrams(items, ids)
     each, every = _asked(queries)
-    hits = each.join(found_words(each.select("word").distinct(), index), "word")
-    scored = cut_lineage(hits.groupBy("qid", "line").agg(F.sum(F.col("qtf") * F.col("times")).alias("score")))
+    found, rows = _hits(items, each, ids)
+    scored = cut_lineage(each.join(found, "word").groupBy("qid", "line", *ids).agg(F.sum(F.col("qtf") * F.col("times")).alias("score")))
     counts = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("_hits"))
     # of the first k + hits items at least k have no hit; with k hits no other is needed
     short = cut_lineage(every.join(counts, "qid", "left").withColumn("_hits", F.coalesce("_hits", F.lit(0))).where(F.col("_hits") < k))
     most = short.agg(F.max("_hits").alias("m")).first()["m"]
     if most is not None:
-        first = index.items.select("line", F.struct(*ids).alias("_id")).orderBy("_id").limit(int(most) + k)
-        first = numbered_by_range(first, "_id", "_row").select("_row", "line")
+        first = rows.select("line", F.struct(*ids).alias("_id")).orderBy("_id").limit(int(most) + k)
+        first = numbered_by_range(first, "_id", "_row").select("_row", "line", "_id.*")
         near = short.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_hits") + k)).alias("_row")).join(first, "_row")
-        pads = near.join(scored.select("qid", "line"), ["qid", "line"], "left_anti").select("qid", "line", F.lit(0).cast("long").alias("score"))
+        pads = near.join(scored.select("qid", "line"), ["qid", "line"], "left_anti").select("qid", "line", *ids, F.lit(0).cast("long").alias("score"))
         scored = scored.unionByName(pads)
-    return _ranked(scored, index, k)
+    return _ranked(scored, rows, ids, k)
 
 
-def _ranked(scored: DataFrame, index: TrigramIndex, k: int) -> DataFrame:
-    ids = list(index.ids)
-    named = scored.join(index.items.select("line", *ids), "line")
-    best = top_per_key(named, ["qid"], [F.desc("score"), *[F.asc(i) for i in ids]], k)
-    return best.join(index.items.select("line", "content"), "line").select("qid", *ids, "content", "score", "rank")
+def _ranked(scored: DataFrame, rows: DataFrame, ids: list[str], k: int) -> DataFrame:
+    best = top_per_key(scored, ["qid"], [F.desc("score"), *[F.asc(i) for i in ids]], k)
+    return best.join(rows.select("line", "content"), "line").select("qid", *ids, "content", "score", "rank")

@@ -158,6 +158,25 @@ def test_substring_scores_against_all_pairs(spark):
         assert [(j, s, c) for _, j, s, c in sorted(times.get(i, []))] == [(j, -s, texts[j]) for s, j in b], text
 
 
+def test_few_words_are_counted_without_an_index(spark, monkeypatch):
+    lines = ["aaaa the an", "The theme", "", "xan xan", None, "none", "Ärger an der ÄRGER"]
+    items = spark.createDataFrame([(i, "s" * (i % 2), t) for i, t in enumerate(lines)], "id long, part string, content string")
+    q = spark.createDataFrame([(1, "aa an"), (2, "the the qq"), (3, "ärger"), (4, "zz"), (5, "  ")], "qid int, text string")
+    index = X.build_trigrams(items, ["id", "part"])
+    row = lambda r: (r["qid"], r["id"], r["part"], r["content"], r["score"], r["rank"])
+    want = [sorted(map(row, f(index, q, ["id", "part"]).collect())) for f in (X.keyword_score_topk, X.term_frequency_topk)]
+
+    def built(*_, **__):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(X, "build_trigrams", built)
+    assert [sorted(map(row, f(items, q, ["id", "part"]).collect())) for f in (X.keyword_score_topk, X.term_frequency_topk)] == want
+    assert (1, 0, "", "aaaa the an", 3, 1) in want[1]
+    monkeypatch.setattr(X, "SCANNED_WORDS", 3)
+    with pytest.raises(AssertionError, match="an index was built"):
+        X.keyword_score_topk(items, q, ["id", "part"])
+
+
 def test_trigrams_leave_few_rows_to_compare(spark):
     rng = random.Random(6)
     items = spark.createDataFrame([(i, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(8))) for i in range(1_000)], "id int, content string")
