@@ -1,9 +1,10 @@
-"""Text kernels: Column in, Column out, all on the JVM side."""
+"""Text kernels: Column in, Column out, on the JVM side but for ``pack_lines``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,14 +142,38 @@ def strip_query_prefix(query: Column) -> Column:
     ).otherwise(query)
 
 
+def _packed(text: str, size: int) -> list[str]:
+    pieces, at, end = [], 0, len(text)
+    while at < end:
+        if text[at] == "\n":
+            at += 1
+            continue
+        to = end
+        if end - at > size:
+            to = text.rfind("\n", at, at + size + 1)  # the last line end within reach
+            if to < 0:
+                to = text.find("\n", at)
+                to = end if to < 0 else to
+        pieces.append(text[at:to])
+        at = to
+    return pieces
+
+
 def pack_lines(text: Column, size: int = 1000) -> Column:
     """Whole lines packed greedily into pieces of at most ``size`` characters.
 
-    A line longer than ``size`` stays whole. One linear regex pass: a piece
-    starts at a non-blank line and ends at the last line end within reach.
+    A line longer than ``size`` stays whole. A piece starts at a non-blank line and ends at the last line end
+    within reach, which is looked for from behind: a regex tries every character. Null texts give null.
     """
-    piece = rf"[^\n][\s\S]{{0,{size - 1}}}(?=\n|\z)|[^\n]+"
-    return F.regexp_extract_all(text, F.lit(piece), F.lit(0))
+
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        done = [pa.array([], pa.list_(pa.string()))]
+        for at in range(0, len(texts), 256):  # few texts at a time are Python objects
+            done.append(pa.array([None if t is None else _packed(t, size) for t in texts.slice(at, 256).to_pylist()], pa.list_(pa.string())))
+        return pa.concat_arrays(done)
+
+    return pack(text)
 
 
 def split_words(text: Column, size: int = 5000, back: int = 200) -> Column:

@@ -222,6 +222,22 @@ def test_adaptive_branches(spark):
     assert [r["position"] for r in got if r["qid"] == "c" and r["rank"] == 1] == [4]
 
 
+def test_route_split_cuts_each_text_once(spark, capsys):
+    texts = ["\n" * 2500, "ab\n" * 1000, None, "x" * 2500 + "\n\ny", "s", ""]
+    c = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)] + [("u", 0, "ab\n" * 1000)], "task_id string, position long, text string")
+    types = spark.createDataFrame([("t", "long"), ("u", "short")], "task_id string, task_type string")
+    routed = routing.route_split(c, types)
+    got = {(r["task_id"], r["position"], r["piece_no"]): r["piece"] for r in routed.collect()}
+    assert [k for k in sorted(got) if k[:2] == ("t", 0)] == [] and got["t", 2, 0] is None and got["t", 5, 0] == "" and got["t", 4, 0] == "s"
+    assert [got["t", 1, i] for i in range(4)] == [("ab\n" * 333)[:-1]] * 3 + ["ab\n"]
+    assert [got["t", 3, i] for i in range(2)] == ["x" * 2500, "y"] and got["u", 0, 0] == "ab\n" * 1000
+    assert len(got) == 10
+    capsys.readouterr()
+    routed.explain()
+    plan = capsys.readouterr().out
+    assert "regexp_extract_all" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_adaptive_ranking_shuffles_no_postings(spark, monkeypatch):
     def built(*_, **__):
         raise AssertionError("an index of postings was built")
