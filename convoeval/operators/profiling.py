@@ -12,6 +12,20 @@ from convoeval.operators.chunking import TIME_FORMAT
 from convoeval.operators.ordered import exact_medians, id_bucket, top_per_key, with_previous
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """``value`` times a power of ten, rounded half away from zero and divided again, as SQL rounds a double.
+
+    ``F.round`` rounds the shortest decimal text of a double, which may be half way where its multiple lies below.
+    """
+    scaled = value * F.lit(10.0**digits)
+    return F.signum(scaled) * F.round(F.abs(scaled)) / F.lit(10.0**digits)
+
+
+def plain_text(value: Column) -> Column:
+    """A double of at most four decimals as text without an exponent."""
+    return F.when(value.isNotNull(), F.regexp_replace(F.format_string("%.4f", value), r"(\.\d+?)0+$", "$1"))
+
+
 def parsed_time(column: str = "timestamp") -> Column:
     return F.try_to_timestamp(F.col(column), F.lit(TIME_FORMAT))
 
@@ -20,7 +34,7 @@ def completeness(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Non-null count and percent per field, all fields in one pass."""
     wide = df.groupBy(key).agg(F.count("*").alias("_n"), *[F.count(f).alias(f) for f in fields])
     long = wide.unpivot([key, "_n"], fields, "field", "n")
-    return long.select(key, "field", "n", F.round(F.col("n") * 100.0 / F.col("_n"), 1).alias("percent"))
+    return long.select(key, "field", "n", rounded(F.col("n") * 100.0 / F.col("_n"), 1).alias("percent"))
 
 
 def time_span(df: DataFrame, key: str) -> DataFrame:
@@ -33,7 +47,7 @@ def time_span(df: DataFrame, key: str) -> DataFrame:
     )
     days = F.floor((F.unix_timestamp("last") - F.unix_timestamp("first")) / 86400)
     return out.select(
-        key, "n_records", "first", "last", F.coalesce(F.round(days / 365.25, 1), F.lit(0.0)).alias("years"), "n_places"
+        key, "n_records", "first", "last", F.coalesce(rounded(days / 365.25, 1), F.lit(0.0)).alias("years"), "n_places"
     )
 
 
@@ -57,10 +71,10 @@ def gap_stats(gap_rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
         F.count("*").alias("n"), F.max_by("_run", order).alias("s"), F.min("minutes").alias("low"), F.max("minutes").alias("high"))
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("stretch", "s"))), F.lit(0.0), lambda a, x: a + x["s"])
     stats = parts.groupBy(key).agg(
-        F.sum("n").alias("n_gaps"), F.round(total / F.sum("n"), 4).alias("mean"),
-        F.round(F.min("low"), 4).alias("min"), F.round(F.max("high"), 4).alias("max"),
+        F.sum("n").alias("n_gaps"), rounded(total / F.sum("n"), 4).alias("mean"),
+        rounded(F.min("low"), 4).alias("min"), rounded(F.max("high"), 4).alias("max"),
     )
-    medians = exact_medians(gap_rows, [key], "minutes").withColumn("median", F.round("median", 4))
+    medians = exact_medians(gap_rows, [key], "minutes").withColumn("median", rounded(F.col("median"), 4))
     return stats.join(medians, key)
 
 
@@ -80,7 +94,7 @@ def length_stats(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     filled = [F.when(F.col(f) != "", F.length(f)).alias(f) for f in fields]
     long = df.select(key, *filled).unpivot([key], fields, "field", "len").where("len IS NOT NULL")
     stats = long.groupBy(key, "field").agg(
-        F.round(F.avg("len"), 4).alias("mean"), F.min("len").alias("min"), F.max("len").alias("max"),
+        rounded(F.avg("len"), 4).alias("mean"), F.min("len").alias("min"), F.max("len").alias("max"),
         F.count("*").alias("n_filled"),
     )
     return stats.join(exact_medians(long, [key, "field"], "len"), [key, "field"])
@@ -135,7 +149,7 @@ def cooccurrence(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def compare_corpora(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row per corpus: records, span, places, mean content length."""
     total = reduce(lambda a, b: a + b, [F.coalesce(F.length(f), F.lit(0)) for f in fields])
-    means = df.groupBy(key).agg(F.round(F.avg(total), 4).alias("mean_length"))
+    means = df.groupBy(key).agg(rounded(F.avg(total), 4).alias("mean_length"))
     return time_span(df, key).join(means, key)
 
 
@@ -144,6 +158,8 @@ def profile_report(df: DataFrame, key: str, order: str, fields: list[str]) -> Da
     g = gaps(df, key, order)
 
     def long(section: str, rows: DataFrame, item: Column, value: Column) -> DataFrame:
+        if rows.select(value).dtypes[0][1] == "double":
+            value = plain_text(value)
         return rows.select(key, F.lit(section).alias("section"), item.alias("item"), value.cast("string").alias("value"))
 
     span = time_span(df, key)

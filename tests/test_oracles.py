@@ -75,3 +75,29 @@ def test_no_cross_join_in_the_plans(spark):
     for name in SAMPLE:
         plan = plan_of(QUERIES[name](spark, FOLDER))
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_profile_report_rounds_and_prints_as_sql(spark, tmp_path):
+    """Means half way between two rounded values, below a thousandth, above ten million and just below zero."""
+    import datetime
+
+    import duckdb
+    from compare import rows_of
+
+    from convoeval.plans import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    ties = [69, 273, 561]  # seconds in 40 gaps: their double and its decimal text round to different sides
+    corpora = [[0] * 40 + [s] for s in ties] + [[0] * 40 + [1], [0, 30 * 365 * 86400], [0] * 400 + [7, -1]]
+    start = datetime.datetime(1990, 1, 1)
+    rows = [(u, start + datetime.timedelta(seconds=at)) for u, times in enumerate(corpora) for at in times]
+    con.execute("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, 'view', 1.5, 'a')", [(i, ts, u) for i, (u, ts) in enumerate(rows)])
+    con.execute(f"COPY e TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute("CREATE VIEW events AS SELECT * FROM e")
+    for name in ("pro11_profile_report", "pro3_gap_stats"):
+        df = QUERIES[name](spark, str(tmp_path))
+        cols, got, _ = rows_of(df.columns, df.collect())
+        cur = con.execute(ORACLES[name])
+        ocols, want, _ = rows_of([c[0] for c in cur.description], cur.fetchall())
+        assert cols == ocols and got == want
