@@ -86,6 +86,22 @@ def test_pages_with_an_article_are_compared_too(spark):
     assert got == {i: (f"shared\nstory {i}", 3) for i in range(4)} | {i: (f"text {i}", 1) for i in (4, 5)} | {6: ("shared\nstory 6", 0)}
 
 
+def test_lines_beside_an_article_go_only_if_they_are_shared(spark):
+    """A headline over the article and a part behind it are a page's own, the frame is not; a page without partner goes by its markup."""
+    part = lambda i: f"<nav>menu {i}</nav><p>frame</p><h1>head {i}</h1><article><p>shared</p><p>story {i}</p></article><div class=ad>buy {i}</div><p>end {i}</p><footer>foot</footer>"
+    rows = [(i, f"http://h/a/{i}", part(i)) for i in range(4)] + [(4, "http://one/a", part(4)), (5, "http://h/a/1", part(1)), (6, "http://two/a/1", part(6)), (7, "http://two/a/2", "<p>other</p>")]
+    whole = lambda i: f"head {i}\nshared\nstory {i}\nend {i}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got, cut = ({r.page_id: (r.text, r.n_shared) for r in html_text.main_text(df, block_pages=n).collect()} for n in (1000, 1))
+    assert got == cut == {i: (whole(i), 3) for i in range(4)} | {4: ("shared\nstory 4", 0), 5: (whole(1), 3), 6: ("frame\n" + whole(6), 0), 7: ("other", 0)}
+
+
+def test_empty_pages_are_no_partners(spark):
+    rows = [(i, f"http://h/a/{i}", page("frame", f"text {i}") if i % 2 else ["", None, "<p> </p>"][i % 3]) for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"text {i}" if i % 2 else "" for i in range(9)}
+
+
 def brute_main_text(rows):
     """Partners by a plain look at the sorted pages of each host and folder."""
     pages = []
